@@ -19,15 +19,23 @@ def python_round(value: Column, digits: int) -> Column:
     exact rounding error; the error decides what looks like a tie.
     """
     scale = float(10**digits)
-    product = value * scale
-    # Veltkamp split of the value: the scale has few enough bits to stay whole.
-    carrier = value * 134217729.0
-    high = carrier - (carrier - value)
-    low = value - high
-    error = (high * scale - product) + low * scale
-    whole = F.floor(product).cast("double")
-    up = F.when(product - whole != 0.5, F.rint(product)).when(error > 0, whole + 1.0).when(error < 0, whole)
-    return up.otherwise(F.rint(product)) / scale
+
+    def rounded(x: Column) -> Column:
+        product = x * scale
+        # Veltkamp split of the value: the scale has few enough bits to stay whole.
+        carrier = x * 134217729.0
+        high = carrier - (carrier - x)
+        error = (high * scale - product) + (x - high) * scale
+        whole = F.floor(product).cast("double")
+        tie = product - whole == 0.5
+        return F.when(tie & (error > 0), whole + 1.0).when(tie & (error < 0), whole).otherwise(F.rint(product)) / scale
+
+    return bind(value, rounded)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed, and written in the plan, only once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def percent(part: Column, total: Column) -> Column:

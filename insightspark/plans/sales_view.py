@@ -46,7 +46,14 @@ def sales_rows(lines: DataFrame, spark: SparkSession, folder: str, columns: tupl
         )
         rows = rows.join(orders, "l_orderkey", "left")
     if wanted & _FROM_CUSTOMER:
-        rows = rows.join(_customers(spark, folder, with_region="region" in wanted), "o_custkey", "left")
+        customers = table(spark, folder, "customer").select(
+            F.col("c_custkey").alias("o_custkey"), "c_nationkey", F.col("c_mktsegment").alias("customer_segment")
+        )
+        rows = rows.join(customers, "o_custkey", "left")
+    if "region" in wanted:
+        nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+        regions = table(spark, folder, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
+        rows = rows.join(nations, "c_nationkey", "left").join(regions, "n_regionkey", "left")
     if wanted & _FROM_PART:
         parts = table(spark, folder, "part").select(
             F.col("p_partkey").alias("l_partkey"),
@@ -55,14 +62,3 @@ def sales_rows(lines: DataFrame, spark: SparkSession, folder: str, columns: tupl
         )
         rows = rows.join(parts, "l_partkey", "left")
     return rows.select(*columns)
-
-
-def _customers(spark: SparkSession, folder: str, with_region: bool) -> DataFrame:
-    customers = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), "c_nationkey", F.col("c_mktsegment").alias("customer_segment")
-    )
-    if not with_region:
-        return customers
-    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    regions = table(spark, folder, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
-    return customers.join(nations, "c_nationkey", "left").join(regions, "n_regionkey", "left")
