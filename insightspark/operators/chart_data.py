@@ -57,10 +57,11 @@ def region_share(df: DataFrame, region: str = REGION, revenue: str = REVENUE) ->
     # Added up as decimals, so that the total does not depend on the order of rows.
     # The key is asked for only to keep this aggregate, and its shuffle, the same.
     whole = sums.agg(*merged_sums(), F.max("key").alias("key")).select(F.struct(total().alias("revenue"), "key")).scalar()
-    return sums.orderBy(total().desc(), F.col("key").asc()).select(
+    shares = sums.withColumn("share", percent(total(), whole["revenue"]))
+    return shares.orderBy(total().desc(), F.col("key").asc()).select(
         key_text(F.col("key"), df.schema[region].dataType).alias("region"),
         total().alias("revenue"),
-        python_round(percent(total(), whole["revenue"]), 1).alias("share_pct"),
+        python_round(F.col("share"), 1).alias("share_pct"),
     )
 
 
