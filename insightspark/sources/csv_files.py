@@ -45,7 +45,7 @@ def load_table(spark: SparkSession, path, schema: T.StructType | str | None = No
         if schema is not None:
             declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
             raw = _read_text(spark, path, [f.name for f in declared], multi_line)
-            table = raw.select(*[_typed(f.name, f.dataType) for f in declared])
+            table = typed_cells(raw, declared)
             if table.isEmpty():
                 raise DataIngestionError("The file contains no data.")
             return table
@@ -67,6 +67,11 @@ def null_tokens_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def typed_cells(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """An all-text table with null tokens as nulls and the declared types."""
+    return raw.select(*[_typed(f.name, f.dataType) for f in schema])
+
+
 def infer_types(raw: DataFrame) -> DataFrame:
     """Type an all-text table: BIGINT, then DOUBLE, BOOLEAN, else STRING.
 
