@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from insightspark.functions.numbers import bind
+
 
 def json_kind(value: Column) -> Column:
-    """'object', 'array', 'string', 'boolean', 'null' or 'number'."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(F.startswith(kind, F.lit("OBJECT")), "object")
-        .when(F.startswith(kind, F.lit("ARRAY")), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null")
-        .when(kind.isNotNull(), "number")
-    )
+    """'object', 'array', 'string', 'boolean', 'null' or 'number'; null for no value at all."""
+
+    def named(kind: Column) -> Column:
+        return (
+            F.when(F.startswith(kind, F.lit("OBJECT")), "object")
+            .when(F.startswith(kind, F.lit("ARRAY")), "array")
+            .when(kind == "STRING", "string")
+            .when(kind == "BOOLEAN", "boolean")
+            .when(kind == "VOID", "null")
+            .when(kind.isNotNull(), "number")
+        )
+
+    return bind(F.schema_of_variant(value), named)
 
 
 def as_array(value: Column) -> Column:
@@ -31,9 +36,7 @@ def as_map(value: Column) -> Column:
 
 def as_text(value: Column) -> Column:
     """A JSON string without quotes; any other value as its JSON text; null stays null."""
-    return F.when(json_kind(value) == "string", F.try_variant_get(value, "$", "string")).when(
-        json_kind(value) != "null", F.to_json(value)
-    )
+    return F.try_variant_get(value, "$", "string")
 
 
 def has_key(fields: Column, key: str) -> Column:

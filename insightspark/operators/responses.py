@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from insightspark.functions.numbers import clamp
+from insightspark.functions.numbers import bind, clamp
 from insightspark.functions.text import strip, strip_fences
 from insightspark.functions.variants import as_array, as_map, as_text, field_or, json_kind
 
@@ -56,8 +56,7 @@ def with_recommendations(df: DataFrame, response: str = "response") -> DataFrame
     """Add ``recommendations`` ARRAY<STRUCT<rank, action, rationale, priority, timeframe>> with defaults."""
     listed = F.element_at(as_map(F.col(response)), F.lit("recommendations"))
 
-    def normalised(item: Column, position: Column) -> Column:
-        fields = as_map(item)
+    def normalised(fields: Column, position: Column) -> Column:
         return F.struct(
             field_or(fields, "rank", lambda v: as_text(v).try_cast("int"), position + 1).alias("rank"),
             field_or(fields, "action", as_text, F.lit("")).alias("action"),
@@ -66,8 +65,8 @@ def with_recommendations(df: DataFrame, response: str = "response") -> DataFrame
             field_or(fields, "timeframe", as_text, F.lit("short_term")).alias("timeframe"),
         )
 
-    filled = F.transform(F.coalesce(as_array(listed), F.array().cast("array<variant>")), normalised)
-    return df.withColumn("recommendations", filled)
+    items = F.transform(F.coalesce(as_array(listed), F.array().cast("array<variant>")), as_map)
+    return df.withColumn("recommendations", F.transform(items, normalised))
 
 
 def recommendation_rows(df: DataFrame) -> DataFrame:
@@ -84,17 +83,21 @@ def confidence(response: Column, key: str = "confidence_score") -> Column:
 
 def clamped_int(value: Column, low: int = 0, high: int = 100) -> Column:
     """A JSON value cut to a whole number towards zero and clamped; ``low`` if that fails."""
-    kind = json_kind(value)
-    digits = F.regexp_replace(strip(as_text(value)), r"(?<=\d)_(?=\d)", "")
-    number = (
-        F.when(kind == "number", F.try_variant_get(value, "$", "double"))
-        .when(kind == "boolean", F.try_variant_get(value, "$", "int").cast("double"))
-        .when((kind == "string") & digits.rlike(r"^[+-]?\d+$"), digits.try_cast("double"))
-    )
-    # Clamped as double, so that no value is too large for the cast.
-    in_range = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), number))
-    whole = F.when(number.isNotNull(), F.when(in_range < 0, F.ceil(in_range)).otherwise(F.floor(in_range)))
-    return clamp(whole.cast("int"), low, high)
+
+    def number(kind: Column) -> Column:
+        digits = F.regexp_replace(strip(as_text(value)), r"(?<=\d)_(?=\d)", "")
+        return (
+            F.when(kind == "number", F.try_variant_get(value, "$", "double"))
+            .when(kind == "boolean", F.try_variant_get(value, "$", "int").cast("double"))
+            .when((kind == "string") & digits.rlike(r"^[+-]?\d+$"), digits.try_cast("double"))
+        )
+
+    def whole(found: Column) -> Column:
+        # Clamped as double, so that no value is too large for the cast.
+        in_range = F.when(found.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), found)))
+        return F.when(in_range < 0, F.ceil(in_range)).otherwise(F.floor(in_range)).cast("int")
+
+    return clamp(bind(bind(json_kind(value), number), whole), low, high)
 
 
 def valid_questions(df: DataFrame, raw: str = "raw", n: int = 5) -> DataFrame:
@@ -108,15 +111,17 @@ def _texts(value: Column) -> Column:
 
 
 def _truthy(value: Column) -> Column:
-    kind = json_kind(value)
-    return (
-        F.when(kind == "string", as_text(value) != "")
-        .when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "number", F.try_variant_get(value, "$", "double") != 0)
-        .when(kind == "array", F.size(as_array(value)) > 0)
-        .when(kind == "object", F.size(as_map(value)) > 0)
-        .otherwise(False)
-    )
+    def by_kind(kind: Column) -> Column:
+        return (
+            F.when(kind == "string", as_text(value) != "")
+            .when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
+            .when(kind == "number", F.try_variant_get(value, "$", "double") != 0)
+            .when(kind == "array", F.size(as_array(value)) > 0)
+            .when(kind == "object", F.size(as_map(value)) > 0)
+            .otherwise(False)
+        )
+
+    return bind(json_kind(value), by_kind)
 
 
 def _as_python_text(value: Column) -> Column:

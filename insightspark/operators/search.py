@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from insightspark.functions.numbers import bind
 from insightspark.functions.text import default_text, strip, words
-from insightspark.functions.variants import as_array, as_map, as_text, field_or, has_key, json_kind
+from insightspark.functions.variants import as_array, as_map, as_text, field_or, json_kind
 
 # Words that carry no search signal.
 STOP_WORDS = [
@@ -57,7 +58,7 @@ def search_queries(
     # The keywords are either the second query or equal to the first one or
     # empty, so a new query is one that differs from both.
     fresh = F.filter(
-        F.transform(anchored, keywords),
+        F.transform(anchored, lambda finding: keywords(finding)),
         lambda query: (query != "") & (query != F.col("_primary")) & (query != F.col("_keywords")),
     )
     queries = F.array_compact(F.array(F.col("_primary"), secondary, F.get(fresh, F.lit(0))))
@@ -77,13 +78,14 @@ def normalise_results(responses: DataFrame, raw: str = "raw") -> DataFrame:
     items = as_array(F.col("_value"))
     whole = F.coalesce(F.when(json_kind(F.col("_value")) == "string", as_text(F.col("_value"))), F.col(raw))
 
-    def from_item(item: Column) -> Column:
-        fields = as_map(item)
+    def from_object(fields: Column) -> Column:
         content = field_or(fields, "content", as_text, field_or(fields, "snippet", as_text, F.lit("")))
         url = field_or(fields, "url", as_text, field_or(fields, "link", as_text, F.lit("")))
-        return F.when(
-            json_kind(item) == "object", _result(field_or(fields, "title", as_text, F.lit("")), content, url)
-        ).when(json_kind(item) == "string", _result(F.lit(""), as_text(item), F.lit("")))
+        return F.when(fields.isNotNull(), _result(field_or(fields, "title", as_text, F.lit("")), content, url))
+
+    def from_item(item: Column) -> Column:
+        from_string = F.when(json_kind(item) == "string", _result(F.lit(""), as_text(item), F.lit("")))
+        return F.coalesce(bind(as_map(item), from_object), from_string)
 
     listed = F.array_compact(F.transform(items, from_item))
     single = F.when(F.col(raw).isNotNull(), F.array(_result(F.lit(""), whole, F.lit(""))))

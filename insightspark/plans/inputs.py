@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 
 from insightspark.plans.sales_view import table
 
-NBSP_PADDING = "  \t"
-EM_PADDING = " \n"
+# Whitespace that trim() alone would leave in place.
+PADDING_BEFORE = "\u00a0 \t"
+PADDING_AFTER = "\u2003\n"
+
+
+def padded_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation texts with whitespace of several kinds around them."""
+    padded = F.concat(F.lit(PADDING_BEFORE), F.col("text"), F.lit(PADDING_AFTER))
+    return table(spark, folder, "conversations").select("conv_id", "turn", "role", padded.alias("text"))
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,13 +15,12 @@ RESULT_FIELDS = {
 
 def result_payload(runs: DataFrame) -> DataFrame:
     """(run_id, payload): the result fields of each run as one JSON object; missing ones get defaults."""
-    defaults = {"text": F.lit(""), "list": F.array().cast("array<string>"), "number": F.lit(0)}
+    defaults = {"text": F.lit(""), "list": F.array(), "number": F.lit(0)}
 
     def field(name: str, kind: str) -> Column:
-        default = defaults[kind]
-        if name not in runs.columns:
-            return default.alias(name)
-        return F.coalesce(F.col(name), default.cast(runs.schema[name].dataType)).alias(name)
+        if name in runs.columns:
+            return F.coalesce(F.col(name), defaults[kind]).alias(name)
+        return defaults[kind].alias(name)
 
     fields = [field(name, kind) for name, kind in RESULT_FIELDS.items()]
     return runs.select("run_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))

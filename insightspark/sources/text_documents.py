@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from insightspark.errors import DocumentIngestionError
 
-_REPLACEMENT = "�"
+_REPLACEMENT = "\ufffd"
 _ESCAPE = "\x10"
 
 
