@@ -50,8 +50,9 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 # Date layouts in order of preference.  Each is a pattern and its rewrite to ISO.
+_ISO = r"^(\d{4})-(\d{2})-(\d{2})"
 _DATE_LAYOUTS = [
-    (r"(\d{4})-(\d{2})-(\d{2})", "$1-$2-$3"),
+    (_ISO[1:], "$1-$2-$3"),
     (r"(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
     (r"(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
     (r"(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$2-$1"),
@@ -80,7 +81,9 @@ def _read_as(text: Column, layout: Layout) -> Column:
     pattern, rewrite, kind = layout
     if not pattern:
         return F.lit(None).cast(kind)
-    return F.when(text.rlike(pattern), F.regexp_replace(text, pattern, rewrite).try_cast(kind))
+    # ISO texts are cast as they are.
+    iso = text if pattern.startswith(_ISO) else F.regexp_replace(text, pattern, rewrite)
+    return F.when(text.rlike(pattern), iso.try_cast(kind))
 
 
 def parse_dates(df: DataFrame, evidence: DataFrame | None = None) -> DataFrame:

@@ -9,11 +9,15 @@ from pyspark.sql import types as T
 from insightspark.functions import kinds
 from insightspark.functions.kinds import column, present
 from insightspark.functions.numbers import numpy_round, percent, python_round
-from insightspark.operators.quantiles import quantiles
+from insightspark.operators.quantiles import quantiles, stacked
 from insightspark.session import empty
 
 PROBABILITIES = [0.25, 0.5, 0.75]
 
+_SUMMARY = (
+    "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+)
+
 
 def shape(df: DataFrame) -> DataFrame:
     """One row: ``rows``, ``columns``."""
@@ -28,8 +32,8 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     names = df.columns if columns is None else columns
     cells = df.select(*[_as_text(n, df.schema[n].dataType).alias(str(df.columns.index(n))) for n in names])
-    stacked = cells.unpivot([], cells.columns, "position", "value")
-    return stacked.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+    cell_rows = cells.unpivot([], cells.columns, "position", "value")
+    return cell_rows.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_profile(df: DataFrame, approximate: bool = False, counts: DataFrame | None = None) -> DataFrame:
@@ -61,42 +65,27 @@ def column_profile(df: DataFrame, approximate: bool = False, counts: DataFrame |
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max), two decimals, per numeric column.
 
-    Quantiles are exact unless ``approximate`` asks for sketches.
+    The quantiles are exact and are found here and now, in at most four scans of
+    the numeric columns; ``approximate`` takes them from sketches, in one scan.
     """
     names = kinds.numeric_columns(df) if columns is None else columns
-    schema = "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
     if not names:
-        return empty(df.sparkSession, schema)
-    cells = df.select(*[present(n, df.schema[n].dataType).cast("double").alias(n) for n in names])
-    stacked = cells.unpivot([], [column(n) for n in names], "column", "value")
+        return empty(df.sparkSession, _SUMMARY)
+    cells = df.select(*[present(n, df.schema[n].dataType).cast("double").alias(str(i)) for i, n in enumerate(names)])
     value = F.col("value")
-    measures = [
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-    ]
+    measures = [F.count(value), F.avg(value), F.stddev_samp(value), F.min(value), F.max(value)]
     if approximate:
-        sketch = F.percentile_approx(value, PROBABILITIES, 10_000).alias("quantiles")
-        summary = stacked.groupBy("column").agg(*measures, sketch)
+        measures.append(F.percentile_approx(value, PROBABILITIES, 10_000))
+    found = {position: row for position, *row in stacked(cells).groupBy("position").agg(*measures).collect()}
+    if approximate:
+        at = {position: row[5] for position, row in found.items() if row[0]}
     else:
-        stats = stacked.groupBy("column").agg(*measures)
-        exact = quantiles(stacked.where(value.isNotNull()), stats, PROBABILITIES)
-        summary = stats.join(exact, "column", "left")
-
-    def rounded(measure: Column) -> Column:
-        return numpy_round(measure, 2)
-
-    return summary.select(
-        "column",
-        F.col("n").alias("count"),
-        rounded(F.col("mean")).alias("mean"),
-        rounded(F.col("std")).alias("std"),
-        rounded(F.col("low")).alias("min"),
-        *[rounded(F.get("quantiles", F.lit(i))).alias(name) for i, name in enumerate(["p25", "p50", "p75"])],
-        rounded(F.col("high")).alias("max"),
-    )
+        at = quantiles(cells, {position: (row[0], row[3], row[4]) for position, row in found.items() if row[0]}, PROBABILITIES)
+    rows = []
+    for position, (count, mean, std, low, high, *_) in sorted(found.items()):
+        rows.append((names[position], count, mean, std, low, *at.get(position, [None] * 3), high))
+    summary = df.sparkSession.createDataFrame(rows, _SUMMARY)
+    return summary.select("column", "count", *[numpy_round(F.col(c), 2).alias(c) for c in summary.columns[2:]])
 
 
 def top_values(df: DataFrame, n: int = 5, counts: DataFrame | None = None) -> DataFrame:

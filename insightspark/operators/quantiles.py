@@ -1,81 +1,111 @@
 """Exact order statistics of many columns without sorting or collecting a column.
 
 Each column's value range is narrowed by counting.  A round counts the values
-of every bracket in equal-width buckets, then keeps only the buckets that hold
-a wanted rank.  The values inside the last brackets are counted one by one.
-A round is a scan, a small broadcast join and an aggregation whose size is
-columns x ranks x buckets, whatever the number of rows; a value shared by a
-third of the rows is one counter.
+of every bracket in equal-width buckets and keeps only the buckets that hold a
+wanted rank.  The values inside the last brackets are counted one by one.  A
+round is one scan and one aggregation whose size is columns x ranks x buckets,
+whatever the number of rows; a value shared by a third of the rows is one
+counter.  Only the brackets, a few per column, pass through the driver.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKETS = 1024
 
 
-def quantiles(values: DataFrame, stats: DataFrame, probabilities: list[float], rounds: int = 2) -> DataFrame:
-    """(column, quantiles ARRAY<DOUBLE>) with linear interpolation between ranks.
+class Bracket(NamedTuple):
+    """A value range of one column that holds wanted ranks; ``below`` values are smaller."""
+
+    position: int
+    low: float
+    high: float
+    below: int
+    ranks: list[int]
+
+
+_SCHEMA = "bracket int, position int, low double, high double, below bigint, ranks array<bigint>"
+
+
+def stacked(cells: DataFrame, positions: list[int] | None = None) -> DataFrame:
+    """(position, value) from a table whose columns are named by their position."""
+    names = cells.columns if positions is None else [str(p) for p in positions]
+    rows = cells.select(*names).unpivot([], names, "position", "value")
+    return rows.withColumn("position", F.col("position").cast("int"))
+
+
+def quantiles(
+    cells: DataFrame, bounds: dict[int, tuple[int, float, float]], probabilities: list[float], rounds: int = 2
+) -> dict[int, list[float]]:
+    """Per column position the quantiles, interpolated linearly between ranks.
 
-    ``values`` holds (column, value) without nulls; ``stats`` one row per column
-    with ``column``, ``n``, ``low`` and ``high``.
+    ``cells`` has DOUBLE columns named by position; ``bounds`` gives the number
+    of values that are not null, the smallest and the largest for every column
+    with any.  A column is no longer scanned once its ranks are settled.
     """
-    positions = F.array(*[(F.col("n") - 1).cast("double") * p for p in probabilities])
-    wanted = F.flatten(F.transform(positions, lambda p: F.array(F.floor(p), F.ceil(p))))
-    brackets = stats.where(F.col("n") > 0).select(
-        "column", "low", "high", F.lit(0).cast("bigint").alias("below"), F.array_distinct(wanted).alias("ranks")
-    )
-    for _ in range(rounds):
-        brackets = _narrow(values, brackets)
-    found = _rank_values(values, brackets)
-    by_rank = found.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-
-    def at_position(position: Column) -> Column:
-        lower, upper = F.element_at("at", F.floor(position)), F.element_at("at", F.ceil(position))
-        share = position - F.floor(position)
-        step = upper - lower
-        near_upper = upper - step * (1.0 - share)
-        return F.when(lower == upper, lower).when(share >= 0.5, near_upper).otherwise(lower + step * share)
-
-    return by_rank.join(stats.select("column", "n"), "column").select(
-        "column", F.transform(positions, at_position).alias("quantiles")
-    )
-
-
-def _inside(values: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Values with the bracket they fall in; brackets of a column do not overlap."""
-    # At most two ranks per probability and column, so the broadcast is bounded
-    # by the number of columns.
-    small = F.broadcast(brackets.withColumnRenamed("column", "of_column"))
-    in_bracket = (F.col("column") == F.col("of_column")) & F.col("value").between(F.col("low"), F.col("high"))
-    return values.join(small, in_bracket).drop("of_column")
-
-
-def _narrow(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    brackets = []
+    for position, (n, low, high) in bounds.items():
+        places = [(n - 1) * p for p in probabilities]
+        ranks = sorted({rank for place in places for rank in (math.floor(place), math.ceil(place))})
+        brackets.append(Bracket(position, low, high, 0, ranks))
+    at: dict[tuple[int, int], float] = {}
+    for still_narrowing in [True] * rounds + [False]:
+        at.update({(b.position, rank): b.low for b in brackets if b.low == b.high for rank in b.ranks})
+        brackets = [b for b in brackets if b.low < b.high]
+        if not brackets:
+            break
+        values = stacked(cells, sorted({b.position for b in brackets}))
+        if still_narrowing:
+            brackets = _narrow(values, brackets)
+        else:
+            at.update(_rank_values(values, brackets))
+    return {
+        position: [_interpolated(at, position, (n - 1) * p) for p in probabilities] for position, (n, _, _) in bounds.items()
+    }
+
+
+def _interpolated(at: dict[tuple[int, int], float], position: int, place: float) -> float:
+    lower, upper = at[position, math.floor(place)], at[position, math.ceil(place)]
+    share = place - math.floor(place)
+    if lower == upper:
+        return lower
+    if share >= 0.5:
+        return upper - (upper - lower) * (1.0 - share)
+    return lower + (upper - lower) * share
+
+
+def _narrow(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
     # Halved before subtracting, so that the width cannot overflow; an infinite
     # width leaves one bucket, which the last step still resolves.
     share = (F.col("value") * 0.5 - F.col("low") * 0.5) / (F.col("high") * 0.5 - F.col("low") * 0.5)
     bucket = F.when(
         F.col("high") > F.col("low"), F.least(F.floor(F.nanvl(share, F.lit(0.0)) * _BUCKETS), F.lit(_BUCKETS - 1))
     ).otherwise(0)
-    counted = (
-        _inside(values, brackets)
-        .groupBy("column", "below", "ranks", bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    )
-    return _holding_ranks(counted, "bucket").select("column", "low", "high", F.col("start").alias("below"), "ranks")
+    bounds = [F.min("value").alias("low"), F.max("value").alias("high")]
+    found = _holding_ranks(values, brackets, bucket, bounds).select("position", "low", "high", "start", "held")
+    return [Bracket(*row) for row in found.collect()]
 
 
-def _rank_values(values: DataFrame, brackets: DataFrame) -> DataFrame:
-    counted = _inside(values, brackets).groupBy("column", "below", "ranks", "value").agg(F.count(F.lit(1)).alias("n"))
-    return _holding_ranks(counted, "value").select("column", F.explode("ranks").alias("rank"), "value")
+def _rank_values(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[int, int], float]:
+    found = _holding_ranks(values, brackets, F.col("value"), []).select("position", "counter", "held")
+    return {(position, rank): value for position, value, ranks in found.collect() for rank in ranks}
 
 
-def _holding_ranks(counted: DataFrame, order: str) -> DataFrame:
+def _holding_ranks(values: DataFrame, brackets: list[Bracket], counter: Column, measures: list[Column]) -> DataFrame:
     """Counters that hold a wanted rank, with ``start`` and the ranks they hold."""
-    so_far = Window.partitionBy("column", "below").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("end", F.col("below") + F.sum("n").over(so_far)).withColumn("start", F.col("end") - F.col("n"))
-    held = F.filter("ranks", lambda rank: (rank >= F.col("start")) & (rank < F.col("end")))
-    return placed.withColumn("ranks", held).where(F.size("ranks") > 0)
+    rows = [(i, *bracket) for i, bracket in enumerate(brackets)]
+    known = values.sparkSession.createDataFrame(rows, _SCHEMA)
+    # At most two brackets per probability and column, and no two of a column overlap.
+    inside = values.join(F.broadcast(known.drop("below", "ranks")), "position").where(F.col("value").between(F.col("low"), F.col("high")))
+    counted = inside.groupBy("bracket", counter.alias("counter")).agg(F.count(F.lit(1)).alias("n"), *measures)
+    so_far = Window.partitionBy("bracket").orderBy("counter").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("upto", F.sum("n").over(so_far))
+    named = placed.join(F.broadcast(known.select("bracket", "position", "below", "ranks")), "bracket")
+    start, end = F.col("below") + F.col("upto") - F.col("n"), F.col("below") + F.col("upto")
+    held = F.filter("ranks", lambda rank: (rank >= start) & (rank < end))
+    return named.withColumn("start", start).withColumn("held", held).where(F.size("held") > 0)

@@ -45,7 +45,9 @@ def suggested_for(df: DataFrame, n: int = 5) -> list[str]:
 def question_rows(df: DataFrame) -> DataFrame:
     """One row per question: the other columns, ``question_idx``, ``question``."""
     rest = [F.col(c) for c in df.columns if c != "questions"]
-    return df.select(*rest, F.posexplode("questions").alias("question_idx", "question"))
+    # The outer form keeps the optimizer from computing the array twice.
+    exploded = df.select(*rest, F.posexplode_outer("questions").alias("question_idx", "question"))
+    return exploded.where("question_idx IS NOT NULL")
 
 
 def questions_or_fallback(answered: DataFrame, suggested: DataFrame, table: str = "table_name") -> DataFrame:

@@ -28,12 +28,17 @@ def parse_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     A fence around the JSON is removed first.  Anything but a JSON object is an
     error, also the NaN and Infinity that some parsers accept.
     """
-    parsed = df.withColumn("response", F.try_parse_json(strip_fences(F.col(raw))))
-    kind = json_kind(F.col("response"))
-    error = F.when(F.col("response").isNull(), "Invalid JSON").when(
-        kind != "object", F.concat(F.lit("Expected a JSON object, found "), kind)
-    )
-    return parsed.withColumn("error", error).withColumn("response", F.when(F.col("error").isNull(), F.col("response")))
+
+    def checked(value: Column) -> Column:
+        kind = json_kind(value)
+        error = F.when(value.isNull(), "Invalid JSON").when(
+            kind != "object", F.concat(F.lit("Expected a JSON object, found "), kind)
+        )
+        return F.struct(F.when(kind == "object", value).alias("response"), error.alias("error"))
+
+    # As generated columns they are computed once: a later filter on them stays
+    # above, where it would otherwise be pushed down and parse everything again.
+    return df.select("*", F.inline(F.array(bind(F.try_parse_json(strip_fences(F.col(raw))), checked))))
 
 
 def valid_responses(parsed: DataFrame) -> DataFrame:
@@ -72,7 +77,9 @@ def with_recommendations(df: DataFrame, response: str = "response") -> DataFrame
 def recommendation_rows(df: DataFrame) -> DataFrame:
     """One row per recommendation: the other columns, ``position`` (from 1) and its five fields."""
     rest = [F.col(c) for c in df.columns if c not in ("recommendations", "response")]
-    exploded = df.select(*rest, F.posexplode("recommendations").alias("position", "item"))
+    # The outer form keeps the optimizer from computing the array a second time
+    # in a filter of its own; rows without recommendations go afterwards.
+    exploded = df.select(*rest, F.posexplode_outer("recommendations").alias("position", "item")).where("position IS NOT NULL")
     return exploded.select(*rest, (F.col("position") + 1).alias("position"), "item.*")
 
 

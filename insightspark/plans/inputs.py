@@ -11,12 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insightspark.plans.sales_view import table
+from insightspark.session import spread
 
 # Whitespace that trim() alone would leave in place.
 PADDING_BEFORE = "\u00a0 \t"
 PADDING_AFTER = "\u2003\n"
 
 
+def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, over all cores even where they are one small file."""
+    return spread(table(spark, folder, "documents"))
+
+
 def padded_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation texts with whitespace of several kinds around them."""
     padded = F.concat(F.lit(PADDING_BEFORE), F.col("text"), F.lit(PADDING_AFTER))
@@ -141,7 +147,7 @@ def fenced_documents(spark: SparkSession, folder: str) -> DataFrame:
         .when(shape("doc_id", 5) == 3, F.concat(F.lit(" \n"), text, F.lit(" \n")))
         .otherwise(text)
     )
-    return table(spark, folder, "documents").select("doc_id", raw.alias("raw"))
+    return spread_documents(spark, folder).select("doc_id", raw.alias("raw"))
 
 
 # Confidence values in the forms models send them; the last one leaves the key out.
@@ -175,7 +181,7 @@ def model_responses(spark: SparkSession, folder: str) -> DataFrame:
         .when(shape("doc_id", 2) == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .otherwise(body)
     )
-    return table(spark, folder, "documents").select("doc_id", raw.alias("raw"))
+    return spread_documents(spark, folder).select("doc_id", raw.alias("raw"))
 
 
 def question_responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,7 +222,7 @@ def markdown_reports(spark: SparkSession, folder: str) -> DataFrame:
     head = F.concat(
         F.lit("# "), F.col("source"), F.lit("\n\n## Notes\n- **"), F.col("lang"), F.lit("** *is* `code`\n* **a** and **b**\n  1. step\n---\n- last\n")
     )
-    return table(spark, folder, "documents").select("doc_id", F.concat(head, body).alias("markdown"))
+    return spread_documents(spark, folder).select("doc_id", F.concat(head, body).alias("markdown"))
 
 
 def step_events(events: DataFrame) -> DataFrame:

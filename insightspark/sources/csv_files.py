@@ -20,8 +20,8 @@ NULL_TOKENS = [
 BOOLEAN_TOKENS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 _INTEGER = r"^[+-]?\d+$"
-_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_INFINITE = r"(?i)^[+-]?inf(inity)?$"
+# Python's spelling of a float; a cast alone would also take Java's 1d and 1f.
+_FLOAT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 # One bit per kind of cell; a column's type follows from the bits seen in it.
 _IS_INTEGER, _IS_DOUBLE, _IS_BOOLEAN, _IS_TEXT = 1, 2, 4, 8
@@ -75,24 +75,24 @@ def typed_cells(raw: DataFrame, schema: T.StructType) -> DataFrame:
 def infer_types(raw: DataFrame) -> DataFrame:
     """Type an all-text table: BIGINT, then DOUBLE, BOOLEAN, else STRING.
 
-    One scan with one fixed-width aggregate per column (an OR over kind bits),
-    so the pass has no shuffle beyond one row per task.
+    One scan that keeps an OR over kind bits per column, so the pass shuffles
+    no more than one row per column and task.
     """
     names = [n for n in raw.columns if n != _OVERFLOW]
     if not names:
         raise DataIngestionError("The file contains no data.")
-    extra = F.count(column(_OVERFLOW)) if _OVERFLOW in raw.columns else F.lit(0)
+    # The cells are stacked, so the generated code does not grow with the width.
     cells = null_tokens_to_null(raw)
-    seen = cells.agg(
-        F.count(F.lit(1)).alias("rows"),
-        extra.alias("extra"),
-        *[F.bit_or(_cell_kind(column(n))).alias(f"kind{i}") for i, n in enumerate(names)],
-    ).first()
-    if seen["rows"] == 0:
+    numbered = cells.select(*[column(n).alias(str(i)) for i, n in enumerate(cells.columns)])
+    stacked = numbered.unpivot([], numbered.columns, "position", "cell")
+    measures = [F.count(F.lit(1)), F.count("cell"), F.bit_or(_cell_kind(F.col("cell")))]
+    seen = {cells.columns[int(position)]: counts for position, *counts in stacked.groupBy("position").agg(*measures).collect()}
+    if not seen:
         raise DataIngestionError("The file contains no data.")
-    if seen["extra"]:
-        raise DataIngestionError(f"Could not parse file: {seen['extra']} rows have more cells than the header")
-    return cells.select(*[_typed(n, _column_type(seen[f"kind{i}"] or 0)) for i, n in enumerate(names)])
+    extra = seen.pop(_OVERFLOW)[1] if _OVERFLOW in seen else 0
+    if extra:
+        raise DataIngestionError(f"Could not parse file: {extra} rows have more cells than the header")
+    return cells.select(*[_typed(n, _column_type(seen[n][2])) for n in names])
 
 
 def _read_text(spark: SparkSession, path, names: list[str], multi_line: bool) -> DataFrame:
@@ -119,10 +119,11 @@ def _header(spark: SparkSession, path, multi_line: bool) -> list[str]:
 
 def _cell_kind(cell: Column) -> Column:
     trimmed = strip(cell)
+    # A failing cast costs an exception per cell, so patterns go first.
     return (
         F.when(cell.isNull(), 0)
         .when(trimmed.rlike(_INTEGER) & trimmed.try_cast("bigint").isNotNull(), _IS_INTEGER)
-        .when(trimmed.rlike(_DECIMAL) | trimmed.rlike(_INFINITE), _IS_DOUBLE)
+        .when(trimmed.rlike(_FLOAT), _IS_DOUBLE)
         .when(cell.isin(BOOLEAN_TOKENS), _IS_BOOLEAN)
         .otherwise(_IS_TEXT)
     )
@@ -141,9 +142,6 @@ def _column_type(bits: int) -> T.DataType:
 def _typed(name: str, kind: T.DataType) -> Column:
     cell = column(name)
     value = F.when(~cell.isin(NULL_TOKENS), cell)
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        infinite = F.when(F.startswith(value, F.lit("-")), float("-inf")).otherwise(float("inf"))
-        return F.when(strip(value).rlike(_INFINITE), infinite).otherwise(strip(value).try_cast(kind)).alias(name)
     if isinstance(kind, T.StringType):
         return value.alias(name)
     return strip(value).try_cast(kind).alias(name)
