@@ -16,7 +16,7 @@ def read_text_documents(spark: SparkSession, path, recursive: bool = True) -> Da
     """(source_file, text) of every file below ``path``, whatever its suffix.
 
     Invalid UTF-8 bytes are dropped.  Spark spreads the files over tasks and
-    reads each one whole.
+    reads each one whole.  An empty file has no row, as it would have no chunks.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     try:
