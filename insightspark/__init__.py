@@ -5,6 +5,14 @@ with ``df.transform``.  Nothing here keeps state, and nothing collects a table
 to the driver.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from insightspark.errors import DataIngestionError, DocumentIngestionError
 
+# The few Python functions that run in tasks travel with the job, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["DataIngestionError", "DocumentIngestionError"]

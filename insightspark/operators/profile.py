@@ -10,7 +10,7 @@ from insightspark.functions import kinds
 from insightspark.functions.kinds import column, present
 from insightspark.functions.numbers import numpy_round, percent, python_round
 from insightspark.operators.quantiles import quantiles, stacked
-from insightspark.session import empty
+from insightspark.session import empty, write_once
 
 PROBABILITIES = [0.25, 0.5, 0.75]
 
@@ -154,14 +154,15 @@ def health_score(df: DataFrame) -> DataFrame:
 def profile_table(df: DataFrame, approximate: bool = False) -> dict[str, DataFrame]:
     """All profile tables of one input, by name.
 
-    The value counts feed two of them; within one session their shuffle is
-    computed once per table.  Pass a table that is written or cheap to rescan.
+    The exact value counts feed two of them and are written once to the shared
+    folder.  Pass a table that is itself written or cheap to rescan.
     """
+    counts = None if approximate else write_once(value_counts(df), "value-counts")
     return {
         "shape": shape(df),
-        "columns": column_profile(df, approximate),
+        "columns": column_profile(df, approximate, counts),
         "numeric_summary": numeric_summary(df, approximate=approximate),
-        "categorical_summary": top_values(df),
+        "categorical_summary": top_values(df, counts=counts),
         "date_range": date_range(df),
         "data_health_score": health_score(df),
     }

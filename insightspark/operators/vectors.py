@@ -62,10 +62,14 @@ def vector_dims(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def check_dims(df: DataFrame, dim: int | None = None, vector: str = "embedding") -> int:
     """The one dimension of all vectors; ``DocumentIngestionError`` if they differ from it or each other."""
+    return _checked_dims(df, dim, vector)[1]
+
+
+def _checked_dims(df: DataFrame, dim: int | None, vector: str) -> tuple[int, int]:
     found = vector_dims(df, vector).first()
     if found["missing"] or found["min_dim"] != found["max_dim"] or (dim is not None and found["max_dim"] not in (None, dim)):
         raise DocumentIngestionError(f"Vectors of unequal dimension: {found.asDict()}, expected {dim}")
-    return found["max_dim"] or 0
+    return found["vectors"], found["max_dim"] or 0
 
 
 def cosine_topk(
@@ -83,19 +87,18 @@ def cosine_topk(
     Every task multiplies its chunk vectors with the broadcast query vectors
     and keeps k candidates per query, so no pair is ever emitted and the
     shuffle carries k rows per query and task.  The size of the queries is
-    checked first: those beyond ``block_bytes`` are worked off in blocks, each
-    written to the shared folder.  Equal scores go to the smaller id; a vector
-    of length zero has no score and comes last.
+    checked first: those beyond ``block_bytes`` are worked off in blocks.  The
+    result is written to the shared folder, so that the scan is not repeated
+    and later joins know how small it is.  Equal scores go to the smaller id; a
+    vector of length zero has no score and comes last.
     """
-    dim = check_dims(queries, vector=query_vector)
     asked = queries.select(column(query_id).alias("query_id"), column(query_vector).alias("vector"))
     stored = chunks.select(column(chunk_id).alias("chunk_id"), column(vector).alias("vector"))
-    blocks = max(1, -(-queries.count() * dim * 8 // block_bytes))
-    if blocks == 1:
-        return _topk_block(stored, asked, dim, k)
+    count, dim = _checked_dims(asked, None, "vector")
+    blocks = max(1, -(-count * dim * 8 // block_bytes))
     folder = shared_folder(chunks.sparkSession, "topk")
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
         _topk_block(stored, part, dim, k).write.parquet(f"{folder}/block={block}")
     return chunks.sparkSession.read.parquet(folder).drop("block")
 

@@ -62,12 +62,11 @@ def test_chunks_follow_the_rule(text, limits):
 @settings(max_examples=200, deadline=None)
 @given(TEXTS)
 def test_chunks_cover_every_character_in_order(text):
-    position = 0
-    for chunk in chunking.split_text(text, 20, 4):
-        start = text.find(chunk, max(0, position - len(chunk)))
-        assert start >= 0 and not text[position:start].strip()
-        position = max(position, start + len(chunk))
-    assert not text[position:].strip()
+    reached = 0
+    for start, end in chunking._chunk_spans(text, 0, len(text), list(chunking.SEPARATORS), 20, 4):
+        assert reached - 4 <= start <= reached < end
+        reached = end
+    assert reached == len(text)
 
 
 def test_preferred_cuts():
