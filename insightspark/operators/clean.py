@@ -50,16 +50,19 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 # Date layouts in order of preference.  Each is a pattern and its rewrite to ISO.
-_ISO = r"^(\d{4})-(\d{2})-(\d{2})"
+# The patterns keep impossible months out, which would cost an exception each.
+_MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+_ISO = r"(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"
 _DATE_LAYOUTS = [
-    (_ISO[1:], "$1-$2-$3"),
-    (r"(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
-    (r"(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
-    (r"(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$2-$1"),
-    (r"(\d{1,2})-(\d{1,2})-(\d{4})", "$3-$1-$2"),
-    (r"(\d{1,2})-(\d{1,2})-(\d{4})", "$3-$2-$1"),
+    (_ISO, "$1-$2-$3"),
+    (rf"(\d{{4}})/{_MONTH}/{_DAY}", "$1-$2-$3"),
+    (rf"{_MONTH}/{_DAY}/(\d{{4}})", "$3-$1-$2"),
+    (rf"{_DAY}/{_MONTH}/(\d{{4}})", "$3-$2-$1"),
+    (rf"{_MONTH}-{_DAY}-(\d{{4}})", "$3-$1-$2"),
+    (rf"{_DAY}-{_MONTH}-(\d{{4}})", "$3-$2-$1"),
 ]
-_TIME_LAYOUTS = ["", r"[ T](\d{2}:\d{2})", r"[ T](\d{2}:\d{2}:\d{2})", r"[ T](\d{2}:\d{2}:\d{2}\.\d{1,9})"]
+_MINUTE = r"(?:[01]\d|2[0-3]):[0-5]\d"
+_TIME_LAYOUTS = ["", rf"[ T]({_MINUTE})", rf"[ T]({_MINUTE}:[0-5]\d)", rf"[ T]({_MINUTE}:[0-5]\d\.\d{{1,9}})"]
 _ZONES = ["", r"(Z|[+-]\d{2}:\d{2})"]
 
 
@@ -82,7 +85,7 @@ def _read_as(text: Column, layout: Layout) -> Column:
     if not pattern:
         return F.lit(None).cast(kind)
     # ISO texts are cast as they are.
-    iso = text if pattern.startswith(_ISO) else F.regexp_replace(text, pattern, rewrite)
+    iso = text if pattern.startswith("^" + _ISO) else F.regexp_replace(text, pattern, rewrite)
     return F.when(text.rlike(pattern), iso.try_cast(kind))
 
 
