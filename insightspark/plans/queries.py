@@ -78,9 +78,14 @@ def result_payloads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _as_pattern(folder: str, name: str) -> str:
+    """A path pattern, since a stream takes a single file only as a match of one."""
+    return f"{folder}/{{{name}}}.parquet"
+
+
 def stream_revenue_by_dim(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "lineitem").schema
-    lines = arrivals.arriving_files(spark, folder, schema, kind="parquet", glob="lineitem.parquet")
+    lines = arrivals.arriving_files(spark, _as_pattern(folder, "lineitem"), schema, kind="parquet")
     rows = sales_rows(lines, spark, folder, ("region", "total_revenue"))
     out = shared_folder(spark, "revenue-stream")
     write_changes(arrivals.revenue_changes(rows, "region"), f"{out}/changes", f"{out}/checkpoint").awaitTermination()
@@ -411,7 +416,7 @@ def run_step_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_step_status(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
-    events = arrivals.arriving_files(spark, folder, schema, kind="parquet", glob="events.parquet")
+    events = arrivals.arriving_files(spark, _as_pattern(folder, "events"), schema, kind="parquet")
     out = shared_folder(spark, "status-stream")
     changes = step_status.status_changes(inputs.step_events(events))
     write_changes(changes, f"{out}/changes", f"{out}/checkpoint").awaitTermination()
