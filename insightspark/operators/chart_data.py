@@ -16,6 +16,11 @@ REGION = "region"
 SEGMENT = "baja_prerunner"
 HIGHLIGHT = "baja"
 
+# The names of the four charts.
+BY_YEAR, BY_CATEGORY, BY_SEGMENT, BY_REGION = (
+    "revenue_by_year", "revenue_by_build_category", "baja_growth_trend", "revenue_by_region",
+)
+
 _CHART_SCHEMA = "chart string, series string, x string, y double"
 
 
@@ -95,13 +100,13 @@ def chart_data(
 
     points = []
     if year in keys:
-        points.append(point("revenue_by_year", year, F.lit("revenue")))
+        points.append(point(BY_YEAR, year, F.lit("revenue")))
     if category in keys:
-        points.append(point("revenue_by_build_category", category, F.lit("revenue")))
+        points.append(point(BY_CATEGORY, category, F.lit("revenue")))
     if category in keys and year in keys:
-        points.append(point("segment_growth_trend", year, _series(column(category), segment)))
+        points.append(point(BY_SEGMENT, year, _series(column(category), segment)))
     if region in keys:
-        points.append(point("revenue_by_region", region, F.lit("revenue")))
+        points.append(point(BY_REGION, region, F.lit("revenue")))
     stacked = base.select(F.inline(F.array(*points))).where(F.col("x").isNotNull())
     return stacked.groupBy("chart", "series", "x").agg(*merged_sums()).select("chart", "series", "x", total().alias("y"))
 

@@ -262,7 +262,8 @@ def count_letters():
 
 
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.embed(chunk_documents(spark, folder), count_letters)
+    embedded = vectors.embed(chunk_documents(spark, folder), count_letters)
+    return embedded.select("doc_id", "chunk_idx", F.posexplode("embedding").alias("position", "value"))
 
 
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 The SQL spells the semantics again, from the same tables and the same input
 formulas, without using anything of the Spark side but its fixed values.
-``chunk_documents`` and ``embed_chunks`` have none: packing pieces is a
-sequential loop, tested against a model in ``tests``.
 """
 
 from __future__ import annotations
@@ -185,6 +183,49 @@ FALLBACK = f"""WITH {OUTCOMES}
   WHERE run_id NOT IN (SELECT run_id FROM outcomes WHERE provider IS NULL)"""
 FAILED = f"WITH {OUTCOMES} SELECT run_id, count(*) AS failed_queries FROM outcomes WHERE provider IS NULL GROUP BY run_id"
 
+# --- chunks ----------------------------------------------------------------
+
+SIZE, OVERLAP = 500, 50
+
+
+def _split_level(level: int, separator: str) -> str:
+    """Segments of one level cut at its separator: short pieces are packed, the rest goes one level down."""
+    this, down, sep = f"segments{level}", f"segments{level + 1}", separator.replace("\n", f"' || {NL} || '")
+    return f"""
+  parts{level} AS (SELECT doc_id, st, string_split(tx, '{sep}') AS parts FROM {this} WHERE contains(tx, '{sep}')),
+  split{level} AS (SELECT doc_id, st, i, CASE WHEN i = 1 THEN part ELSE '{sep}' || part END AS piece
+    FROM (SELECT doc_id, st, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM parts{level})),
+  pieces{level} AS (SELECT doc_id, st, piece, length(piece) >= {SIZE} AS long,
+      st + coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
+      count(*) FILTER (length(piece) >= {SIZE}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS longs
+    FROM split{level} WHERE piece <> '' WINDOW w AS (PARTITION BY doc_id, st ORDER BY i)),
+  {down} AS (SELECT doc_id, a AS st, piece AS tx FROM pieces{level} WHERE long
+    UNION ALL SELECT doc_id, st, tx FROM {this} WHERE NOT contains(tx, '{sep}')),"""
+
+
+_LEVELS = ["\n\n", "\n", ". ", " "]
+_SHORT = " UNION ALL ".join(
+    f"SELECT doc_id, {i}::BIGINT AS level, st, longs, a, a + length(piece) AS b FROM pieces{i} WHERE NOT long" for i in range(len(_LEVELS))
+)
+# A chunk starts at a piece and ends before the first piece that does not fit.
+# The next one starts at the first piece within the overlap that leaves room
+# for that piece, so a chunk follows from its first piece alone.
+CHUNKS = f"""WITH RECURSIVE segments0 AS (SELECT doc_id, 0::BIGINT AS st, text AS tx FROM documents),
+  {"".join(_split_level(i, s) for i, s in enumerate(_LEVELS))}
+  short AS ({_SHORT} UNION ALL SELECT doc_id, {len(_LEVELS)}, st, 0, st + i, st + i + 1
+    FROM (SELECT doc_id, st, unnest(range(length(tx))) AS i FROM segments{len(_LEVELS)})),
+  numbered AS (SELECT doc_id, level, st, longs, a, b, row_number() OVER w AS n, max(b) OVER (PARTITION BY doc_id, level, st, longs) AS last,
+      greatest(a - {OVERLAP}, b - {SIZE}) AS earliest FROM short WINDOW w AS (PARTITION BY doc_id, level, st, longs ORDER BY a)),
+  restart AS (SELECT p.*, q.n AS again FROM numbered p ASOF JOIN numbered q
+    ON p.doc_id = q.doc_id AND p.level = q.level AND p.st = q.st AND p.longs = q.longs AND p.earliest <= q.a),
+  spans AS (SELECT p.doc_id, p.level, p.st, p.longs, p.n, p.a, coalesce(q.a, p.last) AS b, q.again FROM numbered p ASOF LEFT JOIN restart q
+    ON p.doc_id = q.doc_id AND p.level = q.level AND p.st = q.st AND p.longs = q.longs AND p.a + {SIZE} < q.b),
+  walk AS (SELECT * FROM spans WHERE n = 1
+    UNION ALL SELECT spans.* FROM walk JOIN spans ON walk.doc_id = spans.doc_id AND walk.level = spans.level AND walk.st = spans.st
+      AND walk.longs = spans.longs AND walk.again = spans.n),
+  chunks AS (SELECT doc_id, a, {_strip('substring(text, a + 1, b - a)')} AS chunk FROM walk JOIN documents USING (doc_id)),
+  kept AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_idx, chunk FROM chunks WHERE chunk <> '')"""
+
 # --- retrieval -------------------------------------------------------------
 
 VOWELS = "aeiouyhn"
@@ -194,6 +235,12 @@ EMBED_DOCUMENTS = " UNION ALL ".join(
 )
 
 
+EMBED_CHUNKS = f"{CHUNKS} " + " UNION ALL ".join(
+    f"""SELECT doc_id, chunk_idx, {i} AS position, CAST(length(chunk) - length(replace(chunk, '{letter}', '')) AS FLOAT) AS value FROM kept"""
+    for i, letter in enumerate(VOWELS)
+)
+
+
 def _dot(left: str, right: str) -> str:
     return f"list_sum(list_transform(range(1, len({left}) + 1), lambda i: {left}[i]::DOUBLE * {right}[i]::DOUBLE))"
 
@@ -373,7 +420,7 @@ SQL_CHECKS: dict[str, str] = {
     "chart_data": f"""WITH {SALES}
         SELECT 'revenue_by_year' AS chart, 'revenue' AS series, year::VARCHAR AS x, {REVENUE} AS y FROM sales WHERE year IS NOT NULL GROUP BY ALL
         UNION ALL SELECT 'revenue_by_build_category', 'revenue', build_category, {REVENUE} FROM sales WHERE build_category IS NOT NULL GROUP BY ALL
-        UNION ALL SELECT 'segment_growth_trend', {SERIES}, year::VARCHAR, {REVENUE} FROM sales WHERE year IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'baja_growth_trend', {SERIES}, year::VARCHAR, {REVENUE} FROM sales WHERE year IS NOT NULL GROUP BY ALL
         UNION ALL SELECT 'revenue_by_region', 'revenue', region, {REVENUE} FROM sales WHERE region IS NOT NULL GROUP BY ALL""",
     "keywords": f"SELECT doc_id, {_keywords('text', 'w')} AS keywords FROM documents",
     "search_queries": SEARCH_QUERIES,
@@ -382,7 +429,9 @@ SQL_CHECKS: dict[str, str] = {
     "result_block": RESULT_BLOCK,
     "fallback_merge": FALLBACK,
     "failed_runs": FAILED,
+    "chunk_documents": f"{CHUNKS} SELECT * FROM kept",
     "corpus_errors": "SELECT doc_id, source FROM documents WHERE lang = 'de'",
+    "embed_chunks": EMBED_CHUNKS,
     "embed_documents": EMBED_DOCUMENTS,
     "vector_dims": """SELECT count(embedding) AS vectors, count(*) - count(embedding) AS missing, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
         CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM embeddings""",

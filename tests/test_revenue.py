@@ -148,14 +148,14 @@ def test_chart_data_bundles_the_series(table):
     found = {(c, s, x): y for c, s, x, y in pairs(chart_data.chart_data(df))}
     expected = {("revenue_by_year", "revenue", k): v for k, v in pairs(chart_data.year_series(df))}
     expected |= {("revenue_by_build_category", "revenue", k): v for k, v, _ in pairs(chart_data.category_series(df))}
-    expected |= {("segment_growth_trend", s, k): v for s, k, v in pairs(chart_data.segment_vs_rest(df))}
+    expected |= {("baja_growth_trend", s, k): v for s, k, v in pairs(chart_data.segment_vs_rest(df))}
     expected |= {("revenue_by_region", "revenue", k): v for k, v, _ in pairs(chart_data.region_share(df))}
     assert found == expected
 
 
 def test_chart_data_without_a_region(table):
     charts = {r.chart for r in chart_data.chart_data(table[1].drop("region")).collect()}
-    assert charts == {"revenue_by_year", "revenue_by_build_category", "segment_growth_trend"}
+    assert charts == {"revenue_by_year", "revenue_by_build_category", "baja_growth_trend"}
 
 
 def test_currency_labels(spark):

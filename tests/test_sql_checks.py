@@ -9,12 +9,10 @@ from conftest import SMALL
 import __spark_entry__ as driver
 
 CHECKS = driver.oracle_sql()
-NOT_IN_SQL = {"chunk_documents", "embed_chunks"}
 
 
 def test_every_query_has_a_check():
-    assert set(driver.queries()) - set(CHECKS) == NOT_IN_SQL
-    assert set(CHECKS) <= set(driver.queries())
+    assert set(driver.queries()) == set(CHECKS)
 
 
 @pytest.fixture(scope="module")
