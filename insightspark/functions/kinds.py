@@ -52,11 +52,9 @@ def present(name: str, kind: T.DataType) -> Column:
 
 
 def timestamp_text(value: Column) -> Column:
-    """Seconds, plus six decimals only where there is a fraction."""
-    stamp = value.cast("timestamp_ntz")
-    whole = F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")
-    exact = F.date_format(stamp, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.when(F.date_trunc("second", stamp).cast("timestamp_ntz") == stamp, whole).otherwise(exact)
+    """Seconds, plus six decimals only where there is a fraction; no time zone takes part."""
+    text = value.cast("timestamp_ntz").cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
 def key_text(value: Column, kind: T.DataType) -> Column:

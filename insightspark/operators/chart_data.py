@@ -49,8 +49,9 @@ def segment_vs_rest(
     if not has_columns(df, category, year, revenue):
         return empty(df.sparkSession, "series string, year string, revenue double")
     kind = df.schema[year].dataType
-    keyed = df.withColumn("series", _series(column(category), segment)).withColumn("key", present(year, kind))
-    sums = keyed.where(F.col("key").isNotNull()).groupBy("series", "key").agg(*partial_sums(df, revenue))
+    key = present(year, kind)
+    series = _series(column(category), segment)
+    sums = df.where(key.isNotNull()).groupBy(series.alias("series"), key.alias("key")).agg(*partial_sums(df, revenue))
     return sums.orderBy("series", "key").select("series", key_text(F.col("key"), kind).alias("year"), total().alias("revenue"))
 
 

@@ -55,9 +55,8 @@ def has_columns(df: DataFrame, *names: str) -> bool:
 
 def sum_by(df: DataFrame, key: str, revenue: str = REVENUE) -> DataFrame:
     """(key, exact, wild) with the key in its own type and null keys dropped."""
-    kind = df.schema[key].dataType
-    keyed = df.withColumn("key", present(key, kind)).where(F.col("key").isNotNull())
-    return keyed.groupBy("key").agg(*partial_sums(df, revenue))
+    value = present(key, df.schema[key].dataType)
+    return df.where(value.isNotNull()).groupBy(value.alias("key")).agg(*partial_sums(df, revenue))
 
 
 def revenue_by_dimension(df: DataFrame, dimension: str, revenue: str = REVENUE, ordered: bool = True) -> DataFrame:
@@ -102,10 +101,10 @@ def growth_rates(df: DataFrame, group: str, year: str = YEAR, revenue: str = REV
     if not has_columns(df, group, year, revenue):
         return empty(df.sparkSession, "group string, year int, revenue double, yoy_pct double")
     group_kind, year_kind = df.schema[group].dataType, df.schema[year].dataType
-    keyed = df.withColumn("key", present(group, group_kind)).withColumn("period", present(year, year_kind))
+    key, period = present(group, group_kind), present(year, year_kind)
     sums = (
-        keyed.where(F.col("key").isNotNull() & F.col("period").isNotNull())
-        .groupBy("key", "period")
+        df.where(key.isNotNull() & period.isNotNull())
+        .groupBy(key.alias("key"), period.alias("period"))
         .agg(*partial_sums(df, revenue))
         .select("key", "period", numpy_round(total(), 2).alias("revenue"))
     )

@@ -207,7 +207,7 @@ def column_catalogue(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "error", "vehicle_platform")
         .otherwise("event_influence")
     )
-    day = F.date_format("ts", "yyyy-MM-dd")
+    day = F.col("ts").cast("date").cast("string")
     return table(spark, folder, "events").select(
         F.concat_ws("/", F.col("user_id").cast("string"), day).alias("table_name"), name.alias("column_name")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insightspark.functions import text as texts
+from insightspark.functions.kinds import timestamp_text
 from insightspark.operators import (
     chart_data, chunking, clean, profile, questions, reports, responses, revenue, run_log, search, vectors,
 )
@@ -120,9 +121,9 @@ def trim_strings(spark: SparkSession, folder: str) -> DataFrame:
 def parse_dates(spark: SparkSession, folder: str) -> DataFrame:
     parsed = clean.parse_dates(inputs.dated_orders(spark, folder))
     stamps = {"iso_date", "date_and_time", "update_stamp", "date_with_gaps"}
-    # Formatting a column that had stayed text would fail here.
+    # Reading a column that had stayed text would fail here.
     return parsed.select(
-        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in stamps else F.col(c) for c in parsed.columns]
+        *[timestamp_text(F.col(c)).alias(c) if c in stamps else F.col(c) for c in parsed.columns]
     )
 
 
@@ -132,7 +133,7 @@ def dupes_dropped(spark: SparkSession, folder: str) -> DataFrame:
 
 def clean_orders(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = clean.clean_table(inputs.messy_orders(spark, folder))
-    return cleaned.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
+    return cleaned.withColumn("order_date", timestamp_text(F.col("order_date")))
 
 
 # --- profiling -------------------------------------------------------------

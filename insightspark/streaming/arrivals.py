@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insightspark.functions.kinds import key_text, present
@@ -51,8 +50,8 @@ def clean_stream(rows: DataFrame) -> DataFrame:
 def revenue_changes(rows: DataFrame, dimension: str, revenue: str = REVENUE) -> DataFrame:
     """Streaming (key, exact, wild): running revenue sums per key."""
     kind = rows.schema[dimension].dataType
-    keyed = rows.withColumn("key", key_text(present(dimension, kind), kind))
-    return keyed.where(F.col("key").isNotNull()).groupBy("key").agg(*partial_sums(rows, revenue))
+    key = present(dimension, kind)
+    return rows.where(key.isNotNull()).groupBy(key_text(key, kind).alias("key")).agg(*partial_sums(rows, revenue))
 
 
 def revenue_so_far(spark: SparkSession, folder: str) -> DataFrame:
