@@ -34,7 +34,7 @@ def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias(" Order Key"),
         F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit("\t")).alias("Order Status "),
-        F.date_format("o_orderdate", "MM/dd/yyyy").alias("Order Date"),
+        _us_date(F.col("o_orderdate").cast("string")).alias("Order Date"),
         F.col("o_totalprice").alias("TOTAL price"),
     )
     return rows.unionAll(rows)
@@ -42,17 +42,24 @@ def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Text columns with "date" in their names, one of them with values that are no dates."""
-    when = F.col("o_orderdate")
+    # Cut from the text form, since formatting would go through a time zone.
+    when = F.col("o_orderdate").cast("string")
+    day = F.substring(when, 1, 10)
+    european = F.concat_ws("/", F.substring(when, 9, 2), F.substring(when, 6, 2), F.substring(when, 1, 4))
     return table(spark, folder, "orders").select(
         "o_orderkey",
-        F.date_format(when, "yyyy-MM-dd").alias("iso_date"),
-        F.date_format(when, "dd/MM/yyyy HH:mm").alias("date_and_time"),
-        F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss").alias("update_stamp"),
-        F.when(F.col("o_orderstatus") != "P", F.date_format(when, "MM/dd/yyyy")).alias("date_with_gaps"),
-        F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(F.date_format(when, "yyyy-MM-dd")).alias("mixed_date"),
+        day.alias("iso_date"),
+        F.concat(european, F.lit(" "), F.substring(when, 12, 5)).alias("date_and_time"),
+        F.concat(day, F.lit("T"), F.substring(when, 12, 8)).alias("update_stamp"),
+        F.when(F.col("o_orderstatus") != "P", _us_date(when)).alias("date_with_gaps"),
+        F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(day).alias("mixed_date"),
     )
 
 
+def _us_date(when: Column) -> Column:
+    return F.concat_ws("/", F.substring(when, 6, 2), F.substring(when, 9, 2), F.substring(when, 1, 4))
+
+
 def gappy_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with nulls in two columns."""
     return table(spark, folder, "orders").select(
