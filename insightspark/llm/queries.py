@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insightspark.llm import chat, mixing, packing, quality
+from insightspark.llm import ann, chat, mixing, packing, quality, topk, warc
 from insightspark.plans.sales_view import table
-from insightspark.session import write_once
+from insightspark.session import shared_folder, write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,13 @@ def public_vocabulary() -> packing.Vocabulary:
     )
 
 
+def op1_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    out = shared_folder(spark, "warc")
+    archives = warc.write_archives(warc.capture_plan(pages), out)
+    return warc.read_archives(spark, archives, out).drop("url")
+
+
 def op2_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     trees = quality.fit_quality(documents, table(spark, folder, "labels").select("doc_id", "quality"))
@@ -37,6 +44,10 @@ def op7_packed_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), public_vocabulary())
 
 
+def op8_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
     hostile = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame(
@@ -47,7 +58,14 @@ def op9_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(examples)
 
 
+def op10_stable_projections(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_quality_trees, op5_entropy_mix, op7_packed_windows, op9_chat_examples)
+    for f in (
+        op1_warc_archives, op2_quality_trees, op5_entropy_mix, op7_packed_windows, op8_norm_buckets, op9_chat_examples,
+        op10_stable_projections,
+    )
 }

@@ -1,6 +1,32 @@
 """The queries that SQL can express, for DuckDB."""
 
 SQL_CHECKS = {
+    "op1_warc_archives": r"""
+        WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        hashed AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS digest FROM rows),
+        ranked AS (
+            SELECT *, first_value(page_id) OVER same AS head, row_number() OVER same AS place
+            FROM hashed WINDOW same AS (PARTITION BY digest ORDER BY page_id DESC NULLS LAST)
+        )
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(digest, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+            CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN place > 1 THEN head END AS refers_to
+        FROM ranked
+    """,
+    "op8_norm_buckets": r"""
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
+            FROM vectors q JOIN vectors v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
     "op9_chat_examples": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
