@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insightspark.llm import ann, chat, mixing, packing, quality, topk, warc
+from insightspark.llm import ann, chat, html_text, mixing, packing, quality, topk, warc
 from insightspark.plans.sales_view import table
 from insightspark.session import shared_folder, write_once
 
@@ -40,6 +40,10 @@ def op5_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_host_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op7_packed_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), public_vocabulary())
 
@@ -65,7 +69,7 @@ def op10_stable_projections(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_warc_archives, op2_quality_trees, op5_entropy_mix, op7_packed_windows, op8_norm_buckets, op9_chat_examples,
+        op1_warc_archives, op2_quality_trees, op5_entropy_mix, op6_host_paths, op7_packed_windows, op8_norm_buckets, op9_chat_examples,
         op10_stable_projections,
     )
 }
