@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insightspark.llm import ann, chat, html_text, minhash, mixing, packing, quality, topk, warc
+from insightspark.llm import ann, chat, html_text, minhash, mixing, packing, quality, suffix_dedup, topk, warc
 from insightspark.plans.sales_view import table
 from insightspark.session import shared_folder, write_once
 
@@ -35,6 +35,10 @@ def op2_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(documents, trees).drop("text")
 
 
+def op3_repeat_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -73,7 +77,7 @@ def op10_stable_projections(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_warc_archives, op2_quality_trees, op4_tensored_minhash, op5_entropy_mix, op6_host_paths, op7_packed_windows, op8_norm_buckets, op9_chat_examples,
+        op1_warc_archives, op2_quality_trees, op3_repeat_intervals, op4_tensored_minhash, op5_entropy_mix, op6_host_paths, op7_packed_windows, op8_norm_buckets, op9_chat_examples,
         op10_stable_projections,
     )
 }
