@@ -36,7 +36,7 @@ def op2_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_repeat_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("kept_text")
 
 
 def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -238,9 +238,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
+    """doc_id, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
-    The spans of one document meet in one row; their number is bounded by its length.
+    ``kept_text`` holds the remaining bytes but for parts of characters that were cut.    The spans of one document meet in one row; their number is bounded by its length.
     """
     keyed = _keyed(documents.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]))
     spans = repeated_spans(keyed, length, gram, most)
@@ -251,7 +251,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()), *extra, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-            T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()),
+            T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()),
         ]
     )
 
@@ -265,7 +265,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
                     cuts = merged([(s["first"], s["end"]) for s in spans_ or ()])
                     edges = [0, *(x for cut in cuts for x in cut), len(raw)]
                     left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                    out.append((len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left))
+                    out.append((len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
                 columns = list(zip(*out)) if out else [[]] * 5
                 yield record_batch(arrow, [ids, *batch.columns[3:], *columns])
 
