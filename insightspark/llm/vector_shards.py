@@ -36,7 +36,7 @@ def finite_vectors(rows: DataFrame, component: Callable[[Column], Column]) -> Da
 def _matrix(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
     flat = column.combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dimension)
 
 
 def nearest(vectors: DataFrame, every: int, k: int, search: Search, score_type: str) -> DataFrame:
