@@ -1,0 +1,62 @@
+"""Extraction of main texts, alone and by the consensus of a host."""
+
+import pytest
+
+from insightspark.llm import html_text
+
+ARTICLE = "This is a paragraph of the article, long enough to count."
+
+
+def text_of(html):
+    return html_text.page_text(html, None)
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("", ""),
+        ("plain &lt;text&gt; &amp; more", "plain <text> & more"),
+        ("<p>One<p>Two  \n three&nbsp;four", "One\nTwo three four"),
+        ("<article><h1>T</h1><p>a<br>b</p><ul><li>x<li>y</ul></article>", "T\na\nb\nx\ny"),
+        ("<article><p>a <b>bo</b>ld</p><script>var a='</p><p>no</p>'</script><style>p{}</style></article>", "a bold"),
+        ("<body><nav>menu</nav><header>head</header><p>body text</p><aside>side</aside><footer>foot</footer>", "body text"),
+        ("<main><p>text</p><div class='comments'><p>reply</p></div><form>f</form><div id=cookie-notice>c</div></main>", "text"),
+        ("<article><p>text<div class='ad-slot'>buy</div><p>more</article><div class=sidebar>s</div>", "text\nmore"),
+        ("<p>x</p><!-- comment <p>y</p> --><p>z", "x\nz"),
+        ("<p>a < b and 2<3</p>", "a < b and 2<3"),
+        ("<p>cut off &am", "cut off &am"),
+        ("<div hidden>h</div><p>t</p>", "t"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+        ("<p>un<b>closed <i>tags</p><p>go on", "unclosed tags\ngo on"),
+        ("<script>never closed <p>x</p>", ""),
+    ],
+)
+def test_single_pages(html, expected):
+    assert text_of(html) == expected
+
+
+def test_generalised_paths_leave_numbers_out():
+    blocks, nodes = html_text.parse_page('<div class="post-123 entry x9"><p>a</p></div>')
+    assert nodes[-1].path == "/div.entry.post.x"
+
+
+def test_host_consensus_overrules_a_page(spark):
+    page = '<div class="menu-box"></div><div class="story"><p>{}</p></div><div class="extra"><p>{}</p></div>'
+    rows = [(i, f"http://Host.example:80/{i}", page.format(ARTICLE * 3, "short"), "x") for i in range(9)]
+    rows.append((9, "http://host.example/odd", page.format("Brief story.", "Much longer text beside the story. " * 9), "x"))
+    rows.append((10, "http://host.example/other", "<section><p>no story here</p></section>", "x"))
+    rows.append((11, "http://alone.example/", page.format("Brief story.", "Much longer text beside the story."), "x"))
+    found = {r.page_id: r for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()}
+    assert found[9].text == "Brief story." and found[9].n_chars == 12
+    assert found[10].text == "no story here"
+    assert found[11].text == "Brief story.\nMuch longer text beside the story."
+    assert all(found[i].text == ARTICLE * 3 for i in range(9))
+
+
+def test_odd_rows_and_empty_table(spark):
+    schema = "page_id bigint, url string, html string, host string"
+    rows = [(1, None, None, "h"), (None, "no host", "<p>x</p>", None), (2, "http://a/", "", None), (2, "http://a/", "", None), (3, "http://a/", "<p>" + "w " * 300_000, None)]
+    found = html_text.extract_pages(spark.createDataFrame(rows, schema))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(r.n_chars for r in found.collect()) == [0, 0, 0, 1, 599_999]
+    assert html_text.extract_pages(spark.createDataFrame([], schema)).collect() == []
