@@ -65,8 +65,9 @@ def column_profile(df: DataFrame, approximate: bool = False, counts: DataFrame |
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max), two decimals, per numeric column.
 
-    The quantiles are exact and are found here and now, in at most four scans of
-    the numeric columns; ``approximate`` takes them from sketches, in one scan.
+    The quantiles are exact and are found here and now: a scan for the bounds and
+    usually two more, over the columns that are not settled yet;
+    ``approximate`` takes them from sketches, in one scan.
     """
     names = kinds.numeric_columns(df) if columns is None else columns
     if not names:

@@ -1,11 +1,14 @@
 """Exact order statistics of many columns without sorting or collecting a column.
 
 Each column's value range is narrowed by counting.  A round counts the values
-of every bracket in equal-width buckets and keeps only the buckets that hold a
-wanted rank.  The values inside the last brackets are counted one by one.  A
-round is one scan and one aggregation whose size is columns x ranks x buckets,
-whatever the number of rows; a value shared by a third of the rows is one
-counter.  Only the brackets, a few per column, pass through the driver.
+of every bracket in buckets and keeps only the buckets that hold a wanted rank.
+Brackets over zero or infinity are split by sign, wide ones by magnitude and
+narrow ones evenly, so any column of doubles is down to single values after
+nine rounds at the latest, however it is distributed.  Brackets of at most
+``_FEW`` values are counted value by value.  A round is one scan and one aggregation of
+columns x ranks x buckets rows, whatever the number of rows; a value
+shared by a third of the rows is one counter.  Only the brackets, a few per
+column, pass through the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKETS = 1024
+_FEW = 4096
+# How a bracket is cut into buckets.
+_BY_SIGN, _BY_MAGNITUDE, _EVENLY, _BY_VALUE = range(4)
 
 
 class Bracket(NamedTuple):
@@ -25,11 +31,21 @@ class Bracket(NamedTuple):
     position: int
     low: float
     high: float
+    n: int
     below: int
     ranks: list[int]
 
+    @property
+    def cut(self) -> int:
+        if self.n <= _FEW:
+            return _BY_VALUE
+        if self.low <= 0.0 <= self.high or math.isinf(self.low) or math.isinf(self.high):
+            return _BY_SIGN
+        small, large = sorted((abs(self.low), abs(self.high)))
+        return _BY_MAGNITUDE if large / 8 > small else _EVENLY
 
-_SCHEMA = "bracket int, position int, low double, high double, below bigint, ranks array<bigint>"
+
+_SCHEMA = "bracket int, cut int, position int, low double, high double, n bigint, below bigint, ranks array<bigint>"
 
 
 def stacked(cells: DataFrame, positions: list[int] | None = None) -> DataFrame:
@@ -40,7 +56,7 @@ def stacked(cells: DataFrame, positions: list[int] | None = None) -> DataFrame:
 
 
 def quantiles(
-    cells: DataFrame, bounds: dict[int, tuple[int, float, float]], probabilities: list[float], rounds: int = 2
+    cells: DataFrame, bounds: dict[int, tuple[int, float, float]], probabilities: list[float]
 ) -> dict[int, list[float]]:
     """Per column position the quantiles, interpolated linearly between ranks.
 
@@ -52,18 +68,14 @@ def quantiles(
     for position, (n, low, high) in bounds.items():
         places = [(n - 1) * p for p in probabilities]
         ranks = sorted({rank for place in places for rank in (math.floor(place), math.ceil(place))})
-        brackets.append(Bracket(position, low, high, 0, ranks))
+        brackets.append(Bracket(position, low, high, n, 0, ranks))
     at: dict[tuple[int, int], float] = {}
-    for still_narrowing in [True] * rounds + [False]:
+    while True:
         at.update({(b.position, rank): b.low for b in brackets if b.low == b.high for rank in b.ranks})
         brackets = [b for b in brackets if b.low < b.high]
         if not brackets:
             break
-        values = stacked(cells, sorted({b.position for b in brackets}))
-        if still_narrowing:
-            brackets = _narrow(values, brackets)
-        else:
-            at.update(_rank_values(values, brackets))
+        brackets = _narrowed(stacked(cells, sorted({b.position for b in brackets})), brackets)
     return {
         position: [_interpolated(at, position, (n - 1) * p) for p in probabilities] for position, (n, _, _) in bounds.items()
     }
@@ -79,33 +91,29 @@ def _interpolated(at: dict[tuple[int, int], float], position: int, place: float)
     return lower + (upper - lower) * share
 
 
-def _narrow(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
-    # Halved before subtracting, so that the width cannot overflow; an infinite
-    # width leaves one bucket, which the last step still resolves.
-    share = (F.col("value") * 0.5 - F.col("low") * 0.5) / (F.col("high") * 0.5 - F.col("low") * 0.5)
-    bucket = F.when(
-        F.col("high") > F.col("low"), F.least(F.floor(F.nanvl(share, F.lit(0.0)) * _BUCKETS), F.lit(_BUCKETS - 1))
-    ).otherwise(0)
-    bounds = [F.min("value").alias("low"), F.max("value").alias("high")]
-    found = _holding_ranks(values, brackets, bucket, bounds).select("position", "low", "high", "start", "held")
-    return [Bracket(*row) for row in found.collect()]
-
-
-def _rank_values(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[int, int], float]:
-    found = _holding_ranks(values, brackets, F.col("value"), []).select("position", "counter", "held")
-    return {(position, rank): value for position, value, ranks in found.collect() for rank in ranks}
-
-
-def _holding_ranks(values: DataFrame, brackets: list[Bracket], counter: Column, measures: list[Column]) -> DataFrame:
-    """Counters that hold a wanted rank, with ``start`` and the ranks they hold."""
-    rows = [(i, *bracket) for i, bracket in enumerate(brackets)]
+def _narrowed(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """The buckets of these brackets that hold a wanted rank, as brackets."""
+    rows = [(i, bracket.cut, *bracket) for i, bracket in enumerate(brackets)]
     known = values.sparkSession.createDataFrame(rows, _SCHEMA)
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    magnitude = (F.log2(F.abs(value)) - F.log2(F.abs(low))) / (F.log2(F.abs(high)) - F.log2(F.abs(low)))
+    share = F.when(F.col("cut") == _BY_MAGNITUDE, magnitude).otherwise((value - low) / (high - low))
+    sign = F.signum(value) + F.when(F.abs(value) == float("inf"), F.signum(value)).otherwise(0.0)
+    counter = (
+        F.when(F.col("cut") == _BY_VALUE, value + 0.0)
+        .when(F.col("cut") == _BY_SIGN, sign)
+        .otherwise(F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (_BUCKETS - 1)).cast("double"))
+    )
     # At most two brackets per probability and column, and no two of a column overlap.
-    inside = values.join(F.broadcast(known.drop("below", "ranks")), "position").where(F.col("value").between(F.col("low"), F.col("high")))
-    counted = inside.groupBy("bracket", counter.alias("counter")).agg(F.count(F.lit(1)).alias("n"), *measures)
+    inside = values.join(F.broadcast(known.drop("n", "below", "ranks")), "position").where(value.between(low, high))
+    counted = inside.groupBy("bracket", counter.alias("counter")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    # Every bracket has a bounded number of counters: buckets, or few values.
     so_far = Window.partitionBy("bracket").orderBy("counter").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn("upto", F.sum("n").over(so_far))
     named = placed.join(F.broadcast(known.select("bracket", "position", "below", "ranks")), "bracket")
     start, end = F.col("below") + F.col("upto") - F.col("n"), F.col("below") + F.col("upto")
     held = F.filter("ranks", lambda rank: (rank >= start) & (rank < end))
-    return named.withColumn("start", start).withColumn("held", held).where(F.size("held") > 0)
+    found = named.select("position", "low", "high", "n", start.alias("start"), held.alias("held")).where(F.size("held") > 0)
+    return [Bracket(*row) for row in found.collect()]

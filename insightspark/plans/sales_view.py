@@ -23,7 +23,8 @@ def sales_view(spark: SparkSession, folder: str, columns: tuple[str, ...] = SALE
     """One row per line item with the requested attributes.
 
     Attributes are looked up by left joins on unique keys, so a lookup nobody
-    asked for changes no row and is left out of the plan.  No join is hinted:
+    asked for changes no row and is left out of the plan.  Line items are
+    shuffled once, by order key.  No join is hinted:
     the small tables are broadcast when their size is below the session's
     limit, and AQE splits skewed keys of the large ones.
     """
@@ -37,23 +38,7 @@ def sales_rows(lines: DataFrame, spark: SparkSession, folder: str, columns: tupl
     kept_share = F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
     rows = lines.select("l_orderkey", "l_partkey", (price * kept_share).alias("total_revenue"))
     if wanted & (_FROM_ORDER | _FROM_CUSTOMER):
-        orders = table(spark, folder, "orders").select(
-            F.col("o_orderkey").alias("l_orderkey"),
-            "o_custkey",
-            F.year("o_orderdate").alias("year"),
-            F.quarter("o_orderdate").alias("quarter"),
-            F.month("o_orderdate").alias("month"),
-        )
-        rows = rows.join(orders, "l_orderkey", "left")
-    if wanted & _FROM_CUSTOMER:
-        customers = table(spark, folder, "customer").select(
-            F.col("c_custkey").alias("o_custkey"), "c_nationkey", F.col("c_mktsegment").alias("customer_segment")
-        )
-        rows = rows.join(customers, "o_custkey", "left")
-    if "region" in wanted:
-        nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-        regions = table(spark, folder, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
-        rows = rows.join(nations, "c_nationkey", "left").join(regions, "n_regionkey", "left")
+        rows = rows.join(_order_lookup(spark, folder, wanted), "l_orderkey", "left")
     if wanted & _FROM_PART:
         parts = table(spark, folder, "part").select(
             F.col("p_partkey").alias("l_partkey"),
@@ -62,3 +47,29 @@ def sales_rows(lines: DataFrame, spark: SparkSession, folder: str, columns: tupl
         )
         rows = rows.join(parts, "l_partkey", "left")
     return rows.select(*columns)
+
+
+def _order_lookup(spark: SparkSession, folder: str, wanted: set[str]) -> DataFrame:
+    """Orders with what is asked for of their customers.
+
+    It is put together before the line items come in, so those are shuffled by
+    order key once, and never by customer.
+    """
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        "o_custkey",
+        F.year("o_orderdate").alias("year"),
+        F.quarter("o_orderdate").alias("quarter"),
+        F.month("o_orderdate").alias("month"),
+    )
+    if not wanted & _FROM_CUSTOMER:
+        return orders
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), "c_nationkey", F.col("c_mktsegment").alias("customer_segment")
+    )
+    if "region" in wanted:
+        nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+        regions = table(spark, folder, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
+        places = nations.join(regions, "n_regionkey", "left")
+        customers = customers.join(places, "c_nationkey", "left")
+    return orders.join(customers, "o_custkey", "left")
