@@ -63,4 +63,29 @@ def key_text(value: Column, kind: T.DataType) -> Column:
         return F.initcap(value.cast("string"))
     if isinstance(kind, _TEMPORAL):
         return timestamp_text(value)
+    if isinstance(kind, _FLOATING):
+        return float_text(value)
     return value.cast("string")
+
+
+def float_text(value: Column) -> Column:
+    """A float as Python spells it: plain between 1e-4 and 1e16, else with a two-digit exponent."""
+    java = value.cast("string")
+    sign = F.when(F.startswith(java, F.lit("-")), "-").otherwise("")
+    mantissa = F.regexp_extract(java, r"^-?([0-9.]+)E", 1)
+    exponent = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0$", "")
+    whole = F.rpad(F.substr(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
+    rest = F.substr(digits, exponent + 2)
+    large = F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    scientific = F.concat(sign, F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), power)
+    return (
+        F.when(java == "Infinity", "inf")
+        .when(java == "-Infinity", "-inf")
+        .when(exponent.isNull(), java)
+        .when(exponent.between(0, 15), large)
+        .when(exponent.between(-4, -1), small)
+        .otherwise(scientific)
+    )

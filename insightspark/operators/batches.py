@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Bytes of one batch that is handed to Python code.
+BATCH_BYTES = 16 << 20
+
 BatchFunction = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -24,3 +28,10 @@ def map_batches(df: DataFrame, make: Callable[[], BatchFunction], schema: T.Stru
             yield apply(batch)
 
     return df.mapInPandas(run, schema)
+
+
+def bounded_slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch has a fixed number of rows, however long they are; its slices have about ``limit`` bytes."""
+    rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insightspark.errors import DocumentIngestionError
+from insightspark.functions.kinds import column
+from insightspark.operators.batches import bounded_slices
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
@@ -82,16 +84,25 @@ def chunk_documents(
     """One row per chunk: the other columns of ``documents``, ``chunk_idx``, ``chunk``.
 
     The packing of pieces is sequential within one document, so a small helper
-    runs on Arrow batches of whole documents; Spark spreads the documents and
-    explodes their chunks.  A document without text has no chunks.
+    runs on slices of Arrow batches of about as many bytes, and gives a batch of
+    chunks for each.  A document without text has no chunks.
     """
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda value: split_text(value, size, overlap), na_action="ignore")
-
-    rest = [F.col(c) for c in documents.columns if c != text]
-    return documents.select(*rest, F.posexplode(split(F.col(text))).alias("chunk_idx", "chunk"))
+    rest = [c for c in documents.columns if c != text]
+    schema = T.StructType(
+        [*[documents.schema[c] for c in rest], T.StructField("chunk_idx", T.IntegerType()), T.StructField("chunk", T.StringType())]
+    )
+    names = [*rest, "chunk_idx", "chunk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in bounded_slices(whole):
+                chunks = [[] if x is None else split_text(x, size, overlap) for x in batch.column(len(rest)).to_pylist()]
+                owner = pa.array([i for i, own in enumerate(chunks) for _ in own], pa.int64())
+                number = pa.array([n for own in chunks for n in range(len(own))], pa.int32())
+                texts = pa.array([x for own in chunks for x in own], pa.string())
+                yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[:-1]], number, texts], names=names)
+
+    return documents.select(*[column(c) for c in rest], column(text)).mapInArrow(run, schema)
 
 
 def corpus(documents: DataFrame, text: str = "text", fail_fast: bool = True) -> tuple[DataFrame, DataFrame]:

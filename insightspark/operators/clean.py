@@ -92,8 +92,8 @@ def _read_as(text: Column, layout: Layout) -> Column:
 def parse_dates(df: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """Parse text columns whose name contains "date", each as a whole or not at all.
 
-    A layout is accepted only if it reads every non-null value.  One probe value
-    narrows the layouts to those that could be accepted; one aggregation over
+    A layout is accepted only if it reads every non-null value.  A probe value per
+    column, all from one aggregation, narrows the layouts to those that could be accepted; one aggregation over
     the candidate columns alone then decides.  ``evidence`` may be a cheaper
     table with the same values, such as the one before duplicates were dropped.
     """
@@ -108,7 +108,9 @@ def parse_dates(df: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
 
 
 def _accepted_layouts(source: DataFrame, names: list[str]) -> dict[str, Layout | None]:
-    plausible = {n: _plausible_layouts(source, n) for n in names}
+    # One value of every column, in one scan of these columns.
+    probes = source.agg(*[F.any_value(column(n), F.lit(True)).alias(f"probe{i}") for i, n in enumerate(names)]).first()
+    plausible = {n: _plausible_layouts(probe) for n, probe in zip(names, probes)}
     open_names = [n for n in names if plausible[n]]
     if not open_names:
         return {}
@@ -120,12 +122,11 @@ def _accepted_layouts(source: DataFrame, names: list[str]) -> dict[str, Layout |
     }
 
 
-def _plausible_layouts(source: DataFrame, name: str) -> list[Layout]:
-    """Layouts whose pattern fits one value of the column; all of them if it has none."""
-    probe = source.select(column(name)).where(column(name).isNotNull()).first()
+def _plausible_layouts(probe: str | None) -> list[Layout]:
+    """Layouts whose pattern fits one value of the column; an empty one if it has none."""
     if probe is None:
         return [("", "", "timestamp_ntz")]
-    return [layout for layout in _layouts() if re.match(layout[0], probe[0])]
+    return [layout for layout in _layouts() if re.match(layout[0], probe)]
 
 
 def _readable_bits(text: Column, layouts: list[Layout]) -> Column:

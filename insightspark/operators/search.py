@@ -22,6 +22,8 @@ STOP_WORDS = [
 ANCHORS = ["baja", "pre-runner", "region", "growth"]
 
 NO_RESULTS = "No search results available."
+# Fixed value: the characters of a result that its block shows.
+_SHOWN = 600
 
 
 def keywords(text: Column, limit: int = 8) -> Column:
@@ -108,16 +110,21 @@ def merge_results(results: DataFrame, run: str = "run_id") -> DataFrame:
     return results.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1).drop("_rank")
 
 
+def previews(results: DataFrame) -> DataFrame:
+    """Results with the part of their content that a block shows, so no more is shuffled."""
+    return results.withColumn("content", F.substring(F.col("content"), 1, _SHOWN))
+
+
 def result_blocks(results: DataFrame, runs: DataFrame | None = None, run: str = "run_id", limit: int = 8) -> DataFrame:
     """(run, block): the first results of each run as one text.
 
     Runs of ``runs`` without results get a fixed sentence.
     """
     order = Window.partitionBy(run).orderBy("query_idx", "result_idx")
-    best = results.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
+    best = previews(results).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
     title = default_text(F.col("title"))
     heading = F.concat(F.lit("[Result "), F.col("_rank").cast("string"), F.lit("]"), F.when(title != "", F.concat(F.lit(" — "), title)).otherwise(""))
-    text = F.concat(heading, F.lit("\n"), F.substring(default_text(F.col("content")), 1, 600), F.lit("\n"), default_text(F.col("url")))
+    text = F.concat(heading, F.lit("\n"), default_text(F.col("content")), F.lit("\n"), default_text(F.col("url")))
     blocks = best.groupBy(run).agg(joined_in_order("_rank", text, "\n\n").alias("block"))
     if runs is None:
         return blocks

@@ -15,7 +15,7 @@ from insightspark.errors import DocumentIngestionError
 from insightspark.functions.kinds import column
 from insightspark.functions.numbers import python_round
 from insightspark.functions.text import default_text, strip
-from insightspark.operators.batches import map_batches
+from insightspark.operators.batches import bounded_slices
 from insightspark.operators.search import joined_in_order
 from insightspark.session import shared_folder
 
@@ -34,19 +34,23 @@ Embed = Callable[[list[str]], list]
 
 
 def embed(df: DataFrame, make: Callable[[], Embed], text: str = "chunk", vector: str = "embedding") -> DataFrame:
-    """Add an ARRAY<FLOAT> column; ``make()`` loads the embedding function once per task."""
+    """Add an ARRAY<FLOAT> column; ``make()`` loads the embedding function once per task.
+
+    Only the texts become Python objects, in batches of bounded size; all other
+    columns stay in their Arrow buffers, so they come back as they were.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))])
+    place, names = df.columns.index(text), [*df.columns, vector]
 
-    def make_batch_function():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
+        for whole in batches:
+            for batch in bounded_slices(whole):
+                found = [None if v is None else np.asarray(v, dtype=np.float32) for v in function(batch.column(place).to_pylist())]
+                vectors = pa.array(found, type=pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=names)
 
-        def apply(batch: pd.DataFrame) -> pd.DataFrame:
-            vectors = function(batch[text].tolist()) if len(batch) else []
-            return batch.assign(**{vector: list(vectors)})
-
-        return apply
-
-    return map_batches(df, make_batch_function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def vector_dims(df: DataFrame, vector: str = "embedding") -> DataFrame:

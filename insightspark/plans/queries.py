@@ -213,7 +213,7 @@ def all_charts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.spread_documents(spark, folder).select("doc_id", search.keywords(F.col("text")).alias("keywords"))
+    return table(spark, folder, "documents").select("doc_id", search.keywords(F.col("text")).alias("keywords"))
 
 
 def search_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,7 +232,7 @@ def dedupe_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def result_block(spark: SparkSession, folder: str) -> DataFrame:
-    merged = search.merge_results(inputs.search_results(spark, folder))
+    merged = search.merge_results(search.previews(inputs.search_results(spark, folder)))
     return search.result_blocks(merged, inputs.search_runs(spark, folder))
 
 
@@ -248,11 +248,11 @@ def failed_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk_documents(inputs.spread_documents(spark, folder).select("doc_id", "text"))
+    return chunking.chunk_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def corpus_errors(spark: SparkSession, folder: str) -> DataFrame:
-    documents = inputs.spread_documents(spark, folder)
+    documents = table(spark, folder, "documents")
     loaded = documents.select("doc_id", "source", F.when(F.col("lang") != "de", F.col("text")).alias("text"))
     return chunking.corpus(loaded, fail_fast=False)[1]
 
@@ -268,7 +268,7 @@ def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    documents = inputs.spread_documents(spark, folder).select("doc_id", "text")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     embedded = vectors.embed(documents, count_letters, text="text")
     return embedded.select("doc_id", F.posexplode("embedding").alias("position", "value")).select(
         "doc_id", "position", F.col("value").cast("bigint").alias("value")
@@ -325,7 +325,7 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bullets(spark: SparkSession, folder: str) -> DataFrame:
-    documents = inputs.spread_documents(spark, folder)
+    documents = table(spark, folder, "documents")
     items = F.when(F.col("lang") == "de", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
     return with_bullets(documents.select("doc_id", items.alias("items")), "items", "bullets").drop("items")
 
@@ -388,7 +388,7 @@ def suggest_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gauges(spark: SparkSession, folder: str) -> DataFrame:
-    documents = inputs.spread_documents(spark, folder)
+    documents = table(spark, folder, "documents")
     findings = F.when(F.length("text") > 20, F.filter(F.split("text", "\n", -1), lambda line: line != ""))
     signal = documents.select("doc_id", reports.market_signal(findings).alias("market_signal"))
     return signal.select(

@@ -53,16 +53,6 @@ def write_once(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before work that is heavy per row.
-
-    An input of fewer read tasks than cores is small, and so is its shuffle.
-    A larger one is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     """The answer of an operator whose required columns are absent."""
     return spark.createDataFrame([], schema)
