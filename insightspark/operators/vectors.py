@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from insightspark.errors import DocumentIngestionError
 from insightspark.functions.kinds import column
@@ -17,16 +18,17 @@ from insightspark.functions.numbers import python_round
 from insightspark.functions.text import default_text, strip
 from insightspark.operators.batches import bounded_slices
 from insightspark.operators.search import joined_in_order
-from insightspark.session import shared_folder
+from insightspark.session import write_once
 
 TOP_K = 5
 DIVIDER = "\n\n---\n\n"
 NO_DOCUMENTS = "No supporting documents uploaded."
 
-# Query vectors sent to every task; more than this are worked off in blocks.
-_BLOCK_BYTES = 64 << 20
-# Scores computed at once inside a task.
-_SCORES_AT_ONCE = 4_000_000
+# Rows of one group: chunks of a shard, and queries of a block.
+SHARD_ROWS = 16_384
+BLOCK_ROWS = 2_048
+# Chunks whose scores with a block of queries are computed at once.
+_SLICE_ROWS = 1_024
 # Far above the rounding of a matrix product of unit vectors, far below a real gap.
 _SCORE_SLACK = 1e-9
 
@@ -84,33 +86,59 @@ def cosine_topk(
     vector: str = "embedding",
     query_id: str = "query_id",
     query_vector: str = "embedding",
-    block_bytes: int = _BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, rank, chunk_id, score): the exact k nearest chunks of every query.
 
-    Every task multiplies its chunk vectors with the broadcast query vectors
-    and keeps k candidates per query, so no pair is ever emitted and the
-    shuffle carries k rows per query and task.  The size of the queries is
-    checked first: those beyond ``block_bytes`` are worked off in blocks.  The
-    result is written to the shared folder, so that the scan is not repeated
-    and later joins know how small it is.  Equal scores go to the smaller id; a
-    vector of length zero has no score and comes last.
+    Chunks are dealt into shards and queries into blocks, both of bounded size,
+    by a hash of their ids; a task multiplies one shard with one block and keeps k per
+    query.  The chunks are scanned once, no pair is a row, and no query
+    passes the driver.  The rank filter prunes each task's rows before the last
+    shuffle.  The result is written to the shared folder, so that later joins
+    know how small it is.  Equal scores go to the smaller id; a vector of
+    length zero has no score and comes last.
     """
     asked = queries.select(column(query_id).alias("query_id"), column(query_vector).alias("vector"))
     stored = chunks.select(column(chunk_id).alias("chunk_id"), column(vector).alias("vector"))
     count, dim = _checked_dims(asked, None, "vector")
-    blocks = max(1, -(-count * dim * 8 // block_bytes))
-    folder = shared_folder(chunks.sparkSession, "topk")
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        _topk_block(stored, part, dim, k).write.parquet(f"{folder}/block={block}")
-    return chunks.sparkSession.read.parquet(folder).drop("block")
+    blocks, shards = max(1, -(-count // BLOCK_ROWS)), max(1, -(-stored.count() // SHARD_ROWS))
+    kinds = {f.name: f.dataType for f in [asked.schema["query_id"], stored.schema["chunk_id"]]}
+    block, shard = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("query_id", blocks), ("chunk_id", shards)))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    sides = asked.select(
+        F.lit(True).alias("asks"), "query_id", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), "vector",
+        block.alias("block"), every(shards).alias("shard"),
+    ).unionByName(
+        stored.select(
+            F.lit(False).alias("asks"), F.lit(None).cast(kinds["query_id"]).alias("query_id"), "chunk_id", "vector",
+            shard.alias("shard"), every(blocks).alias("block"),
+        )
+    )
+    schema = T.StructType([*[T.StructField(n, t) for n, t in kinds.items()], T.StructField("score", T.DoubleType())])
+    arrow_schema = to_arrow_schema(schema)
+
+    def nearest_of_shard(table: pa.Table) -> pa.Table:
+        asks = table.column("asks")
+        q, v = table.filter(asks), table.filter(pc.invert(asks)).sort_by("chunk_id")
+        if not (q.num_rows and v.num_rows):
+            return arrow_schema.empty_table()
+        query, place, score = _best_places(_matrix(v.column("vector"), dim), _matrix(q.column("vector"), dim), k)
+        columns = [q.column("query_id").take(pa.array(query)), v.column("chunk_id").take(pa.array(place)), pa.array(score, from_pandas=True)]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+
+    scored = sides.groupBy("shard", "block").applyInArrow(nearest_of_shard, schema)
+    # A missing score is null and sorts last.
+    nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col("chunk_id").asc())
+    ranked = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return write_once(ranked.select("query_id", "rank", "chunk_id", "score"), "topk")
 
 
 def retrieve(chunks: DataFrame, top: DataFrame, chunk_id: str = "chunk_id", text: str = "chunk") -> DataFrame:
-    """(query_id, rank, content): the texts of the nearest chunks."""
+    """(query_id, rank, content): the texts of the nearest chunks; null where a chunk has none."""
     texts = chunks.select(column(chunk_id).alias("chunk_id"), column(text).alias("content"))
-    return top.join(texts, "chunk_id").select("query_id", "rank", "content")
+    return top.join(texts, "chunk_id", "left").select("query_id", "rank", "content")
 
 
 def retrieve_scored(
@@ -118,12 +146,14 @@ def retrieve_scored(
 ) -> DataFrame:
     """(query_id, rank, content, score, source): score to four decimals, in -1..1."""
     texts = chunks.select(
-        column(chunk_id).alias("chunk_id"),
-        column(text).alias("content"),
-        default_text(column(source), "unknown").alias("source"),
+        column(chunk_id).alias("chunk_id"), column(text).alias("content"), column(source).alias("source")
     )
-    return top.join(texts, "chunk_id").select(
-        "query_id", "rank", "content", python_round(F.col("score"), 4).alias("score"), "source"
+    return top.join(texts, "chunk_id", "left").select(
+        "query_id",
+        "rank",
+        "content",
+        python_round(F.col("score"), 4).alias("score"),
+        default_text(F.col("source"), "unknown").alias("source"),
     )
 
 
@@ -136,8 +166,9 @@ def context_blocks(retrieved: DataFrame) -> DataFrame:
 def run_contexts(runs: DataFrame, blocks: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, context): the blocks of a run's few queries in order, empty ones left out.
 
-    ``blocks`` has (run, query_idx, block).  A chunk found by two queries
-    appears twice.  A run without blocks gets a fixed sentence.
+    ``blocks`` has (run, query_idx, block), one row per query: a run asks the few
+    queries its question gives, so its blocks fit into one row.  A chunk
+    found by two queries appears twice.  A run without blocks gets a fixed sentence.
     """
     joined = blocks.where(default_text(F.col("block")) != "").groupBy(run).agg(
         joined_in_order("query_idx", F.col("block"), DIVIDER).alias("context")
@@ -146,70 +177,58 @@ def run_contexts(runs: DataFrame, blocks: DataFrame, run: str = "run_id") -> Dat
     return every_run.select(run, default_text(F.col("context"), NO_DOCUMENTS).alias("context"))
 
 
-def _topk_block(stored: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
-    """Top-k of one bounded set of queries."""
-    spark = stored.sparkSession
-    rows = asked.toPandas()
-    matrix = np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), dim)
-    sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), matrix))
-    fields = {f.name: f.dataType for f in [asked.schema["query_id"], stored.schema["chunk_id"]]}
-    schema = T.StructType([*[T.StructField(n, t) for n, t in fields.items()], T.StructField("score", T.DoubleType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, query_matrix = sent.value
-        best = None
-        for batch in batches:
-            best = _merge_batch(best, batch, query_matrix, k)
-        if best is not None and len(names):
-            out = pd.DataFrame({"query_id": names[best["query"].to_numpy()], "chunk_id": best["chunk_id"], "score": best["score"]})
-            yield pa.RecordBatch.from_pandas(out, schema=arrow_schema, preserve_index=False)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _matrix(column_: pa.ChunkedArray, dim: int) -> np.ndarray:
+    lists = column_.combine_chunks()
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    if lists.null_count or not (lengths == dim).all():
+        raise DocumentIngestionError(f"Every stored vector must have {dim} elements")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), dim)
 
-    arrow_schema = to_arrow_schema(schema)
-    scored = stored.mapInArrow(score, schema)
-    # A missing score arrives as null from the batch and sorts last.
-    nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col("chunk_id").asc())
-    ranked = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "chunk_id", "score")
 
+def _best_places(vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of the k best places per query; NaN where there is no score, ties by place.
 
-def _merge_batch(best: pd.DataFrame | None, batch: pa.RecordBatch, queries: np.ndarray, k: int) -> pd.DataFrame | None:
-    count, dim = queries.shape
-    if not batch.num_rows or not count:
-        return best
-    lists = batch.column("vector")
-    if lists.null_count or len(lists.flatten()) != batch.num_rows * dim or set(np.diff(lists.offsets.to_numpy())) != {dim}:
-        raise DocumentIngestionError(f"Every stored vector must have {dim} elements")
-    vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    ids = batch.column("chunk_id").to_pandas()
-    step = max(1, _SCORES_AT_ONCE // count)
-    for start in range(0, len(vectors), step):
-        best = _merge_slice(best, vectors[start : start + step], ids.iloc[start : start + step], queries, k)
-    return best
-
-
-def _merge_slice(best: pd.DataFrame | None, vectors: np.ndarray, ids: pd.Series, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """Keep k per query: a matrix product finds who can be among them, a fixed-order sum scores those."""
-    lengths = np.sqrt(_dot(vectors, vectors))
-    query_lengths = np.sqrt(_dot(queries, queries))
+    A matrix product finds who can be among them, slice by slice above a rising
+    bar per query; a fixed-order sum scores those, in one go whenever as many have gathered as are kept.
+    """
+    lengths, query_lengths = np.sqrt(_dot(vectors, vectors)), np.sqrt(_dot(queries, queries))
     with np.errstate(divide="ignore", invalid="ignore"):
-        rough = (vectors @ queries.T) / np.outer(lengths, query_lengths)
-    rough = np.where(np.isnan(rough), -np.inf, rough)
+        unit, query_unit = vectors / lengths[:, None], queries / query_lengths[:, None]
     bar = np.full(len(queries), -np.inf)
-    if len(vectors) > k:
-        bar = np.partition(rough, len(vectors) - k, axis=0)[len(vectors) - k]
-    if best is not None:
-        held = best.groupby("query")["score"].agg(["size", "min", "count"])
-        full = held[(held["size"] == k) & (held["count"] == k)]
-        bar[full.index] = np.maximum(bar[full.index], full["min"])
-    row, query = np.nonzero(rough >= bar - _SCORE_SLACK)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = _dot(vectors[row], queries[query]) / (lengths[row] * query_lengths[query])
-    found = pd.DataFrame({"query": query, "chunk_id": ids.to_numpy()[row], "score": score})
-    pool = found if best is None else pd.concat([best, found], ignore_index=True)
-    pool = pool.sort_values(["query", "score", "chunk_id"], ascending=[True, False, True])
-    return pool.groupby("query").head(k).reset_index(drop=True)
+    kept = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    gathered: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> None:
+        nonlocal kept
+        query = np.concatenate([q for q, _ in gathered])
+        place = np.concatenate([p for _, p in gathered])
+        gathered.clear()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = _dot(vectors[place], queries[query]) / (lengths[place] * query_lengths[query])
+        query, place, score = (np.concatenate(pair) for pair in zip(kept, (query, place, score)))
+        rated = np.where(np.isnan(score), -np.inf, score)
+        order = np.lexsort((place, -rated, query))
+        query, place, score = query[order], place[order], score[order]
+        first = np.searchsorted(query, query, side="left")
+        best = np.arange(len(query)) - first < k
+        kept = query[best], place[best], score[best]
+        last = np.flatnonzero(np.append(kept[0][1:] != kept[0][:-1], True))
+        full = last[np.bincount(kept[0], minlength=len(queries))[kept[0][last]] == k]
+        bar[kept[0][full]] = np.where(np.isnan(kept[2][full]), -np.inf, kept[2][full])
+
+    for start in range(0, len(vectors), _SLICE_ROWS):
+        rough = query_unit @ unit[start : start + _SLICE_ROWS].T
+        rough[np.isnan(rough)] = -np.inf
+        least = bar
+        if rough.shape[1] > k:
+            least = np.maximum(bar, np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k])
+        query, place = np.nonzero(rough >= least[:, None] - _SCORE_SLACK)
+        gathered.append((query, place + start))
+        if sum(len(q) for q, _ in gathered) >= len(queries) * k:
+            merge()
+    if gathered:
+        merge()
+    return kept
 
 
 def _dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:

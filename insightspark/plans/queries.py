@@ -303,7 +303,7 @@ def context_block(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_context(spark: SparkSession, folder: str) -> DataFrame:
-    query = F.col("query_id")
+    query = F.floor(F.col("query_id") / 10)
     blocks = vectors.context_blocks(_retrieved(spark, folder)).select(
         F.floor(query / 3).alias("run_id"), (query % 3).alias("query_idx"), F.when(query % 4 != 0, F.col("block")).otherwise("").alias("block")
     )

@@ -245,19 +245,19 @@ def _dot(left: str, right: str) -> str:
     return f"list_sum(list_transform(range(1, len({left}) + 1), lambda i: {left}[i]::DOUBLE * {right}[i]::DOUBLE))"
 
 
-NEAREST = f"""asked AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label),
+NEAREST = f"""asked AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 10 = 0),
   scored AS (SELECT query_id, vec_id, {_dot('q', 'embedding')} / (sqrt({_dot('q', 'q')}) * sqrt({_dot('embedding', 'embedding')})) AS score
              FROM asked CROSS JOIN embeddings),
   nearest AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
               FROM scored) WHERE rank <= 5),
   retrieved AS (SELECT query_id, rank, text AS content, score,
                 CASE WHEN doc_id % 3 <> 0 THEN source ELSE 'unknown' END AS source
-                FROM nearest JOIN documents ON vec_id = doc_id),
-  blocks AS (SELECT query_id, string_agg('[Document ' || rank || ']' || {NL} || {_strip('content')},
+                FROM nearest LEFT JOIN documents ON vec_id = doc_id),
+  blocks AS (SELECT query_id, string_agg('[Document ' || rank || ']' || {NL} || {_strip("coalesce(content, '')")},
              {NL} || {NL} || '---' || {NL} || {NL} ORDER BY rank) AS block FROM retrieved GROUP BY query_id)"""
 RUN_CONTEXT = f"""WITH {NEAREST}, contexts AS (
-    SELECT query_id // 3 AS run_id, string_agg(block, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY query_id % 3) AS context
-    FROM blocks WHERE query_id % 4 <> 0 AND block <> '' GROUP BY ALL)
+    SELECT query_id // 10 // 3 AS run_id, string_agg(block, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY query_id // 10 % 3) AS context
+    FROM blocks WHERE query_id // 10 % 4 <> 0 AND block <> '' GROUP BY ALL)
   SELECT item_id AS run_id, coalesce(context, {_text(NO_DOCUMENTS)}) AS context
   FROM benchmark LEFT JOIN contexts ON item_id = run_id"""
 

@@ -1,5 +1,6 @@
 """Chunking, corpus, embedding and exact nearest neighbours."""
 
+import datetime
 import random
 import re
 
@@ -119,6 +120,20 @@ def test_embedding_loads_the_model_once_per_task(spark):
     assert loads.value == 3
 
 
+def test_embedding_keeps_the_other_columns(spark):
+    rows = [(9007199254740993, "a", None, ["x", None]), (None, "bb", datetime.datetime(2024, 1, 2, 3, 4, 5), []), (7, None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, chunk string, at timestamp, tags array<string>")
+    found = vectors.embed(df, lambda: lambda texts: [None if t is None else [float(len(t))] for t in texts]).collect()
+    assert [tuple(r) for r in found] == [(*row, vector) for row, vector in zip(rows, ([1.0], [2.0], None))]
+
+
+def test_neighbours_without_a_text_stay(spark):
+    chunks = spark.createDataFrame([("b", "B", None)], "chunk_id string, chunk string, source_file string")
+    top = spark.createDataFrame([("q", 1, "a", 0.5), ("q", 2, "b", 0.25)], "query_id string, rank int, chunk_id string, score double")
+    assert [tuple(r) for r in vectors.retrieve_scored(chunks, top).orderBy("rank").collect()] == [("q", 1, None, 0.5, "unknown"), ("q", 2, "B", 0.25, "unknown")]
+    assert vectors.retrieve(chunks, top).count() == 2
+
+
 def test_failing_embedding_is_not_swallowed(spark):
     def make():
         raise RuntimeError("no model")
@@ -158,17 +173,18 @@ def brute_force(chunks, queries, k):
     return sorted(lines)
 
 
-@pytest.mark.parametrize("block_bytes, at_once", [(64 << 20, 4_000_000), (200, 30)])
-def test_topk_equals_brute_force(spark, monkeypatch, block_bytes, at_once):
-    """Copies, opposite and zero vectors; few scores at once; queries in blocks."""
+@pytest.mark.parametrize("shard, block, at_once", [(16_384, 2_048, 1_024), (40, 3, 7)])
+def test_topk_equals_brute_force(spark, monkeypatch, shard, block, at_once):
+    """Copies, opposite and zero vectors; few scores at once; shards and blocks."""
     chance = random.Random(4)
     base = [[chance.uniform(-1, 1) for _ in range(6)] for _ in range(40)]
     chunks = [(f"c{i:03d}", base[i % 40] if i % 3 else base[0]) for i in range(150)]
     chunks += [("zero", [0.0] * 6), ("scaled", [x * 7 for x in base[0]])]
     queries = [(f"q{i}", base[i] if i else [0.0] * 6) for i in range(9)]
-    monkeypatch.setattr(vectors, "_SCORES_AT_ONCE", at_once)
+    for name, value in (("SHARD_ROWS", shard), ("BLOCK_ROWS", block), ("_SLICE_ROWS", at_once)):
+        monkeypatch.setattr(vectors, name, value)
     df = as_table(spark, "chunk_id", chunks).repartition(5)
-    top = vectors.cosine_topk(df, as_table(spark, "query_id", queries), k=4, block_bytes=block_bytes)
+    top = vectors.cosine_topk(df, as_table(spark, "query_id", queries), k=4)
     found = sorted((r.query_id, r["rank"], r.chunk_id, None if r.score is None else round(r.score, 9)) for r in top.collect())
     assert found == brute_force(chunks, queries, 4)
 
