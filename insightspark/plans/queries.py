@@ -7,6 +7,7 @@ and types of its check in ``sql_checks``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,30 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 11 == 0, "None").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         "o_totalprice",
         F.when(F.col("o_orderstatus") == "F", "True").otherwise("False").alias("is_done"),
-        F.concat(F.lit('say "'), F.col("o_orderpriority"), F.lit('", twice')).alias("remark"),
+        F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"),
+        F.concat(F.lit('say "'), F.col("o_orderpriority"), F.lit('",\ntwice')).alias("remark"),
     ).write.option("header", True).option("escape", '"').csv(path)
     return load_table(spark, path)
 
 
+def csv_with_schema(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "declared-csv")
+    orders = table(spark, folder, "orders")
+    missing = F.when(F.col("o_orderkey") % 5 == 0, "NA").otherwise(F.col("o_totalprice").cast("string"))
+    orders.select("o_orderkey", missing.alias("o_totalprice"), "o_orderstatus").write.option("header", True).csv(path)
+    return load_table(spark, path, "o_orderstatus string, o_orderkey bigint, o_totalprice double")
+
+
+def csv_mixed_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one folder whose columns stand in different orders."""
+    path = shared_folder(spark, "mixed-csv")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    even = F.col("o_orderkey") % 2 == 0
+    orders.where(even).write.option("header", True).csv(path)
+    orders.where(~even).select("o_totalprice", "o_orderkey", "o_orderstatus").write.mode("append").option("header", True).csv(path)
+    return load_table(spark, path)
+
+
 def text_docs(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "text-docs")
     table(spark, folder, "documents").select("text").write.option("maxRecordsPerFile", 200).text(path)
@@ -89,8 +109,25 @@ def stream_revenue_by_dim(spark: SparkSession, folder: str) -> DataFrame:
     lines = arrivals.arriving_files(spark, _as_pattern(folder, "lineitem"), schema, kind="parquet")
     rows = sales_rows(lines, spark, folder, ("region", "total_revenue"))
     out = shared_folder(spark, "revenue-stream")
-    write_changes(arrivals.revenue_changes(rows, "region"), f"{out}/changes", f"{out}/checkpoint").awaitTermination()
-    return arrivals.revenue_so_far(spark, f"{out}/changes")
+    changes = arrivals.revenue_changes(rows, "region")
+    write_changes(changes, f"{out}/revenue", f"{out}/checkpoint", keys=["key"]).awaitTermination()
+    return arrivals.revenue_so_far(spark, f"{out}/revenue")
+
+
+def stream_csv_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files with padded names and texts, and prices that are no numbers, as a stream."""
+    out = shared_folder(spark, "csv-stream")
+    table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias(" Order Key "),
+        F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit("\t")).alias("Order STATUS"),
+        F.when(F.col("o_orderkey") % 9 == 0, "cheap").otherwise(F.col("o_totalprice").cast("string")).alias("Total Price"),
+    ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{out}/inbox")
+    schema = "` Order Key ` bigint, `Order STATUS` string, `Total Price` double"
+    cleaned = arrivals.clean_stream(arrivals.arriving_files(spark, f"{out}/inbox", schema))
+    writer = cleaned.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.select("order_key", "order_status", "total_price", F.array_join("_rejects", ",").alias("rejects"))
 
 
 # --- cleaning --------------------------------------------------------------
@@ -161,7 +198,27 @@ def profile_date_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def health_score(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.health_score(inputs.gappy_orders(spark, folder).select("o_orderstatus", "o_orderpriority", "o_custkey"))
+    """All columns; every tenth order stands there twice."""
+    orders = inputs.gappy_orders(spark, folder)
+    return profile.health_score(orders.unionAll(orders.where("o_orderkey % 10 = 0")))
+
+
+def profile_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All profile tables of one input, as rows of (part, field, number, text)."""
+    labels = {"columns": ["column"], "numeric_summary": ["column"], "categorical_summary": ["column", "rank"], "date_range": ["column"]}
+
+    def rows(name: str, part: DataFrame) -> DataFrame:
+        keys = [F.col(c).cast("string") for c in labels.get(name, [])]
+        cells = []
+        for value in [c for c in part.columns if c not in labels.get(name, [])]:
+            is_text = part.schema[value].dataType.typeName() == "string"
+            number, words = (F.lit(None), F.col(value)) if is_text else (F.col(value), F.lit(None))
+            field = F.concat_ws(".", *keys, F.lit(value))
+            cells.append(F.struct(field.alias("field"), number.cast("double").alias("number"), words.cast("string").alias("text")))
+        return part.select(F.lit(name).alias("part"), F.inline(F.array(*cells)))
+
+    parts = profile.profile_table(inputs.gappy_orders(spark, folder))
+    return reduce(DataFrame.unionAll, [rows(name, part) for name, part in parts.items()])
 
 
 # --- revenue and charts ----------------------------------------------------
@@ -421,12 +478,15 @@ def stream_step_status(spark: SparkSession, folder: str) -> DataFrame:
     events = arrivals.arriving_files(spark, _as_pattern(folder, "events"), schema, kind="parquet")
     out = shared_folder(spark, "status-stream")
     changes = step_status.status_changes(inputs.step_events(events))
-    write_changes(changes, f"{out}/changes", f"{out}/checkpoint").awaitTermination()
-    return step_status.status_now(spark, f"{out}/changes")
+    write_changes(changes, f"{out}/status", f"{out}/checkpoint", keys=["run_id", "node"], order="seq").awaitTermination()
+    return step_status.status_now(spark, f"{out}/status")
 
 
 QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
+    "csv_with_schema": csv_with_schema,
+    "csv_mixed_headers": csv_mixed_headers,
+    "stream_csv_clean": stream_csv_clean,
     "text_docs": text_docs,
     "result_payloads": result_payloads,
     "stream_revenue_by_dim": stream_revenue_by_dim,
@@ -442,6 +502,7 @@ QUERIES: dict[str, Query] = {
     "profile_top_values": profile_top_values,
     "profile_date_range": profile_date_range,
     "health_score": health_score,
+    "profile_table": profile_table,
     "revenue_by_dimension_type": _revenue_by("build_category"),
     "revenue_by_dimension_region": _revenue_by("region"),
     "revenue_trend_year": _trend_by("year"),

@@ -83,17 +83,27 @@ PROFILE_COLUMNS = f"WITH {GAPPY} " + " UNION ALL ".join(
     for i, (name, dtype) in enumerate(_COLUMNS.items())
 )
 _NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-PROFILE_NUMERIC = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count({c}) AS count, {_numpy(f'avg({c}::DOUBLE)')} AS mean, {_numpy(f'stddev_samp({c}::DOUBLE)')} AS std,
+
+
+def _numeric(columns: list[str], source: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, {_numpy(f'avg({c}::DOUBLE)')} AS mean, {_numpy(f'stddev_samp({c}::DOUBLE)')} AS std,
     {_numpy(f'min({c})')} AS min, {_numpy(f'quantile_cont({c}::DOUBLE, 0.25)')} AS p25, {_numpy(f'quantile_cont({c}::DOUBLE, 0.5)')} AS p50,
-    {_numpy(f'quantile_cont({c}::DOUBLE, 0.75)')} AS p75, {_numpy(f'max({c})')} AS max FROM lineitem"""
-    for c in _NUMERIC
-)
-TOP_VALUES = "SELECT * FROM (" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank, {c} AS value,
-    count(*) AS n FROM part WHERE {c} IS NOT NULL GROUP BY {c}"""
-    for c in ("p_name", "p_brand", "p_type")
-) + ") WHERE rank <= 5"
+    {_numpy(f'quantile_cont({c}::DOUBLE, 0.75)')} AS p75, {_numpy(f'max({c})')} AS max FROM {source}"""
+        for c in columns
+    )
+
+
+def _top(columns: tuple[str, ...], source: str) -> str:
+    return "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank, {c} AS value,
+    count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY {c}"""
+        for c in columns
+    ) + ") WHERE rank <= 5"
+
+
+PROFILE_NUMERIC = _numeric(_NUMERIC, "lineitem")
+TOP_VALUES = _top(("p_name", "p_brand", "p_type"), "part")
 
 
 def _stamp(value: str) -> str:
@@ -105,18 +115,48 @@ DATE_RANGE = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {_stamp('lo')} AS min, {_stamp('hi')} AS max FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {t})"""
     for c, t in (("ts", "events"), ("l_shipdate", "lineitem"))
 )
-_HEALTH_COLUMNS = ("o_orderstatus", "o_orderpriority", "o_custkey")
+_HEALTH_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 _HEALTH_PCT = " + ".join(
     f"CAST({_python(f'(n - {c}_filled)::DOUBLE / n::DOUBLE * 100.0', 2)} AS DECIMAL(9,2))" for c in _HEALTH_COLUMNS
 )
-HEALTH = f"""WITH {GAPPY}, t AS (SELECT {', '.join(_HEALTH_COLUMNS)} FROM gappy),
+_HEALTH_LIST = ", ".join(_HEALTH_COLUMNS)
+
+
+def _health(source: str) -> str:
+    return f"""WITH {GAPPY}, t AS ({source}),
   counts AS (SELECT count(*) AS n, {', '.join(f'count({c}) AS {c}_filled' for c in _HEALTH_COLUMNS)},
              (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS d FROM t),
-  scores AS (SELECT greatest(0.0, 100.0 - ({_HEALTH_PCT})::DOUBLE / 3)::DOUBLE AS completeness_score,
+  scores AS (SELECT greatest(0.0, 100.0 - ({_HEALTH_PCT})::DOUBLE / {len(_HEALTH_COLUMNS)})::DOUBLE AS completeness_score,
              least(100.0, n::DOUBLE / 100.0 * 10.0)::DOUBLE AS row_score,
              greatest(0.0, 100.0 - (n - d)::DOUBLE / n::DOUBLE * 100.0 * 2.0)::DOUBLE AS duplicate_score FROM counts)
   SELECT *, CAST(floor((completeness_score + row_score + duplicate_score) / 3.0) AS INTEGER) AS data_health_score FROM scores"""
 
+
+HEALTH = _health(f"SELECT {_HEALTH_LIST} FROM gappy UNION ALL SELECT {_HEALTH_LIST} FROM gappy WHERE o_orderkey % 10 = 0")
+
+
+def _fields(part: str, source: str, keys: list[str], numbers: list[str], words: list[str]) -> str:
+    """Rows (part, field, number, text) of a table."""
+    label = " || '.' || ".join([*(f'"{k}"::VARCHAR' for k in keys), "'{}'"])
+    rows = [(label.format(n), f'"{n}"::DOUBLE', "NULL::VARCHAR") for n in numbers] + [(label.format(w), "NULL::DOUBLE", f'"{w}"') for w in words]
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {f} AS field, {n} AS number, {w} AS text FROM ({source})" for f, n, w in rows)
+
+
+_STAMPED = f"""SELECT 'o_orderdate' AS "column", {_stamp('lo')} AS min, {_stamp('hi')} AS max
+  FROM (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders)"""
+PROFILE_TABLE = f"WITH {GAPPY} " + " UNION ALL ".join(
+    [
+        _fields("shape", "SELECT count(*) AS rows, 6 AS columns FROM gappy", [], ["rows", "columns"], []),
+        _fields("columns", PROFILE_COLUMNS, ["column"], ["position", "null_count", "null_pct", "unique_count"], ["dtype"]),
+        _fields("numeric_summary", _numeric(["o_orderkey", "o_custkey", "o_totalprice"], "gappy"), ["column"],
+                ["count", "mean", "std", "min", "p25", "p50", "p75", "max"], []),
+        _fields("categorical_summary", _top(("o_orderstatus", "o_orderpriority"), "gappy"), ["column", "rank"], ["n"], ["value"]),
+        _fields("date_range", _STAMPED, ["column"], [], ["min", "max"]),
+        _fields("data_health_score", _health(f"SELECT {_HEALTH_LIST} FROM gappy"), [],
+                ["completeness_score", "row_score", "duplicate_score", "data_health_score"], []),
+    ]
+)
+
 # --- search ----------------------------------------------------------------
 
 _STOPS = "[" + ", ".join(_text(w) for w in STOP_WORDS) + "]"
@@ -380,7 +420,11 @@ _DAY = "strftime(o_orderdate, '%Y-%m-%d 00:00:00')"
 SQL_CHECKS: dict[str, str] = {
     "csv_roundtrip": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey,
         CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, o_totalprice, o_orderstatus = 'F' AS is_done,
-        'say "' || o_orderpriority || '", twice' AS remark FROM orders""",
+        strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, 'say "' || o_orderpriority || '",' || chr(10) || 'twice' AS remark FROM orders""",
+    "csv_with_schema": "SELECT o_orderstatus, o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS o_totalprice FROM orders",
+    "csv_mixed_headers": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
+    "stream_csv_clean": """SELECT o_orderkey AS order_key, o_orderstatus AS order_status, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS total_price,
+        CASE WHEN o_orderkey % 9 = 0 THEN 'Total Price' ELSE '' END AS rejects FROM orders""",
     "text_docs": f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, {NL})) AS line FROM documents) GROUP BY line",
     "result_payloads": f"""SELECT conv_id || '-' || turn AS run_id, CASE WHEN role = 'user' THEN text ELSE '' END AS data_summary,
         len(string_split(text, {NL})) AS findings, turn::VARCHAR AS confidence_score, '[]' AS errors FROM conversations""",
@@ -401,6 +445,7 @@ SQL_CHECKS: dict[str, str] = {
     "profile_top_values": TOP_VALUES,
     "profile_date_range": DATE_RANGE,
     "health_score": HEALTH,
+    "profile_table": PROFILE_TABLE,
     "revenue_by_dimension_type": _revenue_by("build_category"),
     "revenue_by_dimension_region": _revenue_by("region"),
     "revenue_trend_year": _revenue_by("year"),

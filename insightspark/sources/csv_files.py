@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,31 +33,100 @@ _OVERFLOW = "\u0000overflow"
 _OPTIONS = {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "true", "mode": "PERMISSIVE"}
 
 
-def load_table(spark: SparkSession, path, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+class _Files(NamedTuple):
+    """Files that are read alike: the names in their headers, and whether quotes hold line breaks."""
+
+    paths: list[str] | str
+    names: list[str]
+    multi_line: bool
+
+
+def load_table(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
     """Read a CSV file, folder or list of them into a typed table.
 
-    Without a ``schema`` the files are read twice: one aggregation over all
-    cells settles the types, then the returned table reads them again.  Give a
-    schema for very large inputs to save the first pass.  ``multi_line`` admits
-    line breaks inside quotes at the price of one task per file.
+    A first scan takes every file's header and looks for line breaks inside
+    quotes; files that have some are read whole, one task each.  Headers may
+    differ in order, and cells go by name.  Without a ``schema`` one aggregation over
+    all cells settles the types; with one, it counts the cells that do not fit.
 
     Raises ``DataIngestionError`` if nothing can be read, if there are no rows,
-    or if a row has more cells than the header.
+    if the files' names or those of the schema differ, if rows have more cells than
+    their header, or if cells do not fit the declared type.
     """
     try:
-        if schema is not None:
-            declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-            raw = _read_text(spark, path, [f.name for f in declared], multi_line)
-            table = typed_cells(raw, declared)
-            if table.isEmpty():
-                raise DataIngestionError("The file contains no data.")
-            return table
-        raw = _read_text(spark, path, _header(spark, path, multi_line), multi_line)
-        return infer_types(raw)
+        groups = _alike(spark, path)
+        names = groups[0].names
+        for other in groups[1:]:
+            if sorted(other.names) != sorted(names):
+                raise DataIngestionError(f"Could not parse file: headers {names} and {other.names} in one table")
+        raw = reduce(DataFrame.unionByName, [_read_text(spark, g.paths, g.names, g.multi_line) for g in groups])
+        if schema is None:
+            return infer_types(raw)
+        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if sorted(declared.names) != sorted(names):
+            raise DataIngestionError(f"Could not parse file: header {names} instead of the declared {declared.names}")
+        return _fitting(raw, declared)
     except (AnalysisException, PySparkException) as error:
         raise DataIngestionError(f"Could not parse file: {error}") from error
 
 
+def _alike(spark: SparkSession, path) -> list[_Files]:
+    """The files of a table by header and by line breaks inside quotes; one group is the rule."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    starts = F.col("_metadata.file_block_start") == 0
+    files = (
+        lines.select(F.col("_metadata.file_path").alias("file"), "value", (quotes % 2 == 1).alias("open"), starts.alias("starts"))
+        .withColumn("place", F.monotonically_increasing_id())
+        .groupBy("file")
+        .agg(F.min_by("value", F.when(F.col("starts"), F.col("place"))).alias("header"), F.bool_or("open").alias("multi_line"))
+    )
+    kinds = files.groupBy("header", "multi_line").agg(F.min("file").alias("file")).orderBy("file").collect()
+    if not kinds:
+        raise DataIngestionError("The file contains no data.")
+    found: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for header, multi_line, file in kinds:
+        found.setdefault((tuple(_header(spark, file, multi_line)), multi_line), []).append(header)
+    if len(found) == 1:
+        ((names, multi_line),) = found
+        return [_Files(path, list(names), multi_line)]
+    # Like Spark's own list of input files, these lists are held by the driver.
+    return [
+        _Files([r.file for r in files.where(F.col("header").isin(headers) & (F.col("multi_line") == multi_line)).collect()], list(names), multi_line)
+        for (names, multi_line), headers in found.items()
+    ]
+
+
+def _fitting(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared table, after one aggregation has found that all cells fit."""
+    unfit = [F.count_if(_unfit(f.name, f.dataType)).alias(f"unfit{i}") for i, f in enumerate(schema)]
+    rows, extra, *counts = raw.agg(F.count(F.lit(1)), F.count(column(_OVERFLOW)), *unfit).first()
+    if not rows:
+        raise DataIngestionError("The file contains no data.")
+    wrong = {f.name: n for f, n in zip(schema, counts) if n}
+    if extra or wrong:
+        raise DataIngestionError(
+            f"Could not parse file: {extra} rows have more cells than the header; cells that do not fit by column: {wrong}"
+        )
+    return typed_cells(raw, schema)
+
+
+def with_rejects(raw: DataFrame, schema: T.StructType, malformed: Column, rejects: str) -> DataFrame:
+    """The declared columns and ``rejects``: what was wrong with a row, an empty list for a good one.
+
+    "cells" stands for a wrong number of cells, else the names of the columns
+    whose cell does not fit its type and is null.
+    """
+    problems = [F.when(malformed, "cells"), *[F.when(_unfit(f.name, f.dataType), f.name) for f in schema]]
+    return raw.select(*[_typed(f.name, f.dataType) for f in schema], F.array_compact(F.array(*problems)).alias(rejects))
+
+
+def _unfit(name: str, kind: T.DataType) -> Column:
+    """Whether a cell holds a value that its type cannot take."""
+    value = F.when(~column(name).isin(NULL_TOKENS), column(name))
+    return value.isNotNull() & _typed(name, kind).isNull()
+
+
 def null_tokens_to_null(df: DataFrame) -> DataFrame:
     """Turn every cell that spells a missing value into a null."""
     return df.select(
@@ -100,7 +172,7 @@ def _read_text(spark: SparkSession, path, names: list[str], multi_line: bool) ->
     return spark.read.options(**_OPTIONS).option("multiLine", multi_line).schema(T.StructType(fields)).csv(path)
 
 
-def _header(spark: SparkSession, path, multi_line: bool) -> list[str]:
+def _header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
     """Header names; blanks and repeats are renamed as dataframe readers do."""
     options = {**_OPTIONS, "header": "false"}
     first = spark.read.options(**options).option("multiLine", multi_line).csv(path).first()

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insightspark.functions.kinds import key_text, present
 from insightspark.functions.numbers import numpy_round
 from insightspark.operators.clean import normalise_names, trim_strings
 from insightspark.operators.revenue import REVENUE, partial_sums, total
-from insightspark.sources.csv_files import typed_cells
+from insightspark.sources.csv_files import with_rejects
 from insightspark.streaming.changes import latest_changes
 
+# Column in which the reader puts rows with too many or too few cells.
+_MALFORMED = "_malformed"
+
 
 def arriving_files(
     spark: SparkSession,
@@ -20,11 +24,14 @@ def arriving_files(
     kind: str = "csv",
     glob: str | None = None,
     files_per_trigger: int | None = None,
+    rejects: str = "_rejects",
 ) -> DataFrame:
     """A stream of the rows of all files in ``folder``, old and new, with declared types.
 
     CSV cells are read as text and typed as in the batch loader, null tokens
-    included.
+    included.  A file whose header differs from the declared names stops the
+    stream.  The column ``rejects`` lists what is wrong with a row: "cells" for a
+    number of cells other than the header's, and the columns whose cell does not fit.
     """
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     reader = spark.readStream.format(kind)
@@ -34,8 +41,9 @@ def arriving_files(
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if kind != "csv":
         return reader.schema(declared).load(folder)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in declared])
-    return typed_cells(reader.option("header", True).option("escape", '"').schema(text).load(folder), declared)
+    text = T.StructType([T.StructField(name, T.StringType()) for name in [*declared.names, _MALFORMED]])
+    cells = reader.options(header=True, escape='"', enforceSchema=False, columnNameOfCorruptRecord=_MALFORMED).schema(text).load(folder)
+    return with_rejects(cells, declared, F.col(_MALFORMED).isNotNull(), rejects)
 
 
 def clean_stream(rows: DataFrame) -> DataFrame:

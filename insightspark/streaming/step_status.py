@@ -25,4 +25,4 @@ def status_changes(events: DataFrame, run: str = "run_id", expire_after: str | N
 
 def status_now(spark: SparkSession, folder: str, run: str = "run_id") -> DataFrame:
     """(run, node, seq, status) from the written changes."""
-    return latest_changes(spark, folder, [run, "node"], F.col("seq"))
+    return latest_changes(spark, folder, [run, "node"], "seq")

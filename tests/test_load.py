@@ -56,8 +56,32 @@ def test_quotes_repeated_and_blank_headers(spark, tmp_path):
 
 
 def test_line_breaks_inside_quotes(spark, tmp_path):
-    table = load_table(spark, write(tmp_path, 'a,b\n"one\ntwo",1\n'), multi_line=True)
-    assert tuple(table.first()) == ("one\ntwo", 1)
+    table = load_table(spark, write(tmp_path, 'a,b\n"one\ntwo",1\n"x ""y""\n",2\n'))
+    assert [tuple(r) for r in table.collect()] == [("one\ntwo", 1), ('x "y"\n', 2)]
+    assert tuple(load_table(spark, write(tmp_path, '"a\nb",c\n1,2\n', "head.csv")).first()) == (1, 2)
+
+
+def test_headers_in_another_order(spark, tmp_path):
+    for name, text in (("1.csv", "a,b\n1,x\n"), ("2.csv", "b,a\ny,2\n"), ("3.csv", 'a,b\n3,"z\nz"\n'), ("4.csv", "a,b\n4,w\n")):
+        write(tmp_path, text, name)
+    for schema in (None, "a bigint, b string", "b string, a bigint"):
+        found = load_table(spark, str(tmp_path), schema)
+        assert sorted((r.a, r.b) for r in found.collect()) == [(1, "x"), (2, "y"), (3, "z\nz"), (4, "w")]
+
+
+def test_other_names_are_refused(spark, tmp_path):
+    write(tmp_path, "a,b\n1,2\n", "1.csv")
+    with pytest.raises(DataIngestionError, match="declared"):
+        load_table(spark, str(tmp_path), "a int, c int")
+    write(tmp_path, "a,c\n1,2\n", "2.csv")
+    with pytest.raises(DataIngestionError, match="headers"):
+        load_table(spark, str(tmp_path))
+
+
+def test_unfit_and_extra_cells_are_counted(spark, tmp_path):
+    path = write(tmp_path, "a,b\n1,2\nbad,3\n4,5,6\nworse,NA\n")
+    with pytest.raises(DataIngestionError, match=r"1 rows have more cells.*'a': 2"):
+        load_table(spark, path, "a int, b int")
 
 
 def test_short_rows_are_filled_and_any_suffix_is_read(spark, tmp_path):
@@ -77,7 +101,7 @@ def test_missing_file(spark, tmp_path):
 
 
 def test_declared_schema(spark, tmp_path):
-    path = write(tmp_path, "a,b\n1,NA\nx,2.5\n")
+    path = write(tmp_path, "a,b\n1,NA\nNULL,2.5\n")
     table = load_table(spark, path, schema="a bigint, b double")
     assert [tuple(r) for r in table.collect()] == [(1, None), (None, 2.5)]
     with pytest.raises(DataIngestionError):
