@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insightspark.functions import text as texts
@@ -137,8 +137,8 @@ def clean_names(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     return clean.normalise_names(
         orders.select(
-            F.col("o_orderkey").alias("  Order Key "), F.col("o_orderstatus").alias("Order STATUS"),
-            F.col("o_totalprice").alias("Total Price\t"),
+            F.col("o_orderkey").alias("  Order Key "), F.col("o_custkey").alias("CUSTOMER"), F.col("o_orderstatus").alias("Order STATUS"),
+            F.col("o_totalprice").alias("Total Price\t"), timestamp_text(F.col("o_orderdate")).alias("Placed ON"), "o_orderpriority",
         )
     )
 
@@ -431,9 +431,14 @@ def clamp_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return valid.select("doc_id", responses.confidence(F.col("response")).alias("confidence_score"))
 
 
+def _day_of(number: Column) -> Column:
+    """Spreads the conversations over the days of the events."""
+    return F.date_add(F.lit("2024-01-01").cast("date"), (number % 30).cast("int"))
+
+
 def valid_questions(spark: SparkSession, folder: str) -> DataFrame:
     answered = responses.valid_questions(inputs.question_responses(spark, folder)).withColumn(
-        "table_name", F.concat_ws("/", F.col("conv_id").cast("string"), F.lit("2024-01-01"))
+        "table_name", F.concat_ws("/", F.col("conv_id").cast("string"), _day_of(F.col("conv_id")).cast("string"))
     )
     suggested = questions.suggested_questions(inputs.column_catalogue(spark, folder))
     filled = questions.questions_or_fallback(answered, suggested)

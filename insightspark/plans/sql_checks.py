@@ -1,16 +1,38 @@
 """For each registered query the same answer in SQL, as DuckDB runs it.
 
-The SQL spells the semantics again, from the same tables and the same input
-formulas, without using anything of the Spark side but its fixed values.
+The SQL spells the semantics, the input formulas and all fixed values again,
+from the same tables, without using anything of the Spark side.
 """
 
 from __future__ import annotations
 
-from insightspark.functions.text import WHITESPACE
-from insightspark.operators.questions import GENERIC, RULES
-from insightspark.operators.search import NO_RESULTS, STOP_WORDS
-from insightspark.operators.vectors import NO_DOCUMENTS
-from insightspark.plans.inputs import CONFIDENCES, PADDING_AFTER, PADDING_BEFORE
+# Fixed values, spelled again so that an error in the operators shows.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+STOP_WORDS = (
+    "is the a an and or but in on at to for of with by from as are was be been being have has had do does did will would could"
+    " should may might shall which that this these those it its enough still just our we us they their"
+).split()
+NO_RESULTS = "No search results available."
+NO_DOCUMENTS = "No supporting documents uploaded."
+PADDING_BEFORE, PADDING_AFTER = "\u00a0 \t", "\u2003\n"
+CONFIDENCES = ["82", "150", "-10", '"85"', '"85.5"', "85.9", "true", "null", "[1]", '"bad"', "-0.5", None]
+GENERIC = [
+    "What are the top revenue drivers and how have they trended over time?",
+    "Where are the biggest gaps between current performance and market opportunity?",
+    "Which customer segments show the highest growth potential?",
+    "What seasonal patterns exist and how should inventory strategy reflect them?",
+    "Which product lines warrant dedicated investment based on growth trajectory?",
+]
+# Event types stand for columns: click for total_revenue, view for year, purchase for region, error for vehicle_platform.
+RULES = [
+    ("bool_or(event_type = 'click') AND bool_or(event_type = 'view')", "Which year showed the strongest revenue growth and what drove it?"),
+    ("bool_or(event_type = 'purchase')", "Which regions are underperforming relative to their market potential?"),
+    ("bool_or(event_type = 'error')", "Which product categories have the highest revenue per transaction?"),
+    ("bool_or(event_type NOT IN ('click', 'view', 'purchase', 'error'))", "What impact do industry events have on sales volume and category mix?"),
+]
 
 NL = "chr(10)"
 WS = "'" + WHITESPACE + "'"
@@ -350,19 +372,9 @@ RECOMMENDATION_BLOCK = f"""WITH {RESPONSES} SELECT doc_id, string_agg(coalesce(r
     || upper(coalesce(priority, '')) || ' / ' || replace(coalesce(timeframe, ''), '_', ' ') || ']' || {NL} || '   ' || coalesce(rationale, ''),
     {NL} ORDER BY position) AS block FROM filled GROUP BY doc_id"""
 
-_HAS = {
-    "total_revenue": "click", "year": "view", "region": "purchase", "vehicle_platform": "error", "event_influence": "signup",
-}
-
-
-def _rule(columns: list[str], how: str, question: str) -> str:
-    checks = [f"bool_or(event_type = '{_HAS[c]}')" if c in _HAS else "false" for c in columns]
-    return f"CASE WHEN {(' AND ' if how == 'all' else ' OR ').join(checks)} THEN {_text(question)} END"
-
-
 _GENERIC = "[" + ", ".join(_text(q) for q in GENERIC) + "]"
 SUGGESTED = f"""suggested AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS table_name,
-    list_slice(list_concat(list_filter([{', '.join(_rule(*r) for r in RULES)}], lambda x: x IS NOT NULL), {_GENERIC}), 1, 5) AS questions
+    list_slice(list_concat(list_filter([{', '.join(f'CASE WHEN {check} THEN {_text(question)} END' for check, question in RULES)}], lambda x: x IS NOT NULL), {_GENERIC}), 1, 5) AS questions
     FROM events GROUP BY ALL)"""
 VALID_QUESTIONS = f"""WITH {SUGGESTED}, quoted AS (SELECT conv_id, turn, text, to_json(text)::VARCHAR AS t FROM conversations),
   answers AS (SELECT conv_id, turn, CASE turn % 4
@@ -375,7 +387,7 @@ VALID_QUESTIONS = f"""WITH {SUGGESTED}, quoted AS (SELECT conv_id, turn, text, t
       lambda y: CASE WHEN json_type(y) = 'BOOLEAN' THEN upper((y::VARCHAR)[1:1]) || (y::VARCHAR)[2:] ELSE json_extract_string(y, '$') END), 1, 5)
     END END AS questions FROM stripped),
   filled AS (SELECT conv_id, turn, coalesce(parsed.questions, suggested.questions, {_GENERIC}) AS questions
-    FROM parsed LEFT JOIN suggested ON table_name = conv_id || '/2024-01-01')
+    FROM parsed LEFT JOIN suggested ON table_name = conv_id || '/' || strftime(DATE '2024-01-01' + (conv_id % 30)::INT, '%Y-%m-%d'))
   SELECT conv_id, turn, CAST(generate_subscripts(questions, 1) - 1 AS INTEGER) AS question_idx, unnest(questions) AS question FROM filled"""
 
 # --- reports ---------------------------------------------------------------
@@ -429,7 +441,8 @@ SQL_CHECKS: dict[str, str] = {
     "result_payloads": f"""SELECT conv_id || '-' || turn AS run_id, CASE WHEN role = 'user' THEN text ELSE '' END AS data_summary,
         len(string_split(text, {NL})) AS findings, turn::VARCHAR AS confidence_score, '[]' AS errors FROM conversations""",
     "stream_revenue_by_dim": _revenue_by("region"),
-    "clean_names": "SELECT o_orderkey AS order_key, o_orderstatus AS order_status, o_totalprice AS total_price FROM orders",
+    "clean_names": f"""SELECT o_orderkey AS order_key, o_custkey AS customer, o_orderstatus AS order_status, o_totalprice AS total_price,
+        {_stamp('o_orderdate')} AS placed_on, o_orderpriority AS o_orderpriority FROM orders""",
     "dedup_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_discount, l_tax FROM lineitem",
     "trim_strings": f"""SELECT conv_id, turn, role, {_strip(f"'{PADDING_BEFORE}' || text || '{PADDING_AFTER}'")} AS text FROM conversations""",
     "parse_dates": f"""SELECT o_orderkey, {_DAY} AS iso_date, strftime(o_orderdate, '%Y-%m-%d %H:%M:00') AS date_and_time,
