@@ -39,13 +39,15 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def column_profile(df: DataFrame, approximate: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """(column, position, dtype, null_count, null_pct, unique_count), nulls not counted as values.
 
-    ``approximate`` replaces the exact distinct counts by sketches: one scan
-    and one shuffled row per task.  ``counts`` may be a written ``value_counts``.
+    Values are told apart by 128 bits of hashes, so what is shuffled has a
+    fixed size however long the texts are.  ``approximate`` replaces the distinct
+    counts by sketches: one scan and one shuffled row per task.  ``counts`` may
+    be a written ``value_counts``.
     """
     if approximate:
         per_column = _sketched_columns(df)
     else:
-        found = value_counts(df) if counts is None else counts
+        found = _hash_counts(df) if counts is None else counts
         per_column = found.groupBy("position").agg(
             F.sum("n").alias("rows"),
             F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
@@ -176,6 +178,21 @@ def _as_text(name: str, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
+def _hash_counts(df: DataFrame) -> DataFrame:
+    """(position, value, n) like ``value_counts``, with hashes for values."""
+
+    def hashed(name: str) -> Column:
+        kind = df.schema[name].dataType
+        value = present(name, kind)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0)
+        return F.when(value.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
+
+    cells = df.select(*[hashed(n).alias(str(i)) for i, n in enumerate(df.columns)])
+    stacked_ = cells.unpivot([], cells.columns, "position", "value")
+    return stacked_.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _sketched_columns(df: DataFrame) -> DataFrame:
     measures = []
     for i, name in enumerate(df.columns):
