@@ -74,28 +74,47 @@ def csv_mixed_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in a folder per language; the language comes back from the name of the file."""
     path = shared_folder(spark, "text-docs")
-    table(spark, folder, "documents").select("text").write.option("maxRecordsPerFile", 200).text(path)
+    documents = table(spark, folder, "documents").select("text", "lang")
+    documents.write.option("maxRecordsPerFile", 200).partitionBy("lang").text(path)
     loaded = read_text_documents(spark, path)
     # The writer ends every file with a line break; what follows it is no line.
-    lines = loaded.select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)).alias("line"))
-    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    lines = F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)).alias("line")
+    found = loaded.select(F.regexp_extract("source_file", "/lang=([^/]*)/", 1).alias("lang"), lines)
+    return found.groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def result_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads of all fields, written as files and read back."""
+    lines, user = F.split("text", "\n", -1), F.col("role") == "user"
     runs = table(spark, folder, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("run_id"),
-        F.split("text", "\n", -1).alias("data_findings"),
-        F.when(F.col("role") == "user", F.col("text")).alias("data_summary"),
+        lines.alias("data_findings"),
+        F.when(user, F.col("text")).alias("data_summary"),
+        (F.col("turn") * 7 % 101).cast("int").alias("data_health_score"),
+        F.when(~user, lines).alias("market_findings"),
+        F.when(~user, F.col("text")).alias("market_summary"),
+        F.slice(lines, 1, 2).alias("recommendations"),
+        F.when(user, F.slice(lines, 1, 1)).alias("opportunities"),
+        F.col("role").alias("executive_summary"),
         F.col("turn").cast("int").alias("confidence_score"),
+        F.concat(F.lit("# "), F.col("text")).alias("report_markdown"),
     )
-    payload = F.col("payload")
-    return result_payload(runs).select(
-        "run_id",
-        F.get_json_object(payload, "$.data_summary").alias("data_summary"),
-        F.json_array_length(F.get_json_object(payload, "$.data_findings")).cast("bigint").alias("findings"),
-        F.get_json_object(payload, "$.confidence_score").alias("confidence_score"),
-        F.get_json_object(payload, "$.errors").alias("errors"),
+    path = shared_folder(spark, "payloads")
+    result_payload(runs).select("payload").write.text(path)
+    payload = F.col("value")
+
+    def text(name: str) -> Column:
+        return F.get_json_object(payload, f"$.{name}").alias(name)
+
+    def items(name: str) -> Column:
+        return F.array_join(F.from_json(F.get_json_object(payload, f"$.{name}"), "array<string>"), "|").alias(name)
+
+    return spark.read.text(path).select(
+        text("run_id"), items("data_findings"), text("data_summary"), text("data_health_score"), items("market_findings"),
+        text("market_summary"), items("recommendations"), items("opportunities"), text("executive_summary"),
+        text("confidence_score"), text("report_markdown"), text("errors"),
     )
 
 
@@ -314,6 +333,12 @@ def corpus_errors(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.corpus(loaded, fail_fast=False)[1]
 
 
+def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    loaded = documents.select("doc_id", F.col("source").alias("source_file"), F.when(F.col("lang") != "de", F.col("text")).alias("text"))
+    return chunking.corpus(loaded, fail_fast=False)[0]
+
+
 def count_letters():
     """A stand-in for an embedding model: how often some letters occur."""
     return lambda batch: [[float(text.count(letter)) for letter in VOWELS] for text in batch]
@@ -530,6 +555,7 @@ QUERIES: dict[str, Query] = {
     "failed_runs": failed_runs,
     "chunk_documents": chunk_documents,
     "corpus_errors": corpus_errors,
+    "corpus_chunks": corpus_chunks,
     "embed_chunks": embed_chunks,
     "embed_documents": embed_documents,
     "vector_dims": vector_dims,

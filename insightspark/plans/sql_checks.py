@@ -437,9 +437,14 @@ SQL_CHECKS: dict[str, str] = {
     "csv_mixed_headers": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "stream_csv_clean": """SELECT o_orderkey AS order_key, o_orderstatus AS order_status, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS total_price,
         CASE WHEN o_orderkey % 9 = 0 THEN 'Total Price' ELSE '' END AS rejects FROM orders""",
-    "text_docs": f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, {NL})) AS line FROM documents) GROUP BY line",
-    "result_payloads": f"""SELECT conv_id || '-' || turn AS run_id, CASE WHEN role = 'user' THEN text ELSE '' END AS data_summary,
-        len(string_split(text, {NL})) AS findings, turn::VARCHAR AS confidence_score, '[]' AS errors FROM conversations""",
+    "text_docs": f"SELECT lang, line, count(*) AS n FROM (SELECT lang, unnest(string_split(text, {NL})) AS line FROM documents) GROUP BY ALL",
+    "result_payloads": f"""SELECT conv_id || '-' || turn AS run_id, replace(text, {NL}, '|') AS data_findings,
+        CASE WHEN role = 'user' THEN text ELSE '' END AS data_summary, (turn * 7 % 101)::VARCHAR AS data_health_score,
+        CASE WHEN role <> 'user' THEN replace(text, {NL}, '|') ELSE '' END AS market_findings,
+        CASE WHEN role <> 'user' THEN text ELSE '' END AS market_summary,
+        array_to_string(list_slice(string_split(text, {NL}), 1, 2), '|') AS recommendations,
+        CASE WHEN role = 'user' THEN string_split(text, {NL})[1] ELSE '' END AS opportunities, role AS executive_summary,
+        turn::VARCHAR AS confidence_score, '# ' || text AS report_markdown, '[]' AS errors FROM conversations""",
     "stream_revenue_by_dim": _revenue_by("region"),
     "clean_names": f"""SELECT o_orderkey AS order_key, o_custkey AS customer, o_orderstatus AS order_status, o_totalprice AS total_price,
         {_stamp('o_orderdate')} AS placed_on, o_orderpriority AS o_orderpriority FROM orders""",
@@ -488,6 +493,7 @@ SQL_CHECKS: dict[str, str] = {
     "fallback_merge": FALLBACK,
     "failed_runs": FAILED,
     "chunk_documents": f"{CHUNKS} SELECT * FROM kept",
+    "corpus_chunks": f"{CHUNKS} SELECT kept.*, source AS source_file FROM kept JOIN documents USING (doc_id) WHERE lang <> 'de'",
     "corpus_errors": "SELECT doc_id, source FROM documents WHERE lang = 'de'",
     "embed_chunks": EMBED_CHUNKS,
     "embed_documents": EMBED_DOCUMENTS,
