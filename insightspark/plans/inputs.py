@@ -185,6 +185,32 @@ def model_responses(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", raw.alias("raw"))
 
 
+def role_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of several roles in one object, with some fields left out, null or empty."""
+    text = quoted(F.col("text"))
+
+    def part(name: str, value: Column, there: Column = F.lit(True)) -> Column:
+        return F.when(there, F.concat(F.lit(f'"{name}": '), value, F.lit(", "))).otherwise("")
+
+    def listed(*items: Column) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(", ", *items), F.lit("]"))
+
+    raw = F.concat(
+        F.lit("{"),
+        part("summary", text, shape("turn", 3) != 0),
+        part("findings", listed(F.lit('"first"'), text), shape("turn", 2) == 0),
+        part("anomalies", listed(text)),
+        part("data_quality_notes", F.lit("[]")),
+        part("market_summary", F.lit("null"), shape("turn", 4) == 1),
+        part("market_findings", listed(text, text)),
+        part("supporting_data_alignment", text),
+        part("search_queries_used", listed(F.lit('"q"')), shape("turn", 5) == 1),
+        part("risks", listed(text, F.lit('"late"')), shape("turn", 2) == 1),
+        F.lit('"end": 1}'),
+    )
+    return table(spark, folder, "conversations").select("conv_id", "turn", raw.alias("raw"))
+
+
 def question_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Question lists of conversations: too long, with empty items, no list, no JSON."""
     text = quoted(F.col("text"))

@@ -439,6 +439,16 @@ def response_fields(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _role_fields(fields: dict[str, str]) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        valid = responses.valid_responses(responses.parse_responses(inputs.role_responses(spark, folder)))
+        found = responses.response_fields(valid, fields)
+        values = [F.array_join(n, "|").alias(n) if kind == "list" else F.col(n) for n, kind in fields.items()]
+        return found.select("conv_id", "turn", *values)
+
+    return query
+
+
 def _recommended(spark: SparkSession, folder: str) -> DataFrame:
     return responses.with_recommendations(responses.valid_responses(_parsed(spark, folder))).drop("raw")
 
@@ -568,6 +578,9 @@ QUERIES: dict[str, Query] = {
     "strip_fences": strip_fences,
     "parse_responses": parse_responses,
     "response_fields": response_fields,
+    "analyst_fields": _role_fields(responses.ANALYST_FIELDS),
+    "research_fields": _role_fields(responses.RESEARCH_FIELDS),
+    "insight_fields": _role_fields(responses.INSIGHT_FIELDS),
     "recommendations": recommendations,
     "clamp_confidence": clamp_confidence,
     "valid_questions": valid_questions,

@@ -513,6 +513,13 @@ SQL_CHECKS: dict[str, str] = {
     "response_fields": f"""WITH {RESPONSES} SELECT doc_id, {_present('j', 'executive_summary', "''")} AS executive_summary,
         CASE WHEN json_exists(j, '$.opportunities') THEN array_to_string(from_json(json_extract(j, '$.opportunities'), '["VARCHAR"]'), '|')
         ELSE '' END AS opportunities, CAST(0 AS BIGINT) AS n_risks FROM valid""",
+    "analyst_fields": f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'first|' || text ELSE '' END AS findings,
+        CASE WHEN turn % 3 <> 0 THEN text ELSE '' END AS summary, text AS anomalies, '' AS data_quality_notes, '' AS recommended_deep_dives
+        FROM conversations""",
+    "research_fields": f"""SELECT conv_id, turn, CASE WHEN turn % 4 <> 1 THEN '' END AS market_summary, text || '|' || text AS market_findings,
+        text AS supporting_data_alignment, '' AS market_gaps, CASE WHEN turn % 5 = 1 THEN 'q' ELSE '' END AS search_queries_used FROM conversations""",
+    "insight_fields": f"""SELECT conv_id, turn, '' AS executive_summary, '' AS opportunities,
+        CASE WHEN turn % 2 = 1 THEN text || '|late' ELSE '' END AS risks FROM conversations""",
     "recommendations": f"WITH {RESPONSES} SELECT * FROM filled",
     "recommendation_block": RECOMMENDATION_BLOCK,
     "clamp_confidence": CONFIDENCE,
