@@ -9,10 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "insightspark") -> SparkSession:
-    """A session for tests and the benchmark; a cluster brings its own."""
+    """A session for tests and the benchmark, with a shared folder; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -23,6 +24,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ins
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="insightspark-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -31,14 +33,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ins
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine; elsewhere
-    the executors could not see it, so a missing setting is an error.
+    Where it is unset, a session whose executors are threads of this process
+    gets one folder of its own; any other could not see that folder, so there
+    a missing setting is an error.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="insightspark-")
+        base = _own_folders.get(application) or _own_folders.setdefault(application, tempfile.mkdtemp(prefix="insightspark-"))
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
