@@ -97,7 +97,12 @@ def _bytes(text: str | None) -> bytes:
 
 
 def context_hashes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """k1, k2, h (of the anchor), t (of the whole context), start, size."""
+    """k1, k2, h (of the anchor), t (of the whole context), start, size, weight.
+
+    A context that a document holds several times gives one row with their number as weight, and
+    what all of them cover gives rows of weight 2 under a hash of their own.  So
+    a line that fills long documents does not fill a task.
+    """
 
     def run(batches: Batches, schema: pa.Schema) -> Batches:
         hasher = GramHasher(gram)
@@ -116,16 +121,37 @@ def context_hashes(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                         starts.append(first + offset)
                         sizes.append(size)
                 if rows:
-                    at = pa.array(np.concatenate(rows))
-                    yield record_batch(
-                        schema,
-                        [
-                            batch.column(0).take(at), batch.column(1).take(at), np.concatenate(hs).view(np.int64),
-                            np.array(ts, dtype=np.uint64).view(np.int64), np.concatenate(starts), np.concatenate(sizes).astype(np.int32),
-                        ],
-                    )
-
-    return map_arrow(keyed.select(*_KEYS, "text"), "k1 bigint, k2 bigint, h bigint, t bigint, start bigint, size int", run)
+                    found = [np.concatenate(rows), np.concatenate(hs).view(np.int64), np.array(ts, dtype=np.uint64).view(np.int64)]
+                    owner, *columns = _combined(*found, np.concatenate(starts), np.concatenate(sizes))
+                    at = pa.array(owner)
+                    yield record_batch(schema, [batch.column(0).take(at), batch.column(1).take(at), *columns])
+
+    fields = "k1 bigint, k2 bigint, h bigint, t bigint, start bigint, size bigint, weight bigint"
+    return map_arrow(keyed.select(*_KEYS, "text"), fields, run)
+
+
+def _combined(owner: np.ndarray, h: np.ndarray, t: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (owner, h, t, start, size, weight) with equal contexts of one owner counted together."""
+    order = np.lexsort((start, t, h, owner))
+    owner, h, t, start, size = (x[order] for x in (owner, h, t, start, size))
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
+    group = np.cumsum(new) - 1
+    weight = np.bincount(group)
+    again = np.flatnonzero(weight[group] > 1)
+    again = again[np.lexsort((start[again], owner[again]))]
+    spans: list[list[int]] = []
+    for o, a, b in zip(owner[again].tolist(), start[again].tolist(), (start + size)[again].tolist()):
+        if spans and spans[-1][0] == o and a <= spans[-1][2]:
+            spans[-1][2] = max(b, spans[-1][2])
+        else:
+            spans.append([o, a, b])
+    table = np.array(spans, dtype=np.int64).reshape(-1, 3)
+    own = h[again[:1]].repeat(len(table)) + (table[:, 0] * 2**40 + table[:, 1]) * np.int64(-7046029254386353131)
+    return (
+        np.concatenate([owner[new], table[:, 0]]), np.concatenate([h[new], own]), np.concatenate([t[new], own]),
+        np.concatenate([start[new], table[:, 1]]), np.concatenate([size[new], table[:, 2] - table[:, 1]]),
+        np.concatenate([weight, np.full(len(table), 2)]),
+    )
 
 
 def _context_bytes(chosen: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -205,7 +231,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     by_anchor, by_context = Window.partitionBy("h"), Window.partitionBy("h", "t")
     hashes = context_hashes(keyed, length, gram)
     hashes = hashes.withColumn("least", F.min("t").over(by_anchor)).withColumn("greatest", F.max("t").over(by_anchor))
-    hashes = hashes.withColumn("n", F.count(F.lit(1)).over(by_context))
+    hashes = hashes.withColumn("n", F.sum("weight").over(by_context))
     found = write_once(
         hashes.filter("n > 1 OR least <> greatest").select(
             *_KEYS, "h", "t", "start", "size", (F.col("n") == 1).alias("once"), (F.col("least") != F.col("greatest")).alias("split")
