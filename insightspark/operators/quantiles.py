@@ -2,9 +2,10 @@
 
 Each column's value range is narrowed by counting.  A round counts the values
 of every bracket in buckets and keeps only the buckets that hold a wanted rank.
-Brackets over zero or infinity are split by sign, wide ones by magnitude and
-narrow ones evenly, so any column of doubles is down to single values after
-nine rounds at the latest, however it is distributed.  Brackets of at most
+Buckets are even; where that has hardly helped, brackets over zero or infinity
+are split by sign, wide ones by magnitude and narrow ones evenly again.  So any
+column of doubles is down to single values after ten rounds at the latest,
+however it is distributed.  Brackets of at most
 ``_FEW`` values are counted value by value.  A round is one scan and one aggregation of
 columns x ranks x buckets rows, whatever the number of rows; a value
 shared by a third of the rows is one counter.  Only the brackets, a few per
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKETS = 1024
-_FEW = 4096
+_FEW = 16_384
+# A round that leaves more than this share of the values has hardly helped.
+_POOR = 0.25
 # How a bracket is cut into buckets.
 _BY_SIGN, _BY_MAGNITUDE, _EVENLY, _BY_VALUE = range(4)
 
@@ -34,18 +37,21 @@ class Bracket(NamedTuple):
     n: int
     below: int
     ranks: list[int]
+    skewed: bool = False
 
     @property
     def cut(self) -> int:
         if self.n <= _FEW:
             return _BY_VALUE
+        if not self.skewed and math.isfinite(self.high - self.low):
+            return _EVENLY
         if self.low <= 0.0 <= self.high or math.isinf(self.low) or math.isinf(self.high):
             return _BY_SIGN
         small, large = sorted((abs(self.low), abs(self.high)))
         return _BY_MAGNITUDE if large / 8 > small else _EVENLY
 
 
-_SCHEMA = "bracket int, cut int, position int, low double, high double, n bigint, below bigint, ranks array<bigint>"
+_SCHEMA = "bracket int, cut int, position int, low double, high double, n bigint, below bigint, ranks array<bigint>, skewed boolean"
 
 
 def stacked(cells: DataFrame, positions: list[int] | None = None) -> DataFrame:
@@ -105,7 +111,7 @@ def _narrowed(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
         .otherwise(F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * (_BUCKETS - 1)).cast("double"))
     )
     # At most two brackets per probability and column, and no two of a column overlap.
-    inside = values.join(F.broadcast(known.drop("n", "below", "ranks")), "position").where(value.between(low, high))
+    inside = values.join(F.broadcast(known.drop("n", "below", "ranks", "skewed")), "position").where(value.between(low, high))
     counted = inside.groupBy("bracket", counter.alias("counter")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
@@ -115,5 +121,8 @@ def _narrowed(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
     named = placed.join(F.broadcast(known.select("bracket", "position", "below", "ranks")), "bracket")
     start, end = F.col("below") + F.col("upto") - F.col("n"), F.col("below") + F.col("upto")
     held = F.filter("ranks", lambda rank: (rank >= start) & (rank < end))
-    found = named.select("position", "low", "high", "n", start.alias("start"), held.alias("held")).where(F.size("held") > 0)
-    return [Bracket(*row) for row in found.collect()]
+    found = named.select("bracket", "position", "low", "high", "n", start.alias("start"), held.alias("held")).where(F.size("held") > 0)
+    # Once skewed, a bracket and what comes of it stay so.
+    return [
+        Bracket(*row, skewed=brackets[i].skewed or row[3] > _POOR * brackets[i].n) for i, *row in found.collect()
+    ]

@@ -28,6 +28,7 @@ _FLOAT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 # One bit per kind of cell; a column's type follows from the bits seen in it.
 _IS_INTEGER, _IS_DOUBLE, _IS_BOOLEAN, _IS_TEXT = 1, 2, 4, 8
+_COLUMNS_AT_ONCE = 20
 _OVERFLOW = "\u0000overflow"
 
 _OPTIONS = {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "true", "mode": "PERMISSIVE"}
@@ -147,24 +148,24 @@ def typed_cells(raw: DataFrame, schema: T.StructType) -> DataFrame:
 def infer_types(raw: DataFrame) -> DataFrame:
     """Type an all-text table: BIGINT, then DOUBLE, BOOLEAN, else STRING.
 
-    One scan that keeps an OR over kind bits per column, so the pass shuffles
-    no more than one row per column and task.
+    Scans keep an OR over kind bits per column, so they shuffle one row per task.
     """
     names = [n for n in raw.columns if n != _OVERFLOW]
     if not names:
         raise DataIngestionError("The file contains no data.")
-    # The cells are stacked, so the generated code does not grow with the width.
     cells = null_tokens_to_null(raw)
-    numbered = cells.select(*[column(n).alias(str(i)) for i, n in enumerate(cells.columns)])
-    stacked = numbered.unpivot([], numbered.columns, "position", "cell")
-    measures = [F.count(F.lit(1)), F.count("cell"), F.bit_or(_cell_kind(F.col("cell")))]
-    seen = {cells.columns[int(position)]: counts for position, *counts in stacked.groupBy("position").agg(*measures).collect()}
-    if not seen:
-        raise DataIngestionError("The file contains no data.")
-    extra = seen.pop(_OVERFLOW)[1] if _OVERFLOW in seen else 0
-    if extra:
-        raise DataIngestionError(f"Could not parse file: {extra} rows have more cells than the header")
-    return cells.select(*[_typed(n, _column_type(seen[n][2])) for n in names])
+    bits: dict[str, int] = {}
+    # A scan takes so many columns that its generated code stays small.
+    for start in range(0, len(names), _COLUMNS_AT_ONCE):
+        some = names[start : start + _COLUMNS_AT_ONCE]
+        extra = F.count(column(_OVERFLOW)) if _OVERFLOW in raw.columns else F.lit(0)
+        rows, overflow, *kinds = cells.agg(F.count(F.lit(1)), extra, *[F.bit_or(_cell_kind(column(n))) for n in some]).first()
+        if not rows:
+            raise DataIngestionError("The file contains no data.")
+        if overflow:
+            raise DataIngestionError(f"Could not parse file: {overflow} rows have more cells than the header")
+        bits.update(zip(some, kinds))
+    return cells.select(*[_typed(n, _column_type(bits[n])) for n in names])
 
 
 def _read_text(spark: SparkSession, path, names: list[str], multi_line: bool) -> DataFrame:
