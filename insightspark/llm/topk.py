@@ -26,6 +26,8 @@ BUCKET = 1024
 COORDINATE_COSINE = 0.75
 FOCUS = 3
 _SLACK = 1e-9
+# More than the root of a rounding error near 1.
+_ROOM = 1e-7
 
 
 def _keys(scores: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -34,13 +36,19 @@ def _keys(scores: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _by_coordinates(query: np.ndarray, cosine: float, directions: np.ndarray) -> np.ndarray:
-    """Places of directions that can reach ``cosine`` with the query, judged by its largest coordinates."""
+    """Places of directions that can reach ``cosine`` with the query, judged by its largest coordinates.
+
+    A cosine of at least c bounds a coordinate to both sides of the query's own, as far as
+    the axis itself is not within that cosine.
+    """
     fits = np.ones(len(directions), dtype=bool)
     for f in np.argsort(-np.abs(query))[:FOCUS]:
-        room = np.sqrt(max(0.0, (1 - cosine**2) * (1 - query[f] ** 2))) + _SLACK
-        fits &= np.abs(directions[:, f] - query[f] * cosine) <= room if query[f] * cosine + room < 1 and cosine * query[f] - room > -1 else (
-            directions[:, f] >= query[f] * cosine - room if query[f] > 0 else directions[:, f] <= query[f] * cosine + room
-        )
+        middle = query[f] * cosine
+        room = np.sqrt(max(0.0, (1 - cosine**2) * (1 - query[f] ** 2))) + _ROOM
+        if query[f] <= cosine:
+            fits &= directions[:, f] <= middle + room
+        if query[f] >= -cosine:
+            fits &= directions[:, f] >= middle - room
     return np.flatnonzero(fits)
 
 

@@ -52,6 +52,30 @@ def test_exact_top_k_in_many_shards(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == [(q, n, i, int(s)) for q, n, i, s in expected]
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_block_search_keeps_what_lies_nearer_to_the_axis(sign):
+    turned = 100 * np.array([[0.8, 0.6], [0.8, -0.6]])
+    vectors = np.concatenate([np.repeat(turned, 600, axis=0) * 256, [[95 * 256, 0]], np.repeat(turned, 200, axis=0) * 250])
+    vectors = np.rint(sign * vectors)
+    ids = np.arange(len(vectors))
+    queries = np.array([[256.0 * sign, 0.0]])
+    ((places, scores),) = topk.search_block(np.array([-1]), queries, ids, vectors, 5)
+    ((best, products),) = topk._search_plainly(np.array([-1]), queries, ids, vectors, 5)
+    assert places[0] == 1200 and places.tolist() == best.tolist() and scores.tolist() == products.tolist()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_block_search_around_one_axis(seed):
+    rng = np.random.default_rng(seed)
+    axis = np.array([[3.0, 0.5, 0.2, 0.1]]) * (-1) ** seed
+    vectors = np.floor(256 * (axis + rng.normal(size=(5000, 4)) * rng.choice([0.05, 0.5, 1.5], size=(5000, 1))))
+    ids, queries = np.arange(5000), np.floor(256 * np.concatenate([axis, vectors[:9] / 256]))
+    own = np.arange(10) - 1
+    found = topk.search_block(own, queries, ids, vectors, 5)
+    for (places, scores), (best, products) in zip(found, topk._search_plainly(own, queries, ids, vectors, 5)):
+        assert places.tolist() == best.tolist() and scores.tolist() == products.tolist()
+
+
 @pytest.mark.parametrize("spread", [0.0, 0.5, 3.0])
 def test_block_search_prunes_without_loss(spread):
     rng = np.random.default_rng(1)
