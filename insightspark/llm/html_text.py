@@ -4,7 +4,7 @@ Every page's containers are scored by their own running text.  Pages of a host v
 on the generalised tag-class path of their best container, weighted by its
 score; Spark sums the votes.  Each page is then extracted again from the
 containers at its host's winning path; a page without that path uses its own
-best container.
+best container.  A region is widened to what surrounds it as long as that adds running text.
 
 Defined cases: null or empty html gives an empty text; broken and truncated
 markup is read as far as it goes; a null url or one without a host forms a host of
@@ -58,6 +58,10 @@ _LOOSE = re.compile(r"<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _DIGITS = re.compile(r"[0-9a-f]*[0-9][0-9a-f]*")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_FRAME = frozenset(["", "html", "body"])
+_WHOLE = frozenset(["article", "main"])
+# So many characters in containers right in the frame are running text, not a scrap beside the article.
+RUNNING = 80
 
 
 class Node:
@@ -193,8 +197,8 @@ def parse_page(text: str) -> tuple[list[tuple[str, bool]], list[Node]]:
 def container_scores(nodes: list[Node]) -> list[float]:
     """Running text of a container outside links, with a share of what its inner containers have.
 
-    An inner container's text counts less than own text, so the innermost
-    container that still holds the whole article wins; articles and mains count more.
+    An inner container's text counts less than own text, so an inner container
+    that holds most of the article wins; articles and mains count more.
     """
     total = [n.own - n.links for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
@@ -205,10 +209,37 @@ def container_scores(nodes: list[Node]) -> list[float]:
     ]
 
 
+def widened(nodes: list[Node], at: int, frame: bool = True) -> int:
+    """The largest container around ``at`` that adds more running text than links, up to the outermost article or main.
+
+    An article or main is taken whole.  The page's frame is taken, if ``frame``, when it has
+    text of its own or its containers add running text.
+    """
+    own, links = [n.own for n in nodes], [n.links for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        own[nodes[i].parent] += own[i]
+        links[nodes[i].parent] += links[i]
+    line = [at]
+    while nodes[line[-1]].parent >= 0:
+        line.append(nodes[line[-1]].parent)
+    whole = [k for k, i in enumerate(line) if nodes[i].tag in _WHOLE]
+    for i in line[1 : whole[-1] + 1] if whole else line[1:]:
+        n, more, linked = nodes[i], own[i] - own[at], links[i] - links[at]
+        if n.tag in _WHOLE:
+            fits = more + linked > 0
+        elif n.tag in _FRAME:
+            fits = frame and (n.own > n.links or more - linked >= RUNNING)
+        else:
+            fits = more > linked
+        at = i if fits else at
+    return at
+
+
 def best_container(nodes: list[Node]) -> tuple[int, float]:
+    """The container with the best score, widened, and that score."""
     scores = container_scores(nodes)
     best = max(range(len(nodes)), key=lambda i: (scores[i], -i))
-    return best, scores[best]
+    return (widened(nodes, best) if scores[best] > 0 else best), scores[best]
 
 
 def page_vote(text: str) -> tuple[str, float]:
@@ -219,9 +250,9 @@ def page_vote(text: str) -> tuple[str, float]:
 
 
 def page_text(text: str, path: str | None) -> str:
-    """The blocks of all containers at ``path``, or else of the page's best one."""
+    """The blocks of all containers at ``path``, widened within the page's frame, or else of the page's best one."""
     blocks, nodes = parse_page(text)
-    chosen = [n for n in nodes if path and n.path == path and not n.dropped]
+    chosen = [nodes[widened(nodes, i, frame=False)] for i, n in enumerate(nodes) if path and n.path == path and not n.dropped]
     if not any(not dropped for n in chosen for _, dropped in blocks[n.first : n.last]):
         best, score = best_container(nodes)
         chosen = [nodes[best]] if score > 0 else [nodes[0]]

@@ -35,6 +35,32 @@ def test_single_pages(html, expected):
     assert text_of(html) == expected
 
 
+LONG = "<p>" + ARTICLE * 36 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "kept"),
+    [
+        (f"<body><div class=post><h1>Title</h1><p>lead</p><div class=entry>{LONG}</div></div></body>", "Title\nlead\n{}"),
+        (f"<body><article><h1>Title</h1><div><div>{LONG}</div></div></article><div>{ARTICLE * 2}</div></body>", "Title\n{}"),
+        (f"<body><div class=wrap><div>{LONG}</div><div><p>{ARTICLE * 4}</p></div></div></body>", "{}\n" + ARTICLE * 4),
+        (f"<body><div>{LONG}</div><div><p>{ARTICLE * 4}</p></div></body>", "{}\n" + ARTICLE * 4),
+        (f"<body><h1>Title</h1><div class=entry>{LONG}</div></body>", "Title\n{}"),
+        (f"<body><div class=wrap><div class=more><a href=x>{ARTICLE * 3}</a></div><div>{LONG}</div></div></body>", "{}"),
+        (f"<body><div class=post><h1>Title</h1><div class=share>{ARTICLE}</div><div>{LONG}</div></div></body>", "Title\n{}"),
+    ],
+)
+def test_nested_and_split_articles_stay_whole(html, kept):
+    expected = kept.format(ARTICLE * 36)
+    assert text_of(html) == expected
+    assert html_text.page_text(html, html_text.page_vote(html)[0]) == expected
+
+
+def test_a_page_adds_what_stands_around_its_hosts_path():
+    html = f"<body><div class=post><p>Lead of this page only.</p><div class=entry>{LONG}</div></div></body>"
+    assert html_text.page_text(html, "/body/div.post/div.entry") == "Lead of this page only.\n" + ARTICLE * 36
+
+
 def test_generalised_paths_leave_numbers_out():
     blocks, nodes = html_text.parse_page('<div class="post-123 entry x9"><p>a</p></div>')
     assert nodes[-1].path == "/div.entry.post.x"
