@@ -62,6 +62,10 @@ _FRAME = frozenset(["", "html", "body"])
 _WHOLE = frozenset(["article", "main"])
 # So many characters in containers right in the frame are running text, not a scrap beside the article.
 RUNNING = 80
+# The share of the best container's text below which the host's path does not stand for a page alone,
+# and how many pages of the host make a path a template.
+FAIR = 0.5
+TEMPLATE = 2
 
 
 class Node:
@@ -249,23 +253,42 @@ def page_vote(text: str) -> tuple[str, float]:
     return (nodes[best].path, score) if score > 0 else ("", 0.0)
 
 
-def page_text(text: str, path: str | None) -> str:
-    """The blocks of all containers at ``path``, widened within the page's frame, or else of the page's best one."""
+def page_texts(text: str, path: str | None) -> tuple[str, str | None, str | None]:
+    """The blocks of all containers at ``path``, widened within the page's frame, or else of the page's best one.
+
+    Where those hold no fair share of the best container's text, also the best
+    container's path and the text of both.
+    """
     blocks, nodes = parse_page(text)
+    best, score = best_container(nodes)
     chosen = [nodes[widened(nodes, i, frame=False)] for i, n in enumerate(nodes) if path and n.path == path and not n.dropped]
-    if not any(not dropped for n in chosen for _, dropped in blocks[n.first : n.last]):
-        best, score = best_container(nodes)
-        chosen = [nodes[best]] if score > 0 else [nodes[0]]
-    keep = sorted({i for n in chosen for i in range(n.first, n.last)})
-    return "\n".join(blocks[i][0] for i in keep if not blocks[i][1])
+
+    def places(some: list[Node]) -> set[int]:
+        return {i for n in some for i in range(n.first, n.last) if not blocks[i][1]}
+
+    def joined(kept: set[int]) -> str:
+        return "\n".join(blocks[i][0] for i in sorted(kept))
+
+    own = places([nodes[best]] if score > 0 else [nodes[0]])
+    kept = places(chosen)
+    if not kept:
+        return joined(own), None, None
+    size, most = (sum(len(blocks[i][0]) for i in x) for x in (kept, own))
+    if own <= kept or size >= FAIR * most:
+        return joined(kept), None, None
+    return joined(kept), nodes[best].path, joined(kept | own)
+
+
+def page_text(text: str, path: str | None) -> str:
+    return page_texts(text, path)[0]
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with the largest sum of votes, ties by path."""
+def host_votes(pages: DataFrame) -> DataFrame:
+    """host, path, votes (the sum of weights) and voters (the number of pages)."""
 
     def vote(batches: Batches, schema: pa.Schema) -> Batches:
         for whole in batches:
@@ -274,24 +297,48 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 yield record_batch(schema, [batch.column(0), [p for p, _ in votes], [round(s) for _, s in votes]])
 
     votes = map_arrow(pages.select(host_of(F.col("url")).alias("host"), "html"), "host string, path string, weight bigint", vote)
-    sums = votes.filter("weight > 0").groupBy("host", "path").agg(F.sum("weight").alias("votes"))
-    return sums.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path"))["path"].alias("path"))
+    return votes.filter("weight > 0").groupBy("host", "path").agg(F.sum("weight").alias("votes"), F.count(F.lit(1)).alias("voters"))
+
+
+def host_paths(votes: DataFrame) -> DataFrame:
+    """host, path: the path with the largest sum of votes, ties by path."""
+    return votes.groupBy("host").agg(F.min(F.struct(-F.col("votes"), "path"))["path"].alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars.
 
-    The winning paths are written, one row per host, so the join with them follows from their size.
+    The winning paths are written, one row per host, so the join with them follows from their size,
+    and so are the other templates' paths, which only pages with little text at the winning path need.
     """
-    winners = write_once(host_paths(pages), "host-paths")
+    votes = write_once(host_votes(pages), "host-votes")
+    winners = write_once(host_paths(votes), "host-paths")
+    others = write_once(
+        votes.filter(F.col("voters") >= TEMPLATE)
+        .join(winners.withColumnRenamed("path", "winner"), "host")
+        .filter("path <> winner")
+        .select(F.concat("host", F.lit(" "), "path").alias("template"), F.lit(True).alias("known")),
+        "host-templates",
+    )
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left")
 
     def extract(batches: Batches, schema: pa.Schema) -> Batches:
         for whole in batches:
             for batch in pieces(whole):
-                texts = [page_text(x or "", p) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield record_batch(schema, [batch.column(0), batch.column(1), texts, [len(x) for x in texts]])
+                texts = [page_texts(x or "", p) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield record_batch(schema, [batch.column(0), batch.column(1), batch.column(4), *map(list, zip(*texts))])
 
-    return map_arrow(
-        rows.select("page_id", "url", "html", "path"), "page_id bigint, url string, text string, n_chars bigint", extract
+    found = map_arrow(
+        rows.select("page_id", "url", "html", "path", "host"),
+        "page_id bigint, url string, host string, text string, own_path string, both string",
+        extract,
+    )
+    # Pages without another path get keys that match nothing and spread out.
+    template = F.coalesce(F.concat("host", F.lit(" "), "own_path"), F.xxhash64("page_id", "url", F.length("text")).cast("string"))
+    text = F.when(F.col("known"), F.col("both")).otherwise(F.col("text"))
+    return (
+        found.withColumn("template", template)
+        .join(others, "template", "left")
+        .select("page_id", "url", text.alias("text"))
+        .withColumn("n_chars", F.length("text").cast("bigint"))
     )

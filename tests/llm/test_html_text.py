@@ -79,6 +79,17 @@ def test_host_consensus_overrules_a_page(spark):
     assert all(found[i].text == ARTICLE * 3 for i in range(9))
 
 
+def test_a_second_template_of_a_host_keeps_its_articles(spark):
+    first = f"<body><div class=story><p>{ARTICLE * 9}</p></div></body>"
+    second = f"<body><div class=story><p>Teaser 😀.</p></div><div class=long><p>{ARTICLE * 9}</p></div></body>"
+    rows = [(i, "http://host.example/", first) for i in range(9)] + [(20 + i, "http://host.example/", second) for i in range(3)]
+    found = {r.page_id: r for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(found) == 12
+    assert all(found[i].text == ARTICLE * 9 for i in range(9))
+    for i in range(20, 23):
+        assert found[i].text == "Teaser 😀.\n" + ARTICLE * 9 and found[i].n_chars == len(found[i].text)
+
+
 def test_odd_rows_and_empty_table(spark):
     schema = "page_id bigint, url string, html string, host string"
     rows = [(1, None, None, "h"), (None, "no host", "<p>x</p>", None), (2, "http://a/", "", None), (2, "http://a/", "", None), (3, "http://a/", "<p>" + "w " * 300_000, None)]
