@@ -29,7 +29,7 @@ PARTS = 256
 _STEPS_PER_JOB = 3
 _JOBS = 20
 _SCALE = 1024.0
-_REPAIRS = 4
+_ROUNDS_PER_JOB = 6
 
 
 def word_count(text: Column) -> Column:
@@ -125,7 +125,7 @@ def copies_by_size(counts: DataFrame, targets: DataFrame) -> DataFrame:
 
     Running sums from the largest size down are rounded, so each source's
     number of copies is off by less than one at any size.  What is still
-    missing in words is then settled with the largest size that fits, a few times.
+    missing in words is then settled over all sizes, until no round brings it closer.
     """
     state = _multipliers(targets, counts)
     rows = counts.join(state.select("source_key", "multiplier", "mean", "open", "target"), "source_key")
@@ -136,26 +136,41 @@ def copies_by_size(counts: DataFrame, targets: DataFrame) -> DataFrame:
     plan = rows.withColumn("upto", rounded)
     plan = plan.withColumn("copies", F.col("upto") - F.coalesce(F.lag("upto").over(running), F.lit(0)))
     plan = plan.select("source_key", "size", "n", "target", "copies")
-    for _ in range(_REPAIRS):
-        plan = write_once(_repaired(plan), "mix-plan")
-    return plan
+    while True:
+        for _ in range(_ROUNDS_PER_JOB):
+            plan = _repaired(plan)
+        plan = write_once(plan, "mix-plan")
+        if plan.filter("moved").isEmpty():
+            return plan.drop("moved")
 
 
 def _repaired(plan: DataFrame) -> DataFrame:
-    missing = plan.groupBy("source_key").agg(
-        (F.round(F.max("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("missing")
+    """One round: every size that fits into what is missing, from the largest down, until it is filled.
+
+    Where none fits, the smallest one beyond it is taken once if that leaves less than
+    before; the next round goes the other way.  So what is missing shrinks with every move.
+    """
+    source = Window.partitionBy("source_key")
+    down = source.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = plan.select("source_key", "size", "n", "target", "copies").withColumn(
+        "missing", F.round(F.max("target").over(source)).cast("long") - F.sum(F.col("copies") * F.col("size")).over(source)
     )
-    rows = plan.join(missing, "source_key")
-    room = F.when(F.col("missing") > 0, F.col("n") * CEILING - F.col("copies")).otherwise(F.col("copies"))
-    usable = (F.col("size") <= F.abs("missing")) & (room > 0)
-    chosen = rows.groupBy("source_key").agg(F.max(F.when(usable, F.col("size"))).alias("chosen"))
-    amount = F.least(F.floor(F.abs("missing") / F.col("size")), room) * F.signum(F.col("missing").cast("double"))
-    return rows.join(chosen, "source_key").select(
-        "source_key",
-        "size",
-        "n",
-        "target",
-        (F.col("copies") + F.when(F.col("size") == F.col("chosen"), amount).otherwise(0).cast("long")).alias("copies"),
+    rows = rows.withColumn("room", F.when(F.col("missing") > 0, F.col("n") * CEILING - F.col("copies")).otherwise(F.col("copies")))
+    rows = rows.withColumn("usable", (F.col("size") <= F.abs("missing")) & (F.col("room") > 0))
+    words = F.when(F.col("usable"), F.col("room") * F.col("size")).otherwise(F.lit(0))
+    rows = rows.withColumn("left", F.abs("missing") - F.coalesce(F.sum(words).over(down), F.lit(0)))
+    beyond = F.min(F.when((F.col("size") > F.abs("missing")) & (F.col("room") > 0), F.col("size"))).over(source)
+    rows = rows.withColumn("beyond", F.when(~F.max("usable").over(source), beyond))
+    closer = F.col("size").eqNullSafe(F.col("beyond")) & (F.col("size") < 2 * F.abs("missing"))
+    amount = (
+        F.when(F.col("usable") & (F.col("left") > 0), F.least(F.col("room"), F.floor(F.col("left") / F.col("size"))))
+        .when(closer, F.lit(1))
+        .otherwise(F.lit(0))
+        .cast("long")
+    )
+    moved = amount * F.signum(F.col("missing").cast("double")).cast("long")
+    return rows.select(
+        "source_key", "size", "n", "target", (F.col("copies") + moved).alias("copies"), (amount > 0).alias("moved")
     )
 
 

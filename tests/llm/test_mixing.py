@@ -81,3 +81,18 @@ def test_odd_rows(spark):
 def test_empty_texts_only_and_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([(1, "", "a", None, None)], SCHEMA)).first().taken == 0
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize(("long", "times"), [(300_000, 1), (100_000, 3)])
+def test_small_documents_close_the_gap_of_long_ones(spark, long, times):
+    rng = random.Random(3)
+    sizes = [rng.randint(50, 400) for _ in range(3000)] + [long] * times
+    total, n = sum(sizes), {x: sizes.count(x) for x in set(sizes)}
+    shares = {"a": 0.9, "b": 1.1, "c": 1.5, "d": 0.3}
+    counts = spark.createDataFrame([(s, x, k) for s in shares for x, k in n.items()], "source_key string, size bigint, n bigint")
+    rows = [(s, total, len(sizes), share * total, 2.0 * total) for s, share in shares.items()]
+    targets = spark.createDataFrame(rows, "source_key string, source_size bigint, n_docs bigint, target double, most double")
+    plan = mixing.copies_by_size(counts, targets).collect()
+    assert len(plan) == 4 * len(n) and all(0 <= r.copies <= 2 * r.n for r in plan)
+    for source, share in shares.items():
+        assert abs(sum(r.copies * r.size for r in plan if r.source_key == source) - share * total) < 50
