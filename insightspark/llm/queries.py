@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insightspark.llm import ann, chat, html_text, minhash, mixing, packing, quality, suffix_dedup, topk, warc
+from insightspark.llm import ann, bpe, chat, filter_audit, html_text, importance, minhash, mixing, packing, quality, suffix_dedup, topk, warc
 from insightspark.plans.sales_view import table
 from insightspark.session import shared_folder, write_once
 
@@ -22,6 +22,12 @@ def public_vocabulary() -> packing.Vocabulary:
     )
 
 
+def public_ranks() -> bpe.Ranks:
+    import public_tokenizers
+
+    return bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op1_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     out = shared_folder(spark, "warc")
@@ -74,10 +80,31 @@ def op10_stable_projections(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_importance_draw(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return importance.resample(documents, table(spark, folder, "benchmark").select("text")).drop("n_words")
+
+
+def op12_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_ranks()
+    encoded = bpe.encode_documents(table(spark, folder, "documents").select("doc_id", "text"), ranks)
+    return bpe.decode_documents(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(documents, table(spark, folder, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc_archives, op2_quality_trees, op3_repeat_intervals, op4_tensored_minhash, op5_entropy_mix, op6_host_paths, op7_packed_windows, op8_norm_buckets, op9_chat_examples,
-        op10_stable_projections,
+        op10_stable_projections, op11_importance_draw, op12_bpe_transducer, op13_filter_audit,
     )
 }
