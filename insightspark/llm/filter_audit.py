@@ -62,11 +62,15 @@ def mask_cells(documents: DataFrame, labels: DataFrame) -> DataFrame:
         {c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")}
     )
     with_id = F.col("doc_id").isNotNull()
-    groups = labelled.groupBy("digest", "bits", "part", "good", "toxic").agg(
-        F.coalesce(F.sum(F.when(with_id, F.col("n"))), F.lit(0)).alias("with_id"),
-        F.coalesce(F.sum(F.when(~with_id, F.col("n"))), F.lit(0)).alias("without"),
-        F.min("doc_id").alias("least"),
-        F.coalesce(F.min(F.when(with_id, F.struct("doc_id", "n")))["n"], F.lit(0)).alias("at_least"),
+    # Written, since both the smallest ids and the counts are read from it.
+    groups = write_once(
+        labelled.groupBy("digest", "bits", "part", "good", "toxic").agg(
+            F.coalesce(F.sum(F.when(with_id, F.col("n"))), F.lit(0)).alias("with_id"),
+            F.coalesce(F.sum(F.when(~with_id, F.col("n"))), F.lit(0)).alias("without"),
+            F.min("doc_id").alias("least"),
+            F.coalesce(F.min(F.when(with_id, F.struct("doc_id", "n")))["n"], F.lit(0)).alias("at_least"),
+        ),
+        "equal-texts",
     )
     first = groups.groupBy("digest").agg(F.min("least").alias("first"))
     heads = F.when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)
