@@ -22,7 +22,9 @@ gives none; texts and words of any length are read byte by byte, without recursi
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from insightspark.llm.common import Batches, map_arrow, pieces, record_batch
 
-# Deterministic states and whole words kept before both tables start anew.
-STATES = 100_000
-WORDS = 200_000
+# Deterministic states kept before their table starts anew, and words before the older half goes.
+STATES = 800_000
+WORDS = 1_000_000
 # Longer words are not kept.
 _WORD = 40
 _BATCH = 4 << 20
@@ -78,8 +80,8 @@ class _Edge(NamedTuple):
 class Transducer:
     """Ids of one word, byte by byte.
 
-    A state is a tuple of (ahead, last, node): the ids not yet emitted of a way through the word, its last
-    id (-1: none), and the trie node since; the last way of a state has just ended a token.
+    A state is a flat tuple: the last id emitted (-1: none, or no way needs it), then for each way through the word the ids it is ahead
+    and the trie node since; the last way has just ended a token.
     """
 
     def __init__(self, ranks: dict[bytes, int], limit: int = STATES):
@@ -105,7 +107,7 @@ class Transducer:
         self._numbers: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._number((((), -1, 0),))
+        self._number((-1, (), 0))
 
     def _number(self, state: tuple) -> int:
         found = self._numbers.get(state)
@@ -144,8 +146,8 @@ class Transducer:
         certain = left.ascending and right.ascending
         if certain:
             ranks = self.ranks
-            for a, a_made, a_end in left.pieces:
-                for b, b_made, b_end in right.pieces:
+            for a, a_made, a_end in reversed(left.pieces):
+                for b, b_made, b_end in reversed(right.pieces):
                     rank = ranks.get(a + b)
                     # Of equal ranks the leftmost merges first.
                     if rank is not None and rank < a_end and rank <= b_end:
@@ -158,28 +160,30 @@ class Transducer:
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the edge of a state for a byte: the next state and the ids that are certain now."""
-        ways, ended = [], None
-        edges, ends = self._edges, self._ends
-        for ahead, last, node in self._states[number]:
-            node = edges.get(node << 8 | byte, 0)
+        state, ways, ended = self._states[number], [], None
+        emitted, edges, ends = state[0], self._edges, self._ends
+        for i in range(1, len(state), 2):
+            node = edges.get(state[i + 1] << 8 | byte)
             if node:
-                ways.append((ahead, last, node))
+                ahead = state[i]
+                ways += (ahead, node)
                 token = ends[node]
-                if token >= 0 and ended is None and self._follows(last, token):
-                    ended = ((*ahead, token), token, 0)
+                if ended is None and token >= 0 and self._follows(ahead[-1] if ahead else emitted, token):
+                    ended = (*ahead, token)
         # Every byte is a token, so a way always ends here: the encoding of what was read.
         assert ended is not None, "every byte must be a token"
-        ways.append(ended)
-        first = ways[0][0]
-        shared = 0
-        if first:
-            shared = min(len(x[0]) for x in ways)
-            while any(x[0][:shared] != first[:shared] for x in ways):
-                shared -= 1
-        if shared or len(ways) == 1:
-            shared = len(first) if len(ways) == 1 else shared
-            ways = [(ahead[shared:], last, node) for ahead, last, node in ways]
-        found = self._steps[number << 8 | byte] = (self._number(tuple(ways)), first[:shared])
+        ways += (ended, 0)
+        certain = ways[0]
+        for i in range(2, len(ways), 2):
+            while certain and ways[i][: len(certain)] != certain:
+                certain = certain[:-1]
+        if certain:
+            emitted = certain[-1]
+            for i in range(0, len(ways), 2):
+                ways[i] = ways[i][len(certain) :]
+        # What was emitted matters to ways that are not ahead of it.
+        before = -1 if all(ways[::2]) else emitted
+        found = self._steps[number << 8 | byte] = (self._number((before, *ways)), certain)
         return found
 
     def encode(self, word: bytes) -> list[int]:
@@ -200,31 +204,46 @@ class Transducer:
             state, certain = found
             ids += certain
         # At the end of the word the way that just ended a token is its encoding.
-        ids += self._states[state][-1][0]
+        ids += self._states[state][-2]
         return ids
 
 
 class Encoder:
-    """Ids of whole texts: the pattern's matches through the transducer, frequent words remembered."""
+    """Ids of whole texts: the pattern's matches through the transducer.
+
+    A match never goes on from a visible character to a blank, so texts are cut before such blanks, and the ids of
+    short cuts are remembered.
+    """
+
+    # A blank after a visible character; and what tells that other blanks occur.
+    _CUT = re.compile(r"(?<=\S) ")
+    _OTHER = re.compile(r"\s ")
 
     def __init__(self, ranks: Ranks, states: int = STATES, words: int = WORDS):
         import regex
 
-        self.transducer = Transducer(read_ranks(ranks.file), states)
+        self.ranks = read_ranks(ranks.file)
+        self.transducer = Transducer(self.ranks, states)
         self._parts = regex.compile(ranks.pattern)
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
         self._words = words
 
+    def _ids(self, part: str) -> tuple[int, ...]:
+        encode = self.transducer.encode
+        return tuple(x for found in self._parts.finditer(part) for x in encode(found[0].encode("utf-8", "replace")))
+
     def encode(self, text: str) -> list[int]:
-        known, ids = self._known, []
-        for found in self._parts.finditer(text):
-            word = found[0]
+        cuts = self._CUT.split(text) if self._OTHER.search(text) else text.split(" ")
+        ids, known = list(self._ids(cuts[0])), self._known
+        for i in range(1, len(cuts)):
+            word = cuts[i]
             own = known.get(word)
             if own is None:
-                own = self.transducer.encode(word.encode("utf-8", "replace"))
-                if len(word) <= _WORD:
+                own = self._ids(" " + word)
+                if len(word) < _WORD:
                     if len(known) >= self._words:
-                        known.clear()
+                        for old in list(islice(known, len(known) // 2 + 1)):
+                            del known[old]
                     known[word] = own
             ids += own
         return ids
@@ -306,6 +325,9 @@ class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self._bytes = {rank: token for token, rank in ranks.items()}
         self._steps: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        # The texts of tokens that begin and end between characters.
+        steps = {token: self._step(b"", token) for token in self._bytes}
+        self._whole = {token: text for token, (text, held) in steps.items() if not held and _REPLACEMENT not in text}
 
     def _step(self, held: bytes, token: int) -> tuple[str, bytes]:
         machine = Utf8Stream()
@@ -330,38 +352,46 @@ class Decoder:
         if held:
             yield _REPLACEMENT
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.stream(ids))
+    def decode(self, ids: Sequence[int]) -> str:
+        texts = list(map(self._whole.get, ids))
+        return "".join(self.stream(ids) if None in texts else texts)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_CODERS: dict[tuple, tuple[Encoder, Decoder]] = {}
 
 
-def worker_encoder(ranks: Ranks, states: int) -> Encoder:
-    """One encoder per Python worker, so its states serve later tasks too."""
+def worker_coders(ranks: Ranks, states: int) -> tuple[Encoder, Decoder]:
+    """One encoder and decoder per Python worker, so their states serve later tasks too."""
     key = (ranks, states)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, states)
-    return _ENCODERS[key]
+    if key not in _CODERS:
+        _CODERS.clear()
+        encoder = Encoder(ranks, states)
+        _CODERS[key] = (encoder, Decoder(encoder.ranks))
+    return _CODERS[key]
 
 
-def encode_documents(documents: DataFrame, ranks: Ranks, states: int = STATES) -> DataFrame:
-    """doc_id, ids (array of INT): the tokens of each whole text, in the rows' order."""
+def encode_documents(documents: DataFrame, ranks: Ranks, states: int = STATES, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array of INT): the tokens of each whole text, in the rows' order; and, if ``decoded``, the
+    text that those ids spell."""
 
     def run(batches: Batches, schema: pa.Schema) -> Batches:
-        encoder = worker_encoder(ranks, states)
+        encoder, decoder = worker_coders(ranks, states)
         for whole in batches:
             for batch in pieces(whole, _BATCH):
-                texts = [(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-                each = [np.array(encoder.encode(x), dtype=np.int32) for x in texts]
+                each, texts = [], []
+                for text in batch.column(1).to_pylist():
+                    ids = encoder.encode((text or b"").decode("utf-8", "replace"))
+                    each.append(np.array(ids, dtype=np.int32))
+                    if decoded:
+                        texts.append(decoder.decode(ids))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
                 flat = np.concatenate(each) if each else np.zeros(0, dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(schema.field(1).type)
-                yield record_batch(schema, [batch.column(0), ids])
+                rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(schema.field(1).type)
+                yield record_batch(schema, [batch.column(0), rows, *([texts] if decoded else [])])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_arrow(documents.select("doc_id", F.col("text").cast("binary")), f"doc_id {kind}, ids array<int>", run)
+    more = ", text string" if decoded else ""
+    return map_arrow(documents.select("doc_id", F.col("text").cast("binary")), f"doc_id {kind}, ids array<int>{more}", run)
 
 
 def decode_documents(encoded: DataFrame, ranks: Ranks) -> DataFrame:

@@ -86,9 +86,8 @@ def op11_importance_draw(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = public_ranks()
-    encoded = bpe.encode_documents(table(spark, folder, "documents").select("doc_id", "text"), ranks)
-    return bpe.decode_documents(encoded, ranks).select(
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode_documents(documents, public_ranks(), decoded=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
