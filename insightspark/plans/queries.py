@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from insightspark.functions import text as texts
@@ -24,7 +24,7 @@ from insightspark.session import shared_folder
 from insightspark.sources.csv_files import load_table
 from insightspark.sources.payloads import result_payload
 from insightspark.sources.text_documents import read_text_documents
-from insightspark.streaming import arrivals, step_status
+from insightspark.streaming import arrivals, run_ends, step_status
 from insightspark.streaming.changes import write_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,16 @@ def csv_mixed_headers(spark: SparkSession, folder: str) -> DataFrame:
     return load_table(spark, path)
 
 
+def csv_split_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents, line breaks and quotes included, as cells of CSV files that are split over tasks."""
+    path = shared_folder(spark, "quoted-csv")
+    bare = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    table(spark, folder, "documents").select(
+        "doc_id", "text", F.concat(F.lit('5" '), "lang", F.lit(',"\n"')).alias("size"), "source"
+    ).write.options(header=True, **bare).csv(path)
+    return load_table(spark, path, "doc_id bigint, text string, size string, source string")
+
+
 def text_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Files in a folder per language; the language comes back from the name of the file."""
     path = shared_folder(spark, "text-docs")
@@ -140,13 +150,49 @@ def stream_csv_clean(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias(" Order Key "),
         F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit("\t")).alias("Order STATUS"),
         F.when(F.col("o_orderkey") % 9 == 0, "cheap").otherwise(F.col("o_totalprice").cast("string")).alias("Total Price"),
-    ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{out}/inbox")
-    schema = "` Order Key ` bigint, `Order STATUS` string, `Total Price` double"
+        F.concat(F.lit('say "'), F.col("o_orderpriority"), F.lit('",\ntwice')).alias("Remark"),
+    ).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{out}/inbox")
+    schema = "` Order Key ` bigint, `Order STATUS` string, `Total Price` double, Remark string"
     cleaned = arrivals.clean_stream(arrivals.arriving_files(spark, f"{out}/inbox", schema))
     writer = cleaned.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
     writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     rows = spark.read.parquet(f"{out}/rows")
-    return rows.select("order_key", "order_status", "total_price", F.array_join("_rejects", ",").alias("rejects"))
+    return rows.select("order_key", "order_status", "total_price", "remark", F.array_join("_rejects", ",").alias("rejects"))
+
+
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Order states that repeat within and across arriving files, one row each."""
+    out = shared_folder(spark, "dedup-stream")
+    orders = table(spark, folder, "orders").select("o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("o_orderdate"))
+    inbox = f"{out}/inbox"
+    orders.write.option("maxRecordsPerFile", -(-orders.count() // 4)).parquet(inbox)
+    rows = arrivals.arriving_files(spark, inbox, orders.schema, kind="parquet", files_per_trigger=2, arrived="_arrived")
+    fresh = arrivals.first_arrivals(rows, "30 days").drop("_arrived")
+    writer = fresh.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def stream_run_end(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of a step log that end: their last status and number of steps; runs are a user's events of a day."""
+    events = table(spark, folder, "events").select(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("run_id"),
+        F.col("event_type").alias("node"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        F.col("props").alias("status"),
+    )
+    last = F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("seq").desc())) == 1
+    out = shared_folder(spark, "run-end-stream")
+    logged = events.withColumn("type", F.when(last, "result").otherwise("node_complete")).withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min("seq"), F.max("seq")).first()
+    # Two drops in the log's order, each followed to its end; the checkpoint remembers what was read.
+    for first in (True, False):
+        half = F.col("seq") <= ((low or 0) + (high or 0)) // 2
+        logged.where(half if first else ~half).write.mode("append").parquet(f"{out}/inbox")
+        stream = arrivals.arriving_files(spark, f"{out}/inbox", logged.schema, kind="parquet")
+        run_ends.start(run_ends.run_ends(stream, stalled_after="3650 days"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("run_id", "outcome", "status", "events")
 
 
 # --- cleaning --------------------------------------------------------------
@@ -526,7 +572,9 @@ QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
     "csv_with_schema": csv_with_schema,
     "csv_mixed_headers": csv_mixed_headers,
+    "csv_split_quotes": csv_split_quotes,
     "stream_csv_clean": stream_csv_clean,
+    "stream_dedup": stream_dedup,
     "text_docs": text_docs,
     "result_payloads": result_payloads,
     "stream_revenue_by_dim": stream_revenue_by_dim,
@@ -593,4 +641,5 @@ QUERIES: dict[str, Query] = {
     "fold_run_errors": fold_run_errors,
     "step_status": run_step_status,
     "stream_step_status": stream_step_status,
+    "stream_run_end": stream_run_end,
 }

@@ -436,7 +436,10 @@ SQL_CHECKS: dict[str, str] = {
     "csv_with_schema": "SELECT o_orderstatus, o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS o_totalprice FROM orders",
     "csv_mixed_headers": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "stream_csv_clean": """SELECT o_orderkey AS order_key, o_orderstatus AS order_status, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS total_price,
+        'say "' || o_orderpriority || '",' || chr(10) || 'twice' AS remark,
         CASE WHEN o_orderkey % 9 = 0 THEN 'Total Price' ELSE '' END AS rejects FROM orders""",
+    "csv_split_quotes": """SELECT doc_id, text, '5" ' || lang || ',"' || chr(10) || '"' AS size, source FROM documents""",
+    "stream_dedup": "SELECT DISTINCT o_orderstatus, o_orderpriority, o_orderdate::DATE AS o_orderdate FROM orders",
     "text_docs": f"SELECT lang, line, count(*) AS n FROM (SELECT lang, unnest(string_split(text, {NL})) AS line FROM documents) GROUP BY ALL",
     "result_payloads": f"""SELECT conv_id || '-' || turn AS run_id, replace(text, {NL}, '|') AS data_findings,
         CASE WHEN role = 'user' THEN text ELSE '' END AS data_summary, (turn * 7 % 101)::VARCHAR AS data_health_score,
@@ -538,4 +541,6 @@ SQL_CHECKS: dict[str, str] = {
     "step_status": STEP_STATUS,
     "stream_step_status": """SELECT user_id AS run_id, event_type AS node, max(event_id) AS seq, arg_max(props, event_id) AS status
         FROM events GROUP BY ALL""",
+    "stream_run_end": """SELECT user_id::VARCHAR || '/' || strftime(ts, '%Y-%m-%d') AS run_id, 'ended' AS outcome,
+        arg_max(props, event_id) AS status, count(*) AS events FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')""",
 }

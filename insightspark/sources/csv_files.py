@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from insightspark.errors import DataIngestionError
 from insightspark.functions.kinds import column
 from insightspark.functions.text import strip
+from insightspark.sources.csv_records import ends_inside, record_texts
 
 # The cell texts a dataframe CSV reader takes as missing.
 NULL_TOKENS = [
@@ -46,7 +49,7 @@ def load_table(spark: SparkSession, path, schema: T.StructType | str | None = No
     """Read a CSV file, folder or list of them into a typed table.
 
     A first scan takes every file's header and looks for line breaks inside
-    quotes; files that have some are read whole, one task each.  Headers may
+    quotes; files that have some are still split, see ``csv_records``.  Headers may
     differ in order, and cells go by name.  Without a ``schema`` one aggregation over
     all cells settles the types; with one, it counts the cells that do not fit.
 
@@ -74,10 +77,10 @@ def load_table(spark: SparkSession, path, schema: T.StructType | str | None = No
 def _alike(spark: SparkSession, path) -> list[_Files]:
     """The files of a table by header and by line breaks inside quotes; one group is the rule."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    opens = F.col("value").contains('"') & ends_inside(F.col("value"), False)
     starts = F.col("_metadata.file_block_start") == 0
     files = (
-        lines.select(F.col("_metadata.file_path").alias("file"), "value", (quotes % 2 == 1).alias("open"), starts.alias("starts"))
+        lines.select(F.col("_metadata.file_path").alias("file"), "value", opens.alias("open"), starts.alias("starts"))
         .withColumn("place", F.monotonically_increasing_id())
         .groupBy("file")
         .agg(F.min_by("value", F.when(F.col("starts"), F.col("place"))).alias("header"), F.bool_or("open").alias("multi_line"))
@@ -87,7 +90,7 @@ def _alike(spark: SparkSession, path) -> list[_Files]:
         raise DataIngestionError("The file contains no data.")
     found: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     for header, multi_line, file in kinds:
-        found.setdefault((tuple(_header(spark, file, multi_line)), multi_line), []).append(header)
+        found.setdefault((tuple(_header(spark, file, header, multi_line)), multi_line), []).append(header)
     if len(found) == 1:
         ((names, multi_line),) = found
         return [_Files(path, list(names), multi_line)]
@@ -112,14 +115,14 @@ def _fitting(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return typed_cells(raw, schema)
 
 
-def with_rejects(raw: DataFrame, schema: T.StructType, malformed: Column, rejects: str) -> DataFrame:
-    """The declared columns and ``rejects``: what was wrong with a row, an empty list for a good one.
+def with_rejects(raw: DataFrame, schema: T.StructType, malformed: Column, rejects: str, more: Sequence[Column] = ()) -> DataFrame:
+    """The declared columns, ``rejects`` and ``more``; ``rejects`` says what was wrong with a row, an empty list for a good one.
 
     "cells" stands for a wrong number of cells, else the names of the columns
     whose cell does not fit its type and is null.
     """
     problems = [F.when(malformed, "cells"), *[F.when(_unfit(f.name, f.dataType), f.name) for f in schema]]
-    return raw.select(*[_typed(f.name, f.dataType) for f in schema], F.array_compact(F.array(*problems)).alias(rejects))
+    return raw.select(*[_typed(f.name, f.dataType) for f in schema], F.array_compact(F.array(*problems)).alias(rejects), *more)
 
 
 def _unfit(name: str, kind: T.DataType) -> Column:
@@ -169,18 +172,22 @@ def infer_types(raw: DataFrame) -> DataFrame:
 
 
 def _read_text(spark: SparkSession, path, names: list[str], multi_line: bool) -> DataFrame:
+    if multi_line:
+        cells = ", ".join(f"c{i} STRING" for i in range(len(names) + 1))
+        records = record_texts(spark, path).where(~F.col("first"))
+        row = F.from_csv("record", cells, {k: v for k, v in _OPTIONS.items() if k in ("quote", "escape", "mode")})
+        return records.select(row.alias("row")).select("row.*").toDF(*names, _OVERFLOW)
     fields = [T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]]
-    return spark.read.options(**_OPTIONS).option("multiLine", multi_line).schema(T.StructType(fields)).csv(path)
+    return spark.read.options(**_OPTIONS).schema(T.StructType(fields)).csv(path)
 
 
-def _header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+def _header(spark: SparkSession, path: str, line: str, multi_line: bool) -> list[str]:
     """Header names; blanks and repeats are renamed as dataframe readers do."""
-    options = {**_OPTIONS, "header": "false"}
-    first = spark.read.options(**options).option("multiLine", multi_line).csv(path).first()
-    if first is None:
-        raise DataIngestionError("The file contains no data.")
+    if multi_line and line.count('"'):
+        line = record_texts(spark, path).where("first").first()["record"]
+    cells = next(csv.reader([line.removeprefix("\ufeff")], strict=False))
     names: list[str] = []
-    for position, cell in enumerate(first):
+    for position, cell in enumerate(cells):
         name = base = cell if cell else f"Unnamed: {position}"
         repeat = 0
         while name in names:
