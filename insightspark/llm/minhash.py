@@ -34,12 +34,11 @@ from insightspark.session import write_once
 WORDS = 4
 PERCENT = 80
 HALVES = 10
-# Classes compared with each other in one task at most, on either side.
+# Classes compared with each other in one task at most, on either side, and their shingles, but for a single class that has more.
 BLOCK = 1024
+SHINGLES = 1_500_000
 _BATCH = 4 << 20
 _COLUMNS = 4096
-# Two classes may share this many more shingles than their shortened numbers show.
-_SLACK = 3
 
 _RANDOM = np.random.default_rng(4)
 _XOR = _RANDOM.integers(0, 2**64, 4 * HALVES, dtype=np.uint64)
@@ -126,8 +125,9 @@ def _unlinked_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, doc
         .select("half", "value", "id", F.coalesce("component", "id").alias("component"))
     )
     mixed_ = (
-        firsts.groupBy("half", "value")
-        .agg(F.count(F.lit(1)).alias("members"), (F.min("component") < F.max("component")).alias("mixed"))
+        firsts.join(classes.select("id", "size"), "id")
+        .groupBy("half", "value")
+        .agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("shingles"), (F.min("component") < F.max("component")).alias("mixed"))
         .filter("mixed")
     )
     rows = write_once(firsts.join(mixed_.drop("mixed"), ["half", "value"]), "mixed-buckets")
@@ -141,7 +141,7 @@ def _unlinked_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, doc
                 yield record_batch(schema, [batch.column(0), [np.unique(x.astype(np.uint32)).tobytes() for x in sets], [len(x) for x in sets]])
 
     short = map_arrow(texts, "id bigint, short binary, size bigint", shorten)
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = (
         rows.select("half", "value", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -156,9 +156,7 @@ def _unlinked_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, doc
         ids, component, own_, size = (table.column(c).to_numpy() for c in ("id", "component", "own", "size"))
         sets = [np.frombuffer(x, dtype=np.uint32) for x in table.column("short").to_pylist()]
         keys = np.array(table.column("halves").to_pylist(), dtype=np.int64).reshape(len(ids), -1)
-        common = common_counts(sets)
-        union = size[:, None] + size[None, :] - common
-        fits = 100 * (common + _SLACK) >= percent * (union - _SLACK)
+        fits = may_be_similar(sets, size, percent)
         fits &= (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
         if key[2].as_py() != key[3].as_py():
             fits &= own_[:, None] != own_[None, :]
@@ -171,6 +169,14 @@ def _unlinked_pairs(shared: DataFrame, classes: DataFrame, found: DataFrame, doc
     return dealt.groupBy("half", "value", "low", "high").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def may_be_similar(short: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """[set, set]: whether sets of ``size`` members, cut to 32 bits in ``short``, can be similar."""
+    # Members of a set whose cut numbers are equal: so many shared ones may not show.
+    hidden = size - np.array([len(x) for x in short])
+    common = common_counts(short) + np.minimum(hidden[:, None], hidden[None, :])
+    return 100 * common >= percent * (size[:, None] + size[None, :] - common)
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """[set, set]: numbers of common members, by products of blocks of columns."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -194,7 +200,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     classes = write_once(
         sketched.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.first("halves").alias("halves")),
+        .agg(F.min("doc_id").alias("id"), F.first("halves").alias("halves"), F.first("n_shingles").alias("size")),
         "classes",
     )
     halves = classes.select("id", F.posexplode("halves").alias("half", "value"))

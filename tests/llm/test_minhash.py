@@ -8,7 +8,7 @@ import pytest
 
 from insightspark.llm import minhash
 from insightspark.llm.components import components
-from insightspark.llm.shingles import shingle_sets
+from insightspark.llm.shingles import shingle_sets, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -19,8 +19,8 @@ def model_set(text, words=4):
     return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
-def model(rows):
-    sets = [model_set(t) for _, t in rows]
+def model(rows, words=4):
+    sets = [model_set(t, words) for _, t in rows]
     parent = {i: i for i, _ in rows}
 
     def root(x):
@@ -102,3 +102,25 @@ def test_components_of_paths_and_stars(spark):
     rng.shuffle(edges)
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {i: 100 for i in range(100, 141)} | {i: 7 for i in [7, *range(200, 230)]} | {i: 250 for i in (250, 275, 300)}
+
+
+def test_links_of_very_large_sets_are_not_lost():
+    """Shortened numbers collide within large sets; a pair just above the threshold still passes, a far one does not."""
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 2**63, 160_000).astype(np.uint64)
+    # Every second number agrees with its neighbour in the last 32 bits.
+    shared[1::2] = (shared[::2] & np.uint64(0xFFFFFFFF)) | (shared[1::2] & np.uint64(0xFFFFFFFF00000000))
+    more, other = rng.integers(0, 2**63, 40_000).astype(np.uint64), rng.integers(0, 2**63, 160_000).astype(np.uint64)
+    sets = [np.unique(x) for x in (shared, np.concatenate([shared, more]), other)]
+    assert similar(sets[0], sets[1], 80) and not similar(sets[0], sets[2], 80)
+    short = [np.unique(s.astype(np.uint32)) for s in sets]
+    assert len(short[0]) <= 80_000
+    fits = minhash.may_be_similar(short, np.array([len(s) for s in sets]), 80)
+    assert fits[0, 1] and not fits[0, 2]
+
+
+def test_blocks_of_few_shingles_find_the_same_links(spark, monkeypatch):
+    rows = corpus()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(minhash, "SHINGLES", 300)
+    assert sorted(map(tuple, minhash.near_duplicates(frame).collect())) == model(rows)
