@@ -34,16 +34,37 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _restored(scored.filter("predicted = 1"), docs, "doc_id", "text")
 
 
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """The documents with ``_key``, one number per doc_id and text.
+
+    It is the doc_id for the text of an id whose digest comes first.  Other texts of that id, and texts without one,
+    get numbers beyond all ids, which are written, so they stay the same.
+    """
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = docs.withColumn("_digest", digest)
+    texts = named.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("rows"))
+    shared = texts.groupBy("doc_id").agg(F.min("_digest").alias("first"), F.count(F.lit(1)).alias("texts"))
+    repeated = shared.filter("texts > 1 AND doc_id IS NOT NULL").select("doc_id", "first")
+    extra = texts.join(repeated, "doc_id").filter("_digest <> first").select("doc_id", "_digest")
+    extra = extra.unionByName(texts.filter("doc_id IS NULL").select("doc_id", "_digest"))
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    number = F.lit(last + 1) + F.monotonically_increasing_id()
+    numbers = write_once(extra.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_text"), number.alias("_number")), "extra-texts")
+    same = named["doc_id"].eqNullSafe(numbers["_id"]) & (named["_digest"] == numbers["_text"])
+    return named.join(numbers, same, "left").withColumn("_key", F.coalesce("_number", "doc_id")).drop("_digest", "_id", "_text", "_number")
+
+
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies, that with the smallest doc_id; shingles of five words, similarity 0.8.
 
-    Of repeated rows one stays.  Documents without a doc_id stay.
+    Texts are compared whatever ids they have: of rows that share doc_id and text one stays, different texts that share a
+    doc_id are documents of their own, and so are texts without a doc_id.
     """
-    kept = write_once(minhash.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id"), "kept-ids")
-    chosen = docs.join(kept.distinct(), "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        chosen = chosen.dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    keyed = write_once(_with_keys(_narrowed(docs, "doc_id", "text")), "keyed-documents")
+    near = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5)
+    kept = write_once(near.filter("kept").select(F.col("doc_id").alias("_key")), "kept-keys")
+    chosen = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return _restored(chosen, docs, "doc_id", "text")
 
 
 def suffix_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,34 @@ def test_one_of_each_group_stays(stages):
     from test_minhash import model
 
     rows = sorted(texts(stages[1]).items())
-    assert set(texts(stages[2])) == {i for i, _, _, kept in model(rows) if kept}
+    assert set(texts(stages[2])) == {i for i, _, _, kept in model(rows, 5) if kept}
+
+
+A, B, C = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+
+
+@pytest.mark.parametrize("rows, expected", [
+    ([(1, A), (1, B), (2, B)], [A, B]),
+    ([(1, A), (1, B), (2, C)], [A, B, C]),
+    ([(1, A), (2, A + " x"), (2, B), (2, B)], [A, B]),
+    ([(None, A), (None, A), (None, A + " x"), (None, B), (3, B)], [A, B]),
+    ([(1, ""), (1, None), (2, ""), (None, A)], ["", "", A]),
+])
+def test_near_deduplication_loses_no_text(spark, rows, expected):
+    """Whatever ids texts share, each group of near copies keeps one; empty texts stay, one per id."""
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_deduplicate(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    found = sorted(r.text or "" for r in kept.collect())
+    assert [t.removesuffix(" x") for t in found] == expected
+
+
+def test_five_words_count(spark):
+    """25 single edits in 1000 words are a copy by four words and none by five."""
+    words = [f"w{i}" for i in range(1000)]
+    edited = [f"e{i}" if i % 40 == 20 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(edited), "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert corpus_pipeline.near_deduplicate(spark, docs, FOLDER).count() == 2
 
 
 def test_repeats_go(stages):
