@@ -35,23 +35,26 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
-    """The documents with ``_key``, one number per doc_id and text.
+    """The documents with ``_key``, one number per doc_id and text, and ``_again``, whether rows share it.
 
     It is the doc_id for the text of an id whose digest comes first.  Other texts of that id, and texts without one,
     get numbers beyond all ids, which are written, so they stay the same.
     """
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    named = docs.withColumn("_digest", digest)
+    named = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     texts = named.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("rows"))
-    shared = texts.groupBy("doc_id").agg(F.min("_digest").alias("first"), F.count(F.lit(1)).alias("texts"))
-    repeated = shared.filter("texts > 1 AND doc_id IS NOT NULL").select("doc_id", "first")
-    extra = texts.join(repeated, "doc_id").filter("_digest <> first").select("doc_id", "_digest")
-    extra = extra.unionByName(texts.filter("doc_id IS NULL").select("doc_id", "_digest"))
+    shared = texts.groupBy("doc_id").agg(F.min("_digest").alias("first"), F.max(F.struct("_digest"))["_digest"].alias("last"), F.max("rows").alias("most"))
+    # Ids with more than one row, and all rows without an id.
+    odd = shared.filter("first <> last OR most > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"), "first")
     last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-    number = F.lit(last + 1) + F.monotonically_increasing_id()
-    numbers = write_once(extra.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_text"), number.alias("_number")), "extra-texts")
+    other = F.col("_id").isNull() | (F.col("_digest") != F.col("first"))
+    number = F.when(other, F.lit(last + 1) + F.monotonically_increasing_id())
+    numbers = write_once(
+        texts.join(odd, texts["doc_id"].eqNullSafe(odd["_id"])).select("_id", F.col("_digest").alias("_text"), number.alias("_number"), (F.col("rows") > 1).alias("_again")),
+        "extra-texts",
+    )
     same = named["doc_id"].eqNullSafe(numbers["_id"]) & (named["_digest"] == numbers["_text"])
-    return named.join(numbers, same, "left").withColumn("_key", F.coalesce("_number", "doc_id")).drop("_digest", "_id", "_text", "_number")
+    keyed = named.join(numbers, same, "left").withColumn("_key", F.coalesce("_number", "doc_id"))
+    return keyed.withColumn("_again", F.coalesce("_again", F.lit(False))).drop("_digest", "_id", "_text", "_number")
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +66,9 @@ def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = write_once(_with_keys(_narrowed(docs, "doc_id", "text")), "keyed-documents")
     near = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5)
     kept = write_once(near.filter("kept").select(F.col("doc_id").alias("_key")), "kept-keys")
-    chosen = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
-    return _restored(chosen, docs, "doc_id", "text")
+    chosen = keyed.join(kept, "_key", "left_semi")
+    # Only rows that share their key need to meet.
+    return _restored(chosen.filter("NOT _again").unionByName(chosen.filter("_again").dropDuplicates(["_key"])), docs, "doc_id", "text")
 
 
 def suffix_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
