@@ -26,7 +26,8 @@ def write_changes(
     overwrites its own folder, so a restart after a failure leaves no doubles.
     With ``keys`` every ``snapshot_every``-th batch folds the newest rows into
     ``folder/snapshots/upto=<id>``; a read takes the last complete snapshot and
-    the batches after it.
+    the batches after it.  What is older than the snapshot before is removed then: a read that has begun
+    has the time of ``snapshot_every`` batches to end, and no read lists more than two of them.
     """
 
     def save(changes: DataFrame, batch: int) -> None:
@@ -35,6 +36,7 @@ def write_changes(
         if keys and batch % snapshot_every == snapshot_every - 1:
             newest = _newest(_since_snapshot(spark, folder, changes.schema, below=batch + 1), keys, order)
             newest.write.mode("overwrite").parquet(f"{folder}/snapshots/upto={batch}")
+            _forget(spark, folder)
 
     # The schema is written first, so a result without any batch can be read.
     stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/schema")
@@ -55,18 +57,42 @@ def _newest(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     return best.select(*keys, "row.*")
 
 
-def _since_snapshot(spark: SparkSession, folder: str, schema: T.StructType, below: int | None = None) -> DataFrame:
-    """The rows of the last snapshot and of the batches after it, with ``batch``."""
-    # Only folders whose write was completed count.
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+class _Log:
+    """The completed folders of a change log; only those with a ``_SUCCESS`` count."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._root = self._path(folder)
+        self._files = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(self, kind: str, name: str, complete: bool = True) -> list[int]:
+        there = self._files.globStatus(self._path(self._root, f"{kind}/{name}=*" + ("/_SUCCESS" if complete else "")))
+        paths = [s.getPath().getParent() if complete else s.getPath() for s in there or []]
+        return sorted(int(p.getName().split("=")[1]) for p in paths)
+
+    def remove(self, kind: str, name: str, number: int) -> None:
+        self._files.delete(self._path(self._root, f"{kind}/{name}={number}"), True)
 
-    def numbers(kind: str, name: str) -> list[int]:
-        there = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"{kind}/{name}=*/_SUCCESS"))
-        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in there or [])
 
-    last = max([n for n in numbers("snapshots", "upto") if below is None or n < below - 1], default=-1)
-    batches = [n for n in numbers("changes", "batch") if n > last and (below is None or n < below)]
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Remove the batches up to the last snapshot but one, and the snapshots before it."""
+    log = _Log(spark, folder)
+    snapshots = log.numbers("snapshots", "upto")
+    if len(snapshots) < 2:
+        return
+    for number in log.numbers("changes", "batch", complete=False):
+        if number <= snapshots[-2]:
+            log.remove("changes", "batch", number)
+    for number in log.numbers("snapshots", "upto", complete=False):
+        if number < snapshots[-2]:
+            log.remove("snapshots", "upto", number)
+
+
+def _since_snapshot(spark: SparkSession, folder: str, schema: T.StructType, below: int | None = None) -> DataFrame:
+    """The rows of the last snapshot and of the batches after it, with ``batch``."""
+    log = _Log(spark, folder)
+    last = max([n for n in log.numbers("snapshots", "upto") if below is None or n < below - 1], default=-1)
+    batches = [n for n in log.numbers("changes", "batch") if n > last and (below is None or n < below)]
     rows = spark.createDataFrame([], T.StructType([*schema, T.StructField("batch", T.LongType())]))
     if last >= 0:
         rows = rows.unionByName(spark.read.parquet(f"{folder}/snapshots/upto={last}"))

@@ -70,6 +70,20 @@ def test_a_read_takes_the_snapshot_and_later_batches_only(spark, tmp_path, rows)
     assert not any(f"batch={n}/" in files for n in range(6))
 
 
+def test_old_batches_and_snapshots_go(spark, tmp_path, rows):
+    """However many batches there were, a read lists two rounds of them and two snapshots at most."""
+    df = spark.createDataFrame([(f"k{i % 4}", float(i)) for i in range(16)], "region string, total_revenue double")
+    inbox, out = str(tmp_path / "inbox"), tmp_path / "out"
+    for i in range(16):
+        df.where(F.col("total_revenue") == i).coalesce(1).write.mode("append").parquet(inbox)
+    for _ in range(2):  # the second start finds nothing new
+        stream = arrivals.arriving_files(spark, inbox, df.schema, kind="parquet", files_per_trigger=1)
+        write_changes(arrivals.revenue_changes(stream, "region"), str(out), str(tmp_path / "c"), keys=["key"], snapshot_every=3).awaitTermination()
+        assert rows(arrivals.revenue_so_far(spark, str(out))) == rows(revenue_by_dimension(df, "region"))
+    assert sorted(p.name for p in (out / "snapshots").glob("upto=*")) == ["upto=11", "upto=14"]
+    assert sorted(int(p.name.split("=")[1]) for p in (out / "changes").glob("batch=*")) == [12, 13, 14, 15]
+
+
 def test_a_stream_without_a_file_gives_an_empty_table(spark, tmp_path):
     (tmp_path / "inbox").mkdir()
     stream = arrivals.arriving_files(spark, str(tmp_path / "inbox"), "region string, total_revenue double")
