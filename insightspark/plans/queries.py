@@ -18,6 +18,7 @@ from insightspark.operators import (
     chart_data, chunking, clean, profile, questions, reports, responses, revenue, run_log, search, vectors,
 )
 from insightspark.operators.prompts import prompt_table, with_bullets
+from insightspark.operators.vector_store import embed_new
 from insightspark.plans import inputs
 from insightspark.plans.sales_view import sales_rows, sales_view, table
 from insightspark.session import shared_folder
@@ -403,6 +404,17 @@ def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in two loads, the second with all of the first again, embedded by content."""
+    store = shared_folder(spark, "vector-store")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    embed_new(documents.where(F.col("doc_id") % 2 == 0), store, count_letters, text="text")
+    embedded = embed_new(documents, store, count_letters, text="text")
+    return embedded.select("doc_id", F.posexplode("embedding").alias("position", "value")).select(
+        "doc_id", "position", F.col("value").cast("bigint").alias("value")
+    )
+
+
 def vector_dims(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.vector_dims(table(spark, folder, "embeddings"))
 
@@ -616,6 +628,7 @@ QUERIES: dict[str, Query] = {
     "corpus_chunks": corpus_chunks,
     "embed_chunks": embed_chunks,
     "embed_documents": embed_documents,
+    "embed_incremental": embed_incremental,
     "vector_dims": vector_dims,
     "cosine_topk": cosine_topk,
     "cosine_topk_scored": cosine_topk_scored,

@@ -500,6 +500,7 @@ SQL_CHECKS: dict[str, str] = {
     "corpus_errors": "SELECT doc_id, source FROM documents WHERE lang = 'de'",
     "embed_chunks": EMBED_CHUNKS,
     "embed_documents": EMBED_DOCUMENTS,
+    "embed_incremental": EMBED_DOCUMENTS,
     "vector_dims": """SELECT count(embedding) AS vectors, count(*) - count(embedding) AS missing, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
         CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM embeddings""",
     "cosine_topk": f"WITH {NEAREST} SELECT query_id, rank, vec_id AS chunk_id FROM nearest",
