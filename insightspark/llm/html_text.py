@@ -27,12 +27,12 @@ from insightspark.session import write_once
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp"
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math meter nobr output progress q rp rt ruby s samp"
     " small span strike strong sub sup time tt u var wbr img".split()
 )
 _NEVER = frozenset(
     "head nav footer aside form script style noscript template iframe button select textarea input svg canvas object embed audio"
-    " video menu dialog noembed noframes xmp title math map datalist".split()
+    " video menu dialog noembed noframes xmp title map datalist".split()
 )
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -178,7 +178,7 @@ def parse_page(text: str) -> tuple[list[tuple[str, bool]], list[Node]]:
                 dropped
                 or tag in _NEVER
                 or (tag == "header" and not article)
-                or (tag not in HEADINGS and tag != "p" and bool(_SURROUNDING.search(names)))
+                or (tag not in HEADINGS and tag != "p" and bool(_SURROUNDING.search(names.replace("header", "") if article else names)))
                 or "hidden" in values
                 or values.get("aria-hidden", "").lower() == "true"
             )

@@ -97,3 +97,13 @@ def test_odd_rows_and_empty_table(spark):
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(r.n_chars for r in found.collect()) == [0, 0, 0, 1, 599_999]
     assert html_text.extract_pages(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_headers_of_an_article_and_formulas_stay():
+    running = "This is the running text of the article, long enough to count as such. " * 4
+    page = (
+        "<body><div class='site-header'>Site name</div><article><header class='entry-header'><h1>The title</h1></header>"
+        f"<div class='article-header'>By the author</div><p>{running}where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article></body>"
+    )
+    found = html_text.page_text(page, None)
+    assert found.split("\n")[:2] == ["The title", "By the author"] and "Site name" not in found and found.endswith("holds.") and "x" in found.split("where")[1]
