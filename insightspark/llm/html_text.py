@@ -213,16 +213,22 @@ def container_scores(nodes: list[Node]) -> list[float]:
     ]
 
 
-def widened(nodes: list[Node], at: int, frame: bool = True) -> int:
+def subtree_sums(nodes: list[Node]) -> tuple[list[float], list[int]]:
+    """Running text and links of every container with all inside it."""
+    own, links = [n.own for n in nodes], [n.links for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        own[nodes[i].parent] += own[i]
+        links[nodes[i].parent] += links[i]
+    return own, links
+
+
+def widened(nodes: list[Node], at: int, sums: tuple[list[float], list[int]], frame: bool = True) -> int:
     """The largest container around ``at`` that adds more running text than links, up to the outermost article or main.
 
     An article or main is taken whole.  The page's frame is taken, if ``frame``, when it has
     text of its own or its containers add running text.
     """
-    own, links = [n.own for n in nodes], [n.links for n in nodes]
-    for i in range(len(nodes) - 1, 0, -1):
-        own[nodes[i].parent] += own[i]
-        links[nodes[i].parent] += links[i]
+    own, links = sums
     line = [at]
     while nodes[line[-1]].parent >= 0:
         line.append(nodes[line[-1]].parent)
@@ -239,17 +245,17 @@ def widened(nodes: list[Node], at: int, frame: bool = True) -> int:
     return at
 
 
-def best_container(nodes: list[Node]) -> tuple[int, float]:
+def best_container(nodes: list[Node], sums: tuple[list[float], list[int]]) -> tuple[int, float]:
     """The container with the best score, widened, and that score."""
     scores = container_scores(nodes)
     best = max(range(len(nodes)), key=lambda i: (scores[i], -i))
-    return (widened(nodes, best) if scores[best] > 0 else best), scores[best]
+    return (widened(nodes, best, sums) if scores[best] > 0 else best), scores[best]
 
 
 def page_vote(text: str) -> tuple[str, float]:
     """The path a page votes for and the weight of its vote; no path without any text."""
     _, nodes = parse_page(text)
-    best, score = best_container(nodes)
+    best, score = best_container(nodes, subtree_sums(nodes))
     return (nodes[best].path, score) if score > 0 else ("", 0.0)
 
 
@@ -260,11 +266,13 @@ def page_texts(text: str, path: str | None) -> tuple[str, str | None, str | None
     container's path and the text of both.
     """
     blocks, nodes = parse_page(text)
-    best, score = best_container(nodes)
-    chosen = [nodes[widened(nodes, i, frame=False)] for i, n in enumerate(nodes) if path and n.path == path and not n.dropped]
+    # Once a page, however many containers lie at the path.
+    sums = subtree_sums(nodes)
+    best, score = best_container(nodes, sums)
+    chosen = [nodes[widened(nodes, i, sums, frame=False)] for i, n in enumerate(nodes) if path and n.path == path and not n.dropped]
 
     def places(some: list[Node]) -> set[int]:
-        return {i for n in some for i in range(n.first, n.last) if not blocks[i][1]}
+        return {i for first, last in {(n.first, n.last) for n in some} for i in range(first, last) if not blocks[i][1]}
 
     def joined(kept: set[int]) -> str:
         return "\n".join(blocks[i][0] for i in sorted(kept))

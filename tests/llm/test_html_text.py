@@ -1,5 +1,7 @@
 """Extraction of main texts, alone and by the consensus of a host."""
 
+import time
+
 import pytest
 
 from insightspark.llm import html_text
@@ -107,3 +109,11 @@ def test_headers_of_an_article_and_formulas_stay():
     )
     found = html_text.page_text(page, None)
     assert found.split("\n")[:2] == ["The title", "By the author"] and "Site name" not in found and found.endswith("holds.") and "x" in found.split("where")[1]
+
+
+def test_many_cells_take_time_in_proportion():
+    page = "<body><table>" + "<tr><td class='c'>some cell text</td></tr>" * 20_000 + "</table></body>"
+    started = time.process_time()
+    found = html_text.page_text(page, "/html/body/td.c") or html_text.page_text(page, None)
+    html_text.page_text(page, html_text.parse_page(page)[1][-1].path)
+    assert found.count("some cell text") == 20_000 and time.process_time() - started < 20
