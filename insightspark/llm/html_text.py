@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,13 +45,26 @@ _CLOSES_ITEM = {
 }
 _ITEM_SCOPE = frozenset("ul ol dl table html body article section div main".split())
 _CONTAINERS = frozenset("article main section div td body html blockquote center".split())
-# Words in class, id or role that mark what surrounds an article.
-_SURROUNDING = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|submenu|breadcrumbs?|sidebar|side-?bar|footer|masthead|banner|header|cookies?|consent|gdpr"
-    r"|notices?|alerts?|popup|modal|overlay|ads?|advert|adverts|advertisement|advertising|adbox|ad-?slot|sponsor|sponsored|promo|promotion"
-    r"|share|sharing|social|comments?|comment-?list|respond|replies|disqus|related|recommended|recommendations|newsletter|subscribe"
-    r"|signup|login|search|widget|pagination|pager|toolbar|skip-?link|complementary|contentinfo|hidden)(?:$|[^a-z])"
+# Last words of class, id and role names that mark what surrounds an article.
+_SURROUNDING = frozenset(
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer masthead banner header cookie cookies consent gdpr notice"
+    " notices alert alerts popup modal overlay ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion"
+    " share sharing social related recommended recommendations newsletter subscribe signup login search pagination pager toolbar skip"
+    " skiplink complementary contentinfo".split()
 )
+# The same for what readers wrote, which may be longer than the article.
+_READERS = frozenset("comment comments commentlist respond replies disqus".split())
+# Words of layout: a name is judged by what stands before them.
+_LAYOUT = frozenset(
+    "area bar block body bottom box button buttons center col column container content footer form group header heading holder icon icons inner"
+    " item items left link links list main media outer panel posts primary region right row secondary section slot stories text title top unit"
+    " widget widgets wrap wrapper".split()
+)
+# Whole names that mark surroundings, first words that only tell a state of the page, and owners of a header within the text.
+_WHOLE_NAMES = frozenset("widget hidden visually-hidden sr-only d-none".split())
+_STATES = frozenset("has with no not without js supports".split())
+_TEXT_HEADERS = frozenset("article blog chapter content entry hentry news post recipe section story".split())
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
@@ -66,17 +80,76 @@ RUNNING = 80
 # and how many pages of the host make a path a template.
 FAIR = 0.5
 TEMPLATE = 2
+# In place of a marked element's number: dropped whatever the page holds.
+_GONE = -2
 
 
 class Node:
-    """A container: its path, the blocks in it, and where it lies among all blocks."""
+    """A container: its step on the path, what it stands in, and where it lies among all blocks.
+
+    Only the step is kept, so deep nesting takes memory in proportion; ``length`` is that of the whole path.
+    """
 
-    __slots__ = ("path", "tag", "first", "last", "parent", "dropped", "own", "links")
+    __slots__ = ("step", "length", "around", "tag", "first", "last", "parent", "dropped", "own", "links")
 
-    def __init__(self, path: str, tag: str, first: int, parent: int, dropped: bool):
-        self.path, self.tag, self.first, self.last = path, tag, first, -1
+    def __init__(self, step: str, around: Node | None, tag: str, first: int, parent: int, dropped: bool):
+        self.step, self.around, self.tag, self.first, self.last = step, around, tag, first, -1
+        self.length = around.length + 1 + len(step) if around else 0
         self.parent, self.dropped, self.own, self.links = parent, dropped, 0.0, 0
 
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node.around:
+            steps.append(node.step)
+            node = node.around
+        return "".join(f"/{step}" for step in reversed(steps))
+
+
+class Marked:
+    """An element whose name marks surroundings: its running text, and the marked element around it."""
+
+    __slots__ = ("around", "running")
+
+    def __init__(self, around: int):
+        self.around, self.running = around, 0.0
+
+
+def name_marks(name: str) -> frozenset[str]:
+    """The words of surroundings that one class, id or role name ends with, words of layout left out."""
+    if name.lower() in _WHOLE_NAMES:
+        return frozenset([name.lower()])
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[0] in _STATES:
+        return frozenset()
+    if words[-1] == "header" and words[0] in _TEXT_HEADERS:
+        return frozenset()
+    for end in range(len(words), 0, -1):
+        joined = words[end - 2] + words[end - 1] if end > 1 else ""
+        for word in (words[end - 1], joined):
+            if word in _SURROUNDING or word in _READERS:
+                return frozenset([word])
+        if words[end - 1] not in _LAYOUT:
+            break
+    return frozenset()
+
+
+def element_marks(tag: str, values: dict[str, str], article: bool) -> frozenset[str]:
+    """The words of surroundings in an element's names.
+
+    Inside an article "header" marks nothing, and neither does the id of a section,
+    which names its subject, unless it holds what readers wrote.
+    """
+    found: set[str] = set()
+    for key in ("class", "id", "role"):
+        words = {w for name in values.get(key, "").split() for w in name_marks(name)}
+        if article:
+            words -= {"header"}
+            if key == "id" and tag == "section":
+                words &= _READERS
+        found |= words
+    return frozenset(found)
+
 
 def _generalised(tag: str, names: str) -> str:
     """The tag with its classes, digits left out, so pages of one template agree."""
@@ -87,36 +160,67 @@ def _generalised(tag: str, names: str) -> str:
 def parse_page(text: str) -> tuple[list[tuple[str, bool]], list[Node]]:
     """Blocks in page order as (text, belongs to the surroundings), and all containers.
 
-    A block is the text between two block elements or line breaks.
+    A block is the text between two block elements or line breaks.  A name never makes the
+    element that holds most of the page's running text surroundings, unless an article or main
+    stands beside it or the name tells of readers' comments; such a page is read twice.
     """
+    blocks, nodes, spared = _parsed(text, frozenset())
+    return _parsed(text, spared)[:2] if spared else (blocks, nodes)
+
+
+def _main_marks(marked: list[Marked], total: float, articles: float) -> frozenset[int]:
+    """Numbers of the marked elements that hold at least half of the page's running text."""
+    if articles >= RUNNING:
+        return frozenset()
+    for mark in reversed(marked):
+        if mark.around >= 0:
+            marked[mark.around].running += mark.running
+    return frozenset(i for i, mark in enumerate(marked) if mark.running > 0 and mark.running >= total / 2)
+
+
+def _parsed(text: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], list[Node], frozenset[int]]:
+    """Blocks, containers and the marked elements to spare, which are numbered in page order."""
     blocks: list[tuple[str, bool]] = []
-    nodes: list[Node] = [Node("", "", 0, -1, False)]
-    # Open elements: tag, container, surroundings, inside a link, inside an article.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    nodes: list[Node] = [Node("", None, "", 0, -1, False)]
+    # Open elements: tag, container, surroundings, inside a link, inside an article, innermost marked element.
+    stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, -1)]
+    # How many elements of each tag are open.
+    opened: Counter[str] = Counter()
+    # An element dropped for good has the mark _GONE, and so has all in it.
+    marked: list[Marked] = []
+    total = articles = 0.0
     parts: list[str] = []
     linked = 0
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal linked, total, articles
         if parts:
             words = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if words:
-                _, node, dropped, _, _ = stack[-1]
+                _, node, dropped, _, article, mark = stack[-1]
                 blocks.append((words, dropped))
+                running = max(0, len(words) - linked)
                 if not dropped:
-                    nodes[node].own += max(0, len(words) - linked) if linked < len(words) else 0
+                    nodes[node].own += running
                     nodes[node].links += linked
+                if mark != _GONE:
+                    total += running
+                    if dropped:
+                        marked[mark].running += running
+                    elif article:
+                        articles += running
             linked = 0
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            tag, node, _, _, _ = stack[-1]
+            tag, node = stack[-1][:2]
             if tag not in _INLINE:
                 end_block()
             if node != stack[-2][1]:
                 nodes[node].last = len(blocks)
             stack.pop()
+            opened[tag] -= 1
 
     at, size = 0, len(text)
     while at < size:
@@ -141,7 +245,7 @@ def parse_page(text: str) -> tuple[list[tuple[str, bool]], list[Node]]:
             continue
         tag = tag.lower()
         if found["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
@@ -161,32 +265,40 @@ def parse_page(text: str) -> tuple[list[tuple[str, bool]], list[Node]]:
                     break
                 if stack[depth][0] not in _INLINE:
                     break
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in _CLOSES_ITEM.get(tag, ()):
-                close(depth)
-                break
-            if stack[depth][0] in _ITEM_SCOPE:
+        ended = 0
+        for depth in range(len(stack) - 1, 0, -1) if tag in _CLOSES_ITEM else ():
+            if stack[depth][0] in _CLOSES_ITEM[tag]:
+                ended = depth
+            elif stack[depth][0] in _ITEM_SCOPE:
                 break
+        if ended:
+            close(ended)
         if tag not in _INLINE:
             end_block()
         values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(found["attrs"])}
-        _, node, dropped, link, article = stack[-1]
-        names = " ".join((values.get("class", ""), values.get("id", ""), values.get("role", ""))).lower()
-        article = article or tag in ("article", "main")
+        _, node, dropped, link, article, mark = stack[-1]
+        article = article or tag in _WHOLE
         if tag not in ("html", "body", "article", "main"):
-            dropped = (
-                dropped
-                or tag in _NEVER
+            gone = (
+                tag in _NEVER
                 or (tag == "header" and not article)
-                or (tag not in HEADINGS and tag != "p" and bool(_SURROUNDING.search(names.replace("header", "") if article else names)))
                 or "hidden" in values
                 or values.get("aria-hidden", "").lower() == "true"
             )
+            words = element_marks(tag, values, article) if tag not in HEADINGS and tag != "p" and mark != _GONE else ()
+            if gone or not _READERS.isdisjoint(words):
+                dropped, mark = True, _GONE
+            elif words:
+                marked.append(Marked(mark))
+                if len(marked) - 1 in spared:
+                    mark = len(marked) - 1
+                else:
+                    dropped, mark = True, len(marked) - 1
         if tag in _CONTAINERS:
-            path = f"{nodes[node].path}/{_generalised(tag, values.get('class', ''))}"
-            nodes.append(Node(path, tag, len(blocks), node, dropped))
+            nodes.append(Node(_generalised(tag, values.get("class", "")), nodes[node], tag, len(blocks), node, dropped))
             node = len(nodes) - 1
-        stack.append((tag, node, dropped, link or tag == "a", article))
+        stack.append((tag, node, dropped, link or tag == "a", article, mark))
+        opened[tag] += 1
         if tag in _RAW:
             # Raw text ends only at its own closing tag.
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(text, at)
@@ -195,7 +307,7 @@ def parse_page(text: str) -> tuple[list[tuple[str, bool]], list[Node]]:
     close(1)
     end_block()
     nodes[0].last = len(blocks)
-    return blocks, nodes
+    return blocks, nodes, frozenset() if spared else _main_marks(marked, total, articles)
 
 
 def container_scores(nodes: list[Node]) -> list[float]:
@@ -245,6 +357,22 @@ def widened(nodes: list[Node], at: int, sums: tuple[list[float], list[int]], fra
     return at
 
 
+def at_path(nodes: list[Node], path: str | None) -> list[int]:
+    """The containers at ``path``; only those whose path is as long are spelled out, one of each parent and step."""
+    if not path:
+        return []
+    known: dict[tuple[int, str], bool] = {}
+    found = []
+    for i, n in enumerate(nodes):
+        if n.length == len(path) and path.endswith(n.step):
+            key = (n.parent, n.step)
+            if key not in known:
+                known[key] = n.path == path
+            if known[key]:
+                found.append(i)
+    return found
+
+
 def best_container(nodes: list[Node], sums: tuple[list[float], list[int]]) -> tuple[int, float]:
     """The container with the best score, widened, and that score."""
     scores = container_scores(nodes)
@@ -269,7 +397,7 @@ def page_texts(text: str, path: str | None) -> tuple[str, str | None, str | None
     # Once a page, however many containers lie at the path.
     sums = subtree_sums(nodes)
     best, score = best_container(nodes, sums)
-    chosen = [nodes[widened(nodes, i, sums, frame=False)] for i, n in enumerate(nodes) if path and n.path == path and not n.dropped]
+    chosen = [nodes[widened(nodes, i, sums, frame=False)] for i in at_path(nodes, path) if not nodes[i].dropped]
 
     def places(some: list[Node]) -> set[int]:
         return {i for first, last in {(n.first, n.last) for n in some} for i in range(first, last) if not blocks[i][1]}

@@ -1,6 +1,8 @@
 """Extraction of main texts, alone and by the consensus of a host."""
 
+import random
 import time
+import tracemalloc
 
 import pytest
 
@@ -117,3 +119,61 @@ def test_many_cells_take_time_in_proportion():
     found = html_text.page_text(page, "/html/body/td.c") or html_text.page_text(page, None)
     html_text.page_text(page, html_text.parse_page(page)[1][-1].path)
     assert found.count("some cell text") == 20_000 and time.process_time() - started < 20
+
+
+RUN = "This is the running text of the article, long enough to count as such. " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (f"<div class='content has-sidebar'><p>{RUN}</p></div>", "{}"),
+        (f"<div class='elementor-widget elementor-widget-text'><p>{RUN}</p></div>", "{}"),
+        (f"<section id='search-engines'><p>{RUN}</p></section>", "{}"),
+        (f"<article><header class='entry-header'><h1>T</h1></header><p>{RUN}</p></article>", "T\n{}"),
+        (f"<div class=post><div class='article-header'><h1>T</h1></div><p>{RUN}</p></div>", "T\n{}"),
+        (f"<article><p>{RUN}</p><section id='alerts'><p>On alerts.</p></section></article>", "{}\nOn alerts."),
+        (f"<article><p>{RUN}</p><div class='share-price'>12 points</div></article>", "{}\n12 points"),
+        (f"<article><p>{RUN}</p><div class='share-buttons'>share it</div><section id='comments'>reply</section></article>", "{}"),
+        (f"<div class='banner'><div class='promo-box'><p>{RUN}</p></div></div><div class='newsletter'>mail</div>", "{}"),
+        (f"<article><p>{RUN}</p></article><div class='sidebar'><p>{RUN * 3}</p></div>", "{}"),
+        (f"<div><p>{RUN}</p></div><div class='comment-list'><p>{RUN * 3}</p></div>", "{}"),
+        (f"<div><p>{RUN}</p></div><div class='siteFooter'>foot</div><div class='cookieNotice'>c</div><div class='md-hidden overflow-hidden'>x</div>", "{}"),
+    ],
+)
+def test_names_do_not_cost_articles(html, expected):
+    expected = expected.format(" ".join(RUN.split()))
+    found = text_of(f"<body>{html}</body>")
+    assert found.removesuffix("\nx") == expected
+
+
+def test_generated_pages_give_back_their_articles():
+    chance = random.Random(11)
+    outside = ["<nav>{}</nav>", "<div class=sidebar>{}</div>", "<footer>{}</footer>", "<div id='cookie-notice'>{}</div>", "<ul class='main-menu'><li>{}</ul>"]
+    inside = ["<div class='ad-slot'>{}</div>", "<aside>{}</aside>", "<script>{}</script>", "<div class='comments'><p>{}</p></div>"]
+    wraps = ["<article>{}</article>", "<main><div class=entry>{}</div></main>", "<div class='post has-sidebar'>{}</div>", "<div class='row'><section>{}</section></div>"]
+    for _ in range(200):
+        blocks = [" ".join(f"word{chance.randrange(99)}" for _ in range(chance.randint(20, 60))) for _ in range(chance.randint(2, 8))]
+        parts = []
+        for block in blocks:
+            parts.append(chance.choice(["<p>{}</p>", "<blockquote>{}</blockquote>", "<ul><li>{}</ul>", "<h2>{}</h2>"]).format(block.replace(" ", chance.choice([" ", "\n  ", " <b></b>"]))))
+            if chance.random() < 0.4:
+                parts.append(chance.choice(inside).format("beside the article"))
+        page = [chance.choice(wraps).format("".join(parts))]
+        for _ in range(chance.randint(0, 4)):
+            page.insert(chance.randint(0, len(page)), chance.choice(outside).format("around the article"))
+        assert text_of("<html><body>" + "".join(page) + "</body></html>") == "\n".join(blocks)
+
+
+def test_deep_nesting_and_strange_closings_take_time_and_memory_in_proportion():
+    depth = 40_000
+    started = time.process_time()
+    tracemalloc.start()
+    found = html_text.page_text("<div class=deep>" * depth + "<p>text at the bottom</p>", None)
+    assert found == "text at the bottom" and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert html_text.page_text("<span>" * depth + "text" + "</b>" * depth, None) == "text"
+    assert html_text.page_text("<div class=sidebar>" * depth + "<p>all the text of this page</p>", None) == "all the text of this page"
+    cells = "<table>" + "<tr><td>cell" * depth + "</table>"
+    assert html_text.page_text(cells, html_text.parse_page(cells)[1][-1].path) == "\n".join(["cell"] * depth)
+    assert time.process_time() - started < 30
