@@ -80,6 +80,8 @@ RUNNING = 80
 # and how many pages of the host make a path a template.
 FAIR = 0.5
 TEMPLATE = 2
+# The share of a page's running text that a name alone does not drop.
+MAIN = 0.8
 # In place of a marked element's number: dropped whatever the page holds.
 _GONE = -2
 
@@ -161,21 +163,21 @@ def parse_page(text: str) -> tuple[list[tuple[str, bool]], list[Node]]:
     """Blocks in page order as (text, belongs to the surroundings), and all containers.
 
     A block is the text between two block elements or line breaks.  A name never makes the
-    element that holds most of the page's running text surroundings, unless an article or main
-    stands beside it or the name tells of readers' comments; such a page is read twice.
+    element that holds the main share of the page's running text surroundings, unless an article or
+    main has text beside it or the name tells of readers' comments; such a page is read twice.
     """
     blocks, nodes, spared = _parsed(text, frozenset())
     return _parsed(text, spared)[:2] if spared else (blocks, nodes)
 
 
 def _main_marks(marked: list[Marked], total: float, articles: float) -> frozenset[int]:
-    """Numbers of the marked elements that hold at least half of the page's running text."""
-    if articles >= RUNNING:
+    """Numbers of the marked elements that hold the main share of the page's running text."""
+    if articles > 0:
         return frozenset()
     for mark in reversed(marked):
         if mark.around >= 0:
             marked[mark.around].running += mark.running
-    return frozenset(i for i, mark in enumerate(marked) if mark.running > 0 and mark.running >= total / 2)
+    return frozenset(i for i, mark in enumerate(marked) if mark.running > 0 and mark.running >= MAIN * total)
 
 
 def _parsed(text: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], list[Node], frozenset[int]]:

@@ -137,6 +137,8 @@ RUN = "This is the running text of the article, long enough to count as such. "
         (f"<article><p>{RUN}</p><div class='share-buttons'>share it</div><section id='comments'>reply</section></article>", "{}"),
         (f"<div class='banner'><div class='promo-box'><p>{RUN}</p></div></div><div class='newsletter'>mail</div>", "{}"),
         (f"<article><p>{RUN}</p></article><div class='sidebar'><p>{RUN * 3}</p></div>", "{}"),
+        (f"<article><p>A short article.</p><div class='ad'>{RUN}</div></article>", "A short article."),
+        (f"<div><p>{RUN}</p></div><div class='ad'>{RUN * 3}</div>", "{}"),
         (f"<div><p>{RUN}</p></div><div class='comment-list'><p>{RUN * 3}</p></div>", "{}"),
         (f"<div><p>{RUN}</p></div><div class='siteFooter'>foot</div><div class='cookieNotice'>c</div><div class='md-hidden overflow-hidden'>x</div>", "{}"),
     ],
