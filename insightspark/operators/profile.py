@@ -13,6 +13,8 @@ from insightspark.operators.quantiles import quantiles, stacked
 from insightspark.session import empty, write_once
 
 PROBABILITIES = [0.25, 0.5, 0.75]
+# Characters of a text that are counted along with its hash, to order equal counts.
+_PREFIX = 16
 
 _SUMMARY = (
     "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
@@ -42,12 +44,12 @@ def column_profile(df: DataFrame, approximate: bool = False, counts: DataFrame |
     Values are told apart by 128 bits of hashes, so what is shuffled has a
     fixed size however long the texts are.  ``approximate`` replaces the distinct
     counts by sketches: one scan and one shuffled row per task.  ``counts`` may
-    be a written ``value_counts``.
+    be a written ``value_counts`` or ``hashed_counts``.
     """
     if approximate:
         per_column = _sketched_columns(df)
     else:
-        found = _hash_counts(df) if counts is None else counts
+        found = hashed_counts(df) if counts is None else counts
         per_column = found.groupBy("position").agg(
             F.sum("n").alias("rows"),
             F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
@@ -94,21 +96,39 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, approximate
 def top_values(df: DataFrame, n: int = 5, counts: DataFrame | None = None) -> DataFrame:
     """(column, rank, value, n): the most frequent values of each text column.
 
-    Equal counts are ordered by value.  The rank filter prunes each task's rows
-    to ``n`` per column before they are shuffled.
+    Equal counts are ordered by value.  Values are counted by their hashes, as
+    ``hashed_counts`` gives them; only the texts of candidates are fetched, so what
+    is shuffled does not grow with the texts.  The rank filter prunes each task's rows
+    before they are shuffled.  ``counts`` may be a written ``hashed_counts`` or ``value_counts``.
     """
     names = kinds.text_columns(df)
     if not names:
         return empty(df.sparkSession, "column string, rank int, value string, n bigint")
-    if counts is None:
-        found = value_counts(df, names)
-    else:
-        found = counts.where(F.col("position").isin([str(df.columns.index(name)) for name in names]))
+    found = hashed_counts(df, names) if counts is None else counts
+    found = found.where(F.col("position").isin([str(df.columns.index(name)) for name in names]) & F.col("value").isNotNull())
+    if isinstance(found.schema["value"].dataType, T.StructType):
+        found = _candidate_texts(df, names, found, n)
     best = Window.partitionBy("position").orderBy(F.col("n").desc(), F.col("value").asc())
-    ranked = found.where(F.col("value").isNotNull()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
     return ranked.select(_lookup(df, lambda f: f.name).alias("column"), "rank", "value", "n")
 
 
+def _candidate_texts(df: DataFrame, names: list[str], found: DataFrame, n: int) -> DataFrame:
+    """(position, value, n) of the values that can be among the first ``n``, with their texts.
+
+    Beyond the first ``n`` by count and the beginning of the text, only values that tie in both
+    are candidates.  They are written, so the join with the table follows from their size.
+    """
+    first = Window.partitionBy("position").orderBy(F.col("n").desc(), F.col("prefix").asc())
+    chosen = found.withColumn("place", F.rank().over(first)).where(F.col("place") <= n)
+    chosen = write_once(chosen.select(F.col("position").alias("at"), F.col("value").alias("hash"), "n"), "top-candidates")
+    cells = [
+        F.struct(F.lit(str(df.columns.index(name))).alias("at"), _hash(df, name).alias("hash"), column(name).alias("value")) for name in names
+    ]
+    texts = df.select(F.inline(F.array(*cells))).where(F.col("hash").isNotNull()).join(chosen, ["at", "hash"])
+    return texts.groupBy(F.col("at").alias("position"), "hash", "n").agg(F.first("value").alias("value"))
+
+
 def date_range(df: DataFrame) -> DataFrame:
     """(column, min, max) of each temporal column, as text; "NaT" if it has no value."""
     names = kinds.temporal_columns(df)
@@ -157,10 +177,10 @@ def health_score(df: DataFrame) -> DataFrame:
 def profile_table(df: DataFrame, approximate: bool = False) -> dict[str, DataFrame]:
     """All profile tables of one input, by name.
 
-    The exact value counts feed two of them and are written once to the shared
+    The exact counts of hashed values feed two of them and are written once to the shared
     folder.  Pass a table that is itself written or cheap to rescan.
     """
-    counts = None if approximate else write_once(value_counts(df), "value-counts")
+    counts = None if approximate else write_once(hashed_counts(df), "value-counts")
     return {
         "shape": shape(df),
         "columns": column_profile(df, approximate, counts),
@@ -178,19 +198,28 @@ def _as_text(name: str, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
-def _hash_counts(df: DataFrame) -> DataFrame:
-    """(position, value, n) like ``value_counts``, with hashes for values."""
+def _hash(df: DataFrame, name: str) -> Column:
+    """128 bits of hashes of a value, null for missing ones."""
+    kind = df.schema[name].dataType
+    value = present(name, kind)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = value + F.lit(0.0)
+    return F.when(value.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
+
+
+def hashed_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(position, value, prefix, n) like ``value_counts``, with hashes for values.
+
+    ``prefix`` is the beginning of a text, null for other types.
+    """
+    texts = set(kinds.text_columns(df))
 
-    def hashed(name: str) -> Column:
-        kind = df.schema[name].dataType
-        value = present(name, kind)
-        if isinstance(kind, (T.FloatType, T.DoubleType)):
-            value = value + F.lit(0.0)
-        return F.when(value.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
+    def cell(name: str) -> Column:
+        prefix = F.substring(column(name), 1, _PREFIX) if name in texts else F.lit(None).cast("string")
+        return F.struct(F.lit(str(df.columns.index(name))).alias("position"), _hash(df, name).alias("value"), prefix.alias("prefix"))
 
-    cells = df.select(*[hashed(n).alias(str(i)) for i, n in enumerate(df.columns)])
-    stacked_ = cells.unpivot([], cells.columns, "position", "value")
-    return stacked_.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(F.inline(F.array(*[cell(n) for n in (df.columns if columns is None else columns)])))
+    return cells.groupBy("position", "value", "prefix").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sketched_columns(df: DataFrame) -> DataFrame:

@@ -147,3 +147,18 @@ def test_stacked_counts_can_be_given(table):
     assert sorted(map(tuple, profile.column_profile(df, counts=counts).collect())) == sorted(map(tuple, profile.column_profile(df).collect()))
     assert sorted(map(tuple, profile.top_values(df, counts=counts).collect())) == sorted(map(tuple, profile.top_values(df).collect()))
     assert counts.agg(F.sum("n")).first()[0] == 997 * 6
+
+
+def test_top_values_by_hash_order_ties_by_whole_texts(spark):
+    long = "the same beginning of every text " * 400
+    rows = [(f"{long}{i:04d}", f"u{i}" if i % 2 else None) for i in range(300)] + [("twice", "")] * 2 + [(None, None)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(4)
+    found = {(r.column, r["rank"]): (r.value, r.n) for r in profile.top_values(df, 3).collect()}
+    assert found == {
+        ("a", 1): ("twice", 2), ("a", 2): (f"{long}0000", 1), ("a", 3): (f"{long}0001", 1),
+        ("b", 1): ("", 2), ("b", 2): ("u1", 1), ("b", 3): ("u101", 1),
+    }
+    counts = profile.hashed_counts(df)
+    assert not [f for f in counts.schema if f.name == "value" and f.dataType.typeName() == "string"]
+    assert max(len(r.prefix or "") for r in counts.collect()) == 16
+    assert profile.top_values(df.limit(0)).count() == 0
