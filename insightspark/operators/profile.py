@@ -123,7 +123,7 @@ def _candidate_texts(df: DataFrame, names: list[str], found: DataFrame, n: int)
     chosen = found.withColumn("place", F.rank().over(first)).where(F.col("place") <= n)
     chosen = write_once(chosen.select(F.col("position").alias("at"), F.col("value").alias("hash"), "n"), "top-candidates")
     cells = [
-        F.struct(F.lit(str(df.columns.index(name))).alias("at"), _hash(df, name).alias("hash"), column(name).alias("value")) for name in names
+        F.struct(F.lit(str(df.columns.index(name))).alias("at"), value_hash(df, name).alias("hash"), column(name).alias("value")) for name in names
     ]
     texts = df.select(F.inline(F.array(*cells))).where(F.col("hash").isNotNull()).join(chosen, ["at", "hash"])
     return texts.groupBy(F.col("at").alias("position"), "hash", "n").agg(F.first("value").alias("value"))
@@ -198,7 +198,7 @@ def _as_text(name: str, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
-def _hash(df: DataFrame, name: str) -> Column:
+def value_hash(df: DataFrame, name: str) -> Column:
     """128 bits of hashes of a value, null for missing ones."""
     kind = df.schema[name].dataType
     value = present(name, kind)
@@ -216,7 +216,7 @@ def hashed_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     def cell(name: str) -> Column:
         prefix = F.substring(column(name), 1, _PREFIX) if name in texts else F.lit(None).cast("string")
-        return F.struct(F.lit(str(df.columns.index(name))).alias("position"), _hash(df, name).alias("value"), prefix.alias("prefix"))
+        return F.struct(F.lit(str(df.columns.index(name))).alias("position"), value_hash(df, name).alias("value"), prefix.alias("prefix"))
 
     cells = df.select(F.inline(F.array(*[cell(n) for n in (df.columns if columns is None else columns)])))
     return cells.groupBy("position", "value", "prefix").agg(F.count(F.lit(1)).alias("n"))

@@ -12,16 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from insightspark.functions import kinds
 from insightspark.functions import text as texts
 from insightspark.functions.kinds import timestamp_text
 from insightspark.operators import (
-    chart_data, chunking, clean, profile, questions, reports, responses, revenue, run_log, search, vectors,
+    chart_data, chunking, clean, profile, profile_states, questions, reports, responses, revenue, run_log, search, vectors,
 )
 from insightspark.operators.prompts import prompt_table, with_bullets
 from insightspark.operators.vector_store import embed_new
 from insightspark.plans import inputs
 from insightspark.plans.sales_view import sales_rows, sales_view, table
-from insightspark.session import shared_folder
+from insightspark.session import shared_folder, write_once
 from insightspark.sources.csv_files import load_table
 from insightspark.sources.payloads import result_payload
 from insightspark.sources.text_documents import read_text_documents
@@ -287,6 +288,42 @@ def profile_table(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionAll, [rows(name, part) for name, part in parts.items()])
 
 
+def profile_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders arriving year by year, profiled from their states; whether the sketches keep their bounds is counted in the table."""
+    orders = inputs.gappy_orders(spark, folder)
+    states = shared_folder(spark, "profile-states")
+    year = F.year("o_orderdate")
+    for (load,) in orders.select(year.alias("year")).distinct().collect():
+        profile_states.write_states(orders.where(year.eqNullSafe(F.lit(load))), str(load), states)
+    merged = write_once(profile_states.merged_profile(profile_states.read_states(spark, states)), "merged-profile")
+    exact = profile.column_profile(orders).select("column", F.col("unique_count").alias("exact_count"))
+    close = F.abs(F.col("unique_count") - F.col("exact_count")) <= 0.05 * F.col("exact_count")
+    # Each number beside its column's three quantiles: one row per column and quantile is broadcast by its size.
+    names = merged.select("column", F.col("position").cast("string").alias("position"), "p25", "p50", "p75").where("p50 IS NOT NULL")
+    cells = orders.select(*[F.col(c).cast("double").alias(str(i)) for i, c in enumerate(orders.columns) if c in kinds.numeric_columns(orders)])
+    ranked = cells.unpivot([], cells.columns, "position", "value").where("value IS NOT NULL").join(names, "position").groupBy("column").agg(
+        *[
+            ((F.avg((F.col("value") < F.col(q) - 0.01).cast("int")) <= p + 0.01) & (F.avg((F.col("value") <= F.col(q) + 0.01).cast("int")) >= p - 0.01)).alias(f"{q}_fits")
+            for q, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
+        ]
+    )
+    return merged.join(exact, "column").join(ranked, "column", "left").select(
+        "column", "position", "dtype", "null_count", "null_pct", close.alias("unique_fits"), "count", "mean", "std", "min", "max",
+        (F.col("p25_fits") & F.col("p50_fits") & F.col("p75_fits")).alias("quantiles_fit"),
+    )
+
+
+def top_values_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts arriving size by size; their columns have few enough values to be counted exactly."""
+    parts = table(spark, folder, "part")
+    states = shared_folder(spark, "part-states")
+    size, bounds = F.coalesce("p_size", F.lit(0)), [None, 13, 26, 38, None]
+    for low, high in zip(bounds, bounds[1:]):
+        load = parts.where((F.lit(low is None) | (size >= F.lit(low))) & (F.lit(high is None) | (size < F.lit(high))))
+        profile_states.write_states(load, f"from {low}", states)
+    return profile_states.merged_top_values(profile_states.read_states(spark, states))
+
+
 # --- revenue and charts ----------------------------------------------------
 
 
@@ -603,6 +640,8 @@ QUERIES: dict[str, Query] = {
     "profile_date_range": profile_date_range,
     "health_score": health_score,
     "profile_table": profile_table,
+    "profile_incremental": profile_incremental,
+    "top_values_incremental": top_values_incremental,
     "revenue_by_dimension_type": _revenue_by("build_category"),
     "revenue_by_dimension_region": _revenue_by("region"),
     "revenue_trend_year": _trend_by("year"),

@@ -179,6 +179,11 @@ PROFILE_TABLE = f"WITH {GAPPY} " + " UNION ALL ".join(
     ]
 )
 
+PROFILE_INCREMENTAL = f"""WITH {GAPPY}, found AS ({PROFILE_COLUMNS.removeprefix(f"WITH {GAPPY} ")}),
+  numbers AS ({_numeric(["o_orderkey", "o_custkey", "o_totalprice"], "gappy")})
+  SELECT "column", position, dtype, null_count, null_pct, TRUE AS unique_fits, count, mean, std, min, max,
+    CASE WHEN count IS NOT NULL THEN TRUE END AS quantiles_fit FROM found LEFT JOIN numbers USING ("column")"""
+
 # --- search ----------------------------------------------------------------
 
 _STOPS = "[" + ", ".join(_text(w) for w in STOP_WORDS) + "]"
@@ -467,6 +472,8 @@ SQL_CHECKS: dict[str, str] = {
     "profile_date_range": DATE_RANGE,
     "health_score": HEALTH,
     "profile_table": PROFILE_TABLE,
+    "profile_incremental": PROFILE_INCREMENTAL,
+    "top_values_incremental": TOP_VALUES,
     "revenue_by_dimension_type": _revenue_by("build_category"),
     "revenue_by_dimension_region": _revenue_by("region"),
     "revenue_trend_year": _revenue_by("year"),
