@@ -50,7 +50,7 @@ def segment_vs_rest(
         return empty(df.sparkSession, "series string, year string, revenue double")
     kind = df.schema[year].dataType
     key = present(year, kind)
-    series = _series(column(category), segment)
+    series = series_of(column(category), segment)
     sums = df.where(key.isNotNull()).groupBy(series.alias("series"), key.alias("key")).agg(*partial_sums(df, revenue))
     return sums.orderBy("series", "key").select("series", key_text(F.col("key"), kind).alias("year"), total().alias("revenue"))
 
@@ -105,12 +105,12 @@ def chart_data(
     if category in keys:
         points.append(point(BY_CATEGORY, category, F.lit("revenue")))
     if category in keys and year in keys:
-        points.append(point(BY_SEGMENT, year, _series(column(category), segment)))
+        points.append(point(BY_SEGMENT, year, series_of(column(category), segment)))
     if region in keys:
         points.append(point(BY_REGION, region, F.lit("revenue")))
     stacked = base.select(F.inline(F.array(*points))).where(F.col("x").isNotNull())
     return stacked.groupBy("chart", "series", "x").agg(*merged_sums()).select("chart", "series", "x", total().alias("y"))
 
 
-def _series(category: Column, segment: str) -> Column:
+def series_of(category: Column, segment: str) -> Column:
     return F.when(category.eqNullSafe(F.lit(segment)), "segment").otherwise("rest")

@@ -66,7 +66,7 @@ def revenue_by_dimension(df: DataFrame, dimension: str, revenue: str = REVENUE,
     sums = sum_by(df, dimension, revenue)
     if ordered:
         sums = sums.orderBy(total().desc(), F.col("key").asc())
-    return _keyed(sums, df.schema[dimension].dataType)
+    return keyed(sums, df.schema[dimension].dataType)
 
 
 def revenue_trend(df: DataFrame, period: str = YEAR, revenue: str = REVENUE, ordered: bool = True) -> DataFrame:
@@ -76,7 +76,7 @@ def revenue_trend(df: DataFrame, period: str = YEAR, revenue: str = REVENUE, ord
     sums = sum_by(df, period, revenue)
     if ordered:
         sums = sums.orderBy("key")
-    return _keyed(sums, df.schema[period].dataType)
+    return keyed(sums, df.schema[period].dataType)
 
 
 def top_performers(df: DataFrame, dimension: str, n: int = 5, revenue: str = REVENUE) -> DataFrame:
@@ -84,7 +84,7 @@ def top_performers(df: DataFrame, dimension: str, n: int = 5, revenue: str = REV
     if not has_columns(df, dimension, revenue):
         return empty(df.sparkSession, "key string, revenue double")
     best = sum_by(df, dimension, revenue).orderBy(total().desc(), F.col("key").asc()).limit(n)
-    return _keyed(best, df.schema[dimension].dataType)
+    return keyed(best, df.schema[dimension].dataType)
 
 
 def growth_rates(df: DataFrame, group: str, year: str = YEAR, revenue: str = REVENUE) -> DataFrame:
@@ -108,6 +108,11 @@ def growth_rates(df: DataFrame, group: str, year: str = YEAR, revenue: str = REV
         .agg(*partial_sums(df, revenue))
         .select("key", "period", numpy_round(total(), 2).alias("revenue"))
     )
+    return growth_of_sums(sums, group_kind)
+
+
+def growth_of_sums(sums: DataFrame, group_kind: T.DataType) -> DataFrame:
+    """``growth_rates`` from the rounded sums (key, period, revenue)."""
     # The largest revenue is asked for too, only to keep this aggregate the same
     # as the main one down to its shuffle, so that the input is read once.
     bounds = sums.agg(F.struct(F.array_sort(F.collect_set("period")).alias("years"), F.max("revenue").alias("top")))
@@ -135,5 +140,6 @@ def growth_rates(df: DataFrame, group: str, year: str = YEAR, revenue: str = REV
     )
 
 
-def _keyed(sums: DataFrame, kind: T.DataType) -> DataFrame:
+def keyed(sums: DataFrame, kind: T.DataType) -> DataFrame:
+    """(key, revenue) as texts and rounded sums, from (key, exact, wild)."""
     return sums.select(key_text(F.col("key"), kind).alias("key"), numpy_round(total(), 2).alias("revenue"))

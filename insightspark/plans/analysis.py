@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from insightspark.operators import chart_data, chunking, profile, revenue, search, vectors
+from insightspark.operators import chart_data, chunking, profile, revenue, revenue_sets, search, vectors
 from insightspark.operators.clean import clean_table
 from insightspark.operators.questions import suggested_for
 from insightspark.session import write_once
@@ -30,12 +30,20 @@ def findings(table: DataFrame, approximate: bool = False) -> dict[str, DataFrame
     """The profile, the five revenue aggregates and the chart data of an opened table."""
     return {
         **profile.profile_table(table, approximate),
-        "revenue_by_build_category": revenue.revenue_by_dimension(table, "build_category"),
-        "revenue_by_region": revenue.revenue_by_dimension(table, "region"),
-        "revenue_by_year": revenue.revenue_trend(table, "year"),
-        "growth_rates": revenue.growth_rates(table, "build_category"),
-        "top_vehicles": revenue.top_performers(table, "vehicle_platform"),
-        "charts": chart_data.chart_data(table),
+        **revenue_findings(table),
+    }
+
+
+def revenue_findings(table: DataFrame, segment: str = chart_data.SEGMENT) -> dict[str, DataFrame]:
+    """The five revenue aggregates and the chart data, all from one scan of the table."""
+    sets = revenue_sets.RevenueSets(table, ["build_category", "region", "vehicle_platform", "year"], [("build_category", "year")])
+    return {
+        "revenue_by_build_category": sets.by_dimension("build_category"),
+        "revenue_by_region": sets.by_dimension("region"),
+        "revenue_by_year": sets.trend("year"),
+        "growth_rates": sets.growth("build_category", "year"),
+        "top_vehicles": sets.top("vehicle_platform"),
+        "charts": sets.charts("build_category", "region", "year", segment),
     }
 
 

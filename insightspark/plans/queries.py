@@ -20,7 +20,7 @@ from insightspark.operators import (
 )
 from insightspark.operators.prompts import prompt_table, with_bullets
 from insightspark.operators.vector_store import embed_new
-from insightspark.plans import inputs
+from insightspark.plans import analysis, inputs
 from insightspark.plans.sales_view import sales_rows, sales_view, table
 from insightspark.session import shared_folder, write_once
 from insightspark.sources.csv_files import load_table
@@ -369,6 +369,23 @@ def all_charts(spark: SparkSession, folder: str) -> DataFrame:
     return chart_data.chart_data(sales_view(spark, folder, ("build_category", "region", "year", revenue.REVENUE)), SEGMENT)
 
 
+def findings(spark: SparkSession, folder: str) -> DataFrame:
+    """All revenue findings of the sales view as rows of (part, key, series, value, pct)."""
+    sales = sales_view(spark, folder, ("build_category", "region", "vehicle_platform", "year", revenue.REVENUE))
+    parts = analysis.revenue_findings(sales, segment=SEGMENT)
+    none = F.lit(None)
+
+    def rows(name: str, key: str, series: Column, value: str, pct: Column = none) -> DataFrame:
+        named = F.concat(F.lit("charts."), F.col("chart")) if name == "charts" else F.lit(name)
+        return parts[name].select(
+            named.alias("part"), F.col(key).alias("key"), series.cast("string").alias("series"), F.col(value).alias("value"), pct.cast("double").alias("pct")
+        )
+
+    plain = [rows(name, "key", none, "revenue") for name in parts if name not in ("growth_rates", "charts")]
+    rest = [rows("growth_rates", "group", F.col("year"), "revenue", F.col("yoy_pct")), rows("charts", "x", F.col("series"), "y")]
+    return reduce(DataFrame.unionAll, plain + rest)
+
+
 # --- search ----------------------------------------------------------------
 
 
@@ -655,6 +672,7 @@ QUERIES: dict[str, Query] = {
     "region_share": region_share,
     "currency_labels": currency_labels,
     "chart_data": all_charts,
+    "findings": findings,
     "keywords": keywords,
     "search_queries": search_queries,
     "normalize_results": normalize_results,

@@ -90,6 +90,22 @@ def _label(value: str) -> str:
     return f"CASE WHEN {value} >= 1000000 THEN printf('$%.1fM', {value} / 1000000.0) ELSE printf('$%.0fK', {value} / 1000.0) END"
 
 
+def _findings() -> str:
+    sums = "WITH {0} SELECT CAST({1} AS VARCHAR) AS key, {2} AS value FROM sales WHERE {1} IS NOT NULL GROUP BY {1}"
+    parts = [("revenue_by_build_category", "build_category"), ("revenue_by_region", "region"), ("revenue_by_year", "year")]
+    rows = [f"SELECT '{part}' AS part, key, NULL AS series, revenue AS value, NULL::DOUBLE AS pct FROM ({_revenue_by(key)})" for part, key in parts]
+    top = _revenue_by("vehicle_platform", f"ORDER BY {REVENUE} DESC, vehicle_platform LIMIT 5")
+    rows.append(f"SELECT 'top_vehicles', key, NULL, revenue, NULL FROM ({top})")
+    rows.append(f"SELECT 'growth_rates', \"group\", year::VARCHAR, revenue, yoy_pct FROM ({GROWTH})")
+    for part, key in parts:
+        rows.append(f"SELECT 'charts.{part}', key, 'revenue', value, NULL FROM ({sums.format(SALES, key, REVENUE)})")
+    rows.append(f"""SELECT 'charts.baja_growth_trend', key, series, value, NULL FROM (WITH {SALES}
+        SELECT year::VARCHAR AS key, {SERIES} AS series, {REVENUE} AS value FROM sales WHERE year IS NOT NULL GROUP BY ALL)""")
+    return " UNION ALL ".join(rows)
+
+
+FINDINGS = _findings()
+
 # --- profiling -------------------------------------------------------------
 
 GAPPY = """gappy AS (SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus,
@@ -495,6 +511,7 @@ SQL_CHECKS: dict[str, str] = {
         UNION ALL SELECT 'revenue_by_build_category', 'revenue', build_category, {REVENUE} FROM sales WHERE build_category IS NOT NULL GROUP BY ALL
         UNION ALL SELECT 'baja_growth_trend', {SERIES}, year::VARCHAR, {REVENUE} FROM sales WHERE year IS NOT NULL GROUP BY ALL
         UNION ALL SELECT 'revenue_by_region', 'revenue', region, {REVENUE} FROM sales WHERE region IS NOT NULL GROUP BY ALL""",
+    "findings": FINDINGS,
     "keywords": f"SELECT doc_id, {_keywords('text', 'w')} AS keywords FROM documents",
     "search_queries": SEARCH_QUERIES,
     "normalize_results": NORMALIZE,

@@ -2,6 +2,7 @@
 
 import json
 
+from insightspark.operators import chart_data, revenue
 from insightspark.plans import analysis
 from insightspark.sources.text_documents import read_text_documents
 
@@ -44,3 +45,22 @@ def test_documents_to_context(spark, tmp_path):
     found = dict(map(tuple, analysis.run_contexts(runs, corpus, letters, k=1).collect()))
     block = "[Document 1]\nzebra zoo zigzag"
     assert found == {1: f"{block}\n\n---\n\n{block}", 2: "[Document 1]\nkayak kick kiosk"}
+
+
+def test_revenue_findings_equal_the_single_operators(spark):
+    rows = [
+        ("rock", "south", "jeep", 2022, 10.25), ("baja_prerunner", None, "truck", 2022, 5.0), (None, "west", "truck", 2023, 7.5),
+        ("rock", "west", None, None, 1.0), ("rock", "south", "jeep", 2024, None), ("baja_prerunner", "south", "van", 2023, float("nan")), (None, None, None, None, 3.0),
+    ]
+    df = spark.createDataFrame(rows, "build_category string, region string, vehicle_platform string, year int, total_revenue double")
+    plain = {
+        "revenue_by_build_category": lambda t: revenue.revenue_by_dimension(t, "build_category"), "revenue_by_region": lambda t: revenue.revenue_by_dimension(t, "region"),
+        "revenue_by_year": lambda t: revenue.revenue_trend(t, "year"), "growth_rates": lambda t: revenue.growth_rates(t, "build_category"),
+        "top_vehicles": lambda t: revenue.top_performers(t, "vehicle_platform"), "charts": chart_data.chart_data,
+    }
+    for table in (df, df.limit(0), df.drop("year"), df.drop("build_category", "region"), df.drop("total_revenue")):
+        found = analysis.revenue_findings(table)
+        assert set(found) == set(plain)
+        for name, model in plain.items():
+            ordered = list if name not in ("growth_rates", "charts") else lambda x: sorted(x, key=repr)
+            assert ordered(map(tuple, found[name].collect())) == ordered(map(tuple, model(table).collect())), (name, table.columns)
