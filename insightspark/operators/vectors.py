@@ -185,15 +185,15 @@ def _search_regions(asked: DataFrame, stored: DataFrame, kernel: _Kernel) -> Dat
     rings = max(1, min(shards // len(pivots), MOST_RINGS))
     cells = write_once(_with_cells(stored, pivots, kernel.dim), "cells")
     regions, parts, inside = _divided(cells, pivots, rings)
-    shared = stored.sparkSession.sparkContext.broadcast(regions)
+    shared = stored.sparkSession.sparkContext.broadcast(tuple(regions))  # arrays alone, which workers read without this package
     dim, k = kernel.dim, kernel.k
 
-    looked = _placed_queries(asked, lambda v, _: first_regions(v, shared.value, k), shared, dim)
+    looked = _placed_queries(asked, lambda v, _, regions: first_regions(v, regions, k), shared, dim)
     part = F.pmod(F.xxhash64("chunk_id"), "parts")
     first = _met(looked, inside.where(part == 0).drop("parts"), dict.fromkeys(parts, 1), kernel)
     bars = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
     with_bars = write_once(asked.join(bars, F.col("query_id").eqNullSafe(F.col("id")), "left").drop("id"), "queries")
-    wanted = _placed_queries(with_bars, lambda v, bar: wanted_regions(v, bar, shared.value), shared, dim)
+    wanted = _placed_queries(with_bars, wanted_regions, shared, dim)
     return _met(wanted, inside.drop("parts"), parts, kernel)
 
 
@@ -251,12 +251,13 @@ def _placed_queries(asked: DataFrame, choose: Callable, shared, dim: int) -> Dat
     schema = T.StructType([asked.schema["query_id"], asked.schema["vector"], T.StructField("region", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regions = Regions(*shared.value)
         for whole in batches:
             for batch in bounded_slices(whole):
                 vectors = _matrix(pa.chunked_array([batch.column(1)]), dim)
                 bars = batch.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
-                query, place = choose(vectors, bars)
-                region = shared.value.region[place].astype(np.int32)
+                query, place = choose(vectors, bars, regions)
+                region = regions.region[place].astype(np.int32)
                 for start in range(0, len(query), SHARD_ROWS):
                     at = pa.array(query[start : start + SHARD_ROWS])
                     columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(region[start : start + SHARD_ROWS])]
