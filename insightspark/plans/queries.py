@@ -25,7 +25,7 @@ from insightspark.plans.sales_view import sales_rows, sales_view, table
 from insightspark.session import shared_folder, write_once
 from insightspark.sources.csv_files import load_table
 from insightspark.sources.payloads import result_payload
-from insightspark.sources.text_documents import read_text_documents
+from insightspark.sources.text_documents import read_text_documents, read_text_parts
 from insightspark.streaming import arrivals, run_ends, step_status
 from insightspark.streaming.changes import write_changes
 
@@ -97,6 +97,18 @@ def text_docs(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files in parts: per language the characters and line breaks that all parts hold."""
+    path = shared_folder(spark, "text-parts")
+    table(spark, folder, "documents").select("text", "lang").write.partitionBy("lang").text(path)
+    parts = read_text_parts(spark, path)
+    lang = F.regexp_extract("source_file", "/lang=([^/]*)/", 1).alias("lang")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return parts.groupBy(lang).agg(
+        F.sum(F.length("text").cast("long")).alias("n_chars"), F.sum(breaks.cast("long")).alias("n_breaks")
+    )
+
+
 def result_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Payloads of all fields, written as files and read back."""
     lines, user = F.split("text", "\n", -1), F.col("role") == "user"
@@ -642,6 +654,7 @@ QUERIES: dict[str, Query] = {
     "stream_csv_clean": stream_csv_clean,
     "stream_dedup": stream_dedup,
     "text_docs": text_docs,
+    "text_parts": text_parts,
     "result_payloads": result_payloads,
     "stream_revenue_by_dim": stream_revenue_by_dim,
     "clean_names": clean_names,

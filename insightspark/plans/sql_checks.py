@@ -462,6 +462,8 @@ SQL_CHECKS: dict[str, str] = {
     "csv_split_quotes": """SELECT doc_id, text, '5" ' || lang || ',"' || chr(10) || '"' AS size, source FROM documents""",
     "stream_dedup": "SELECT DISTINCT o_orderstatus, o_orderpriority, o_orderdate::DATE AS o_orderdate FROM orders",
     "text_docs": f"SELECT lang, line, count(*) AS n FROM (SELECT lang, unnest(string_split(text, {NL})) AS line FROM documents) GROUP BY ALL",
+    "text_parts": f"""SELECT lang, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars,
+        CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), {NL}, '')) + 1) AS BIGINT) AS n_breaks FROM documents GROUP BY lang""",
     "result_payloads": f"""SELECT conv_id || '-' || turn AS run_id, replace(text, {NL}, '|') AS data_findings,
         CASE WHEN role = 'user' THEN text ELSE '' END AS data_summary, (turn * 7 % 101)::VARCHAR AS data_health_score,
         CASE WHEN role <> 'user' THEN replace(text, {NL}, '|') ELSE '' END AS market_findings,
