@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,22 +227,25 @@ def _spans_by_counts(cut: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """k1, k2, first, end: byte spans that together are all that repeats."""
-    by_anchor, by_context = Window.partitionBy("h"), Window.partitionBy("h", "t")
-    hashes = context_hashes(keyed, length, gram)
-    hashes = hashes.withColumn("least", F.min("t").over(by_anchor)).withColumn("greatest", F.max("t").over(by_anchor))
-    hashes = hashes.withColumn("n", F.sum("weight").over(by_context))
-    found = write_once(
-        hashes.filter("n > 1 OR least <> greatest").select(
-            *_KEYS, "h", "t", "start", "size", (F.col("n") == 1).alias("once"), (F.col("least") != F.col("greatest")).alias("split")
-        ),
-        "contexts",
+    """k1, k2, first, end: byte spans that together are all that repeats.
+
+    An anchor that a passage of very many documents shares has a row per document.  Anchors are counted by
+    aggregations, which combine in each task, and met again by joins, whose hot keys AQE splits.
+    """
+    # Written, for the hashes of what a document covers several times follow its batch.
+    hashes = write_once(context_hashes(keyed, length, gram), "hashes")
+    anchors = hashes.groupBy("h").agg(F.sum("weight").alias("n"), (F.min("t") != F.max("t")).alias("split")).filter("n > 1")
+    found = write_once(hashes.join(anchors.select("h", "split"), "h"), "contexts")
+    span = [*_KEYS, F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("end")]
+    # An anchor with one context occurs as often as that context; contexts of the others are counted.
+    parted = found.filter("split")
+    counted = write_once(
+        parted.groupBy("h", "t").agg(F.min(F.struct(*_KEYS, "start", "size")).alias("one"), (F.sum("weight") == 1).alias("once")), "counted"
     )
-    whole = found.filter("NOT once").select(*_KEYS, F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("end"))
+    again = parted.join(counted.filter("NOT once").select("h", "t"), ["h", "t"])
+    whole = found.filter("NOT split").select(*span).unionByName(again.select(*span))
     # One occurrence of each different context is enough to compare with.
-    chosen = found.filter("split").groupBy("h", "t").agg(
-        F.min(F.struct(*_KEYS, "start", "size")).alias("one"), F.first("once").alias("once")
-    ).select("h", "once", "one.*")
+    chosen = counted.select("h", "once", "one.*")
     sizes = write_once(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("h"), "hot-anchors")
     if sizes.isEmpty():
         return whole.unionByName(_spans_by_suffixes(_context_bytes(chosen, keyed), length))

@@ -90,3 +90,24 @@ def test_repeated_rows_and_missing_ids(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_anchors_are_counted_without_a_window(spark, monkeypatch):
+    """A passage in every document: its anchors combine in each task before they are shuffled."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)) + passage for _ in range(300)]
+    plans = []
+    original = suffix_dedup.write_once
+
+    def spied(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, purpose)
+
+    monkeypatch.setattr(suffix_dedup, "write_once", spied)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, 40, 16, 50).collect()}
+    for i, row in enumerate(expected_rows(texts, 40)):
+        assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == row
+    assert not any("Window" in plan for plan in plans)
+    assert any("partial_sum" in plan for plan in plans)
