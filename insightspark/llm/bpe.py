@@ -9,7 +9,8 @@ the nondeterministic states.  A deterministic state is a set of them, each with
 been emitted.  Reading a byte extends all pairs, adds the one that ends a token
 here, and emits the tokens that all of them share: what a state holds back is the
 lookahead, bounded by the vocabulary.  States and their 256 edges are made when first
-needed, and thrown away together when they become too many.
+needed, and thrown away together when they become too many.  Words go through it side by side: each step of numpy
+reads the next byte of many words, and only edges that are not there yet are made one by one.
 
 Decoding feeds each token's bytes to a UTF-8 machine that keeps at most three bytes of an
 unfinished character.
@@ -23,8 +24,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -34,11 +36,14 @@ from pyspark.sql import functions as F
 
 from insightspark.llm.common import Batches, map_arrow, pieces, record_batch
 
-# Deterministic states kept before their table starts anew, and words before the older half goes.
+# Deterministic states kept before their table starts anew, and words before those not met lately go.
 STATES = 800_000
 WORDS = 1_000_000
 # Longer words are not kept.
 _WORD = 40
+# Longer words are read alone, and this many bytes of the others side by side.
+_LONG = 64
+_BLOCK = 1 << 17
 _BATCH = 4 << 20
 
 
@@ -77,8 +82,54 @@ class _Edge(NamedTuple):
     ascending: bool
 
 
+class _Edges:
+    """The transducer's edges in arrays: by state * 256 + byte the next state and what is emitted, an index of ids."""
+
+    def __init__(self) -> None:
+        self._keys = np.full(1 << 12, -1, dtype=np.int64)
+        self._at = np.zeros(len(self._keys), dtype=np.int32)
+        self.targets = np.zeros(0, dtype=np.int32)
+        self.emits = np.zeros(0, dtype=np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or the free one where its search ends."""
+        # Fibonacci hashing: the upper bits of the product.
+        shift = np.uint64(65 - len(self._keys).bit_length())
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
+        found = self._keys[slots]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & (len(self._keys) - 1)
+            found = self._keys[slots[open_]]
+            open_ = open_[(found != keys[open_]) & (found >= 0)]
+        return slots
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's edge, -1 where there is none."""
+        slots = self._slots(keys)
+        return np.where(self._keys[slots] >= 0, self._at[slots], -1)
+
+    def add(self, keys: np.ndarray, targets: list[int], emits: list[int]) -> None:
+        """New edges of different keys."""
+        numbers = np.arange(len(self.targets), len(self.targets) + len(keys), dtype=np.int32)
+        self.targets = np.concatenate([self.targets, np.array(targets, dtype=np.int32)])
+        self.emits = np.concatenate([self.emits, np.array(emits, dtype=np.int32)])
+        if 2 * len(self.targets) > len(self._keys):
+            full = self._keys >= 0
+            keys, numbers = np.concatenate([self._keys[full], keys]), np.concatenate([self._at[full], numbers])
+            self._keys = np.full(1 << int(4 * len(keys)).bit_length(), -1, dtype=np.int64)
+            self._at = np.zeros(len(self._keys), dtype=np.int32)
+        while len(keys):
+            slots = self._slots(keys)
+            # Of keys that end at one free place the last stays; the others search on.
+            self._keys[slots] = keys
+            stays = self._keys[slots] == keys
+            self._at[slots[stays]] = numbers[stays]
+            keys, numbers = keys[~stays], numbers[~stays]
+
+
 class Transducer:
-    """Ids of one word, byte by byte.
+    """Ids of words, byte by byte.
 
     A state is a flat tuple: the last id emitted (-1: none, or no way needs it), then for each way through the word the ids it is ahead
     and the trie node since; the last way has just ended a token.
@@ -107,6 +158,12 @@ class Transducer:
         self._numbers: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._side_by_side = _Edges()
+        # Sequences of ids that edges emit, and their numbers.
+        self._emits: list[tuple[int, ...]] = []
+        self._sequences: dict[tuple[int, ...], int] = {}
+        self._sequence(())
+        self._pairs: dict[int, bool] = {}
         self._number((-1, (), 0))
 
     def _number(self, state: tuple) -> int:
@@ -161,30 +218,36 @@ class Transducer:
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the edge of a state for a byte: the next state and the ids that are certain now."""
         state, ways, ended = self._states[number], [], None
-        emitted, edges, ends = state[0], self._edges, self._ends
+        emitted, edges, ends, pairs = state[0], self._edges, self._ends, self._pairs
         for i in range(1, len(state), 2):
             node = edges.get(state[i + 1] << 8 | byte)
             if node:
                 ahead = state[i]
                 ways += (ahead, node)
                 token = ends[node]
-                if ended is None and token >= 0 and self._follows(ahead[-1] if ahead else emitted, token):
-                    ended = (*ahead, token)
+                if ended is None and token >= 0:
+                    before = ahead[-1] if ahead else emitted
+                    pair = before << 32 | token
+                    follows = pairs.get(pair)
+                    if follows is None:
+                        follows = pairs[pair] = self._follows(before, token)
+                    if follows:
+                        ended = (*ahead, token)
         # Every byte is a token, so a way always ends here: the encoding of what was read.
         assert ended is not None, "every byte must be a token"
         ways += (ended, 0)
         certain = ways[0]
-        for i in range(2, len(ways), 2):
-            while certain and ways[i][: len(certain)] != certain:
-                certain = certain[:-1]
+        if certain:
+            for i in range(2, len(ways), 2):
+                while certain and ways[i][: len(certain)] != certain:
+                    certain = certain[:-1]
         if certain:
             emitted = certain[-1]
             for i in range(0, len(ways), 2):
                 ways[i] = ways[i][len(certain) :]
         # What was emitted matters to ways that are not ahead of it.
         before = -1 if all(ways[::2]) else emitted
-        found = self._steps[number << 8 | byte] = (self._number((before, *ways)), certain)
-        return found
+        return self._number((before, *ways)), certain
 
     def encode(self, word: bytes) -> list[int]:
         whole = self.ranks.get(word)
@@ -200,13 +263,78 @@ class Transducer:
                     present = self._states[state]
                     self.restart()
                     state, steps = self._number(present), self._steps
-                found = self._step(state, byte)
+                found = steps[state << 8 | byte] = self._step(state, byte)
             state, certain = found
             ids += certain
         # At the end of the word the way that just ended a token is its encoding.
         ids += self._states[state][-2]
         return ids
 
+    def encode_all(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids of each word as the bytes of 32-bit integers."""
+        whole = list(map(self.ranks.get, words))
+        out = [b"" if x is None else x.to_bytes(4, sys.byteorder) for x in whole]
+        order = sorted((i for i, x in enumerate(whole) if x is None), key=lambda i: -len(words[i]))
+        long = sum(len(words[i]) > _LONG for i in order)
+        alone, block, size = order[:long], [], 0
+        for i in (*order[long:], -1):
+            if block and (i < 0 or size + len(words[i]) > _BLOCK):
+                if len(self._states) + size > self.limit:
+                    self.restart()
+                if len(self._states) + size > self.limit:
+                    alone += block
+                else:
+                    for j, ids in zip(block, self._read([words[j] for j in block])):
+                        out[j] = ids
+                block, size = [], 0
+            if i >= 0:
+                block.append(i)
+                size += len(words[i])
+        for i in alone:
+            out[i] = np.array(self.encode(words[i]), dtype=np.int32).tobytes()
+        return out
+
+    def _sequence(self, ids: tuple[int, ...]) -> int:
+        number = self._sequences.setdefault(ids, len(self._emits))
+        if number == len(self._emits):
+            self._emits.append(ids)
+        return number
+
+    def _read(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words in falling order of their lengths, a byte of each at a time."""
+        edges, lengths = self._side_by_side, np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        text = np.frombuffer(b"".join(words), dtype=np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        states = np.zeros(len(words), dtype=np.int64)
+        # A place for what each byte emits, and one for the end of its word.
+        places = starts + np.arange(len(words))
+        emitted = np.zeros(len(text) + len(words), dtype=np.int32)
+        for at in range(int(lengths[0])):
+            alive = int(np.searchsorted(-lengths, -at, side="left"))
+            keys = states[:alive] << 8 | text[starts[:alive] + at]
+            found = edges.find(keys)
+            if found.min() < 0:
+                missing = np.unique(keys[found < 0])
+                made = [self._step(key >> 8, key & 255) for key in missing.tolist()]
+                edges.add(missing, [state for state, _ in made], [self._sequence(ids) for _, ids in made])
+                found = edges.find(keys)
+            emitted[places[:alive] + at] = edges.emits[found]
+            states[:alive] = edges.targets[found]
+        last, of = np.unique(states, return_inverse=True)
+        ends = np.array([self._sequence(self._states[state][-2]) for state in last.tolist()], dtype=np.int32)
+        emitted[places + lengths] = ends[of]
+        # The sequences that occur, then the ids of all places in order.
+        some, of = np.unique(emitted, return_inverse=True)
+        ids = [self._emits[number] for number in some.tolist()]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes[of]
+        after = np.cumsum(counts)
+        source = np.repeat(begin[of] - (after - counts), counts) + np.arange(int(after[-1]))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))[source].tobytes()
+        bounds = [0, *(4 * after[places + lengths]).tolist()]
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
 
 class Encoder:
     """Ids of whole texts: the pattern's matches through the transducer.
@@ -225,28 +353,59 @@ class Encoder:
         self.ranks = read_ranks(ranks.file)
         self.transducer = Transducer(self.ranks, states)
         self._parts = regex.compile(ranks.pattern)
-        self._known: dict[str, tuple[int, ...]] = {}
+        # Ids of cuts without their blank: those met lately, and those met before them.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._words = words
 
-    def _ids(self, part: str) -> tuple[int, ...]:
-        encode = self.transducer.encode
-        return tuple(x for found in self._parts.finditer(part) for x in encode(found[0].encode("utf-8", "replace")))
+    def _matches(self, text: str) -> list[str]:
+        return [x[0] for x in self._parts.finditer(text)]
+
+    def _learn(self, firsts: list[str], words: list[str]) -> list[bytes]:
+        """The ids of the texts' first cuts; those of the words after a blank become known."""
+        # Words that end visibly can be matched in one go: each begins at a blank after a visible character.
+        plain, others = [], []
+        for word in words:
+            (plain if word and " " not in word and not word[-1].isspace() else others).append(word)
+        parts = self._matches(" " + " ".join(plain)) if plain else []
+        begins = [i for i, part in enumerate(parts) if part[0] == " "]
+        for cut in chain(firsts, [" " + x for x in others]):
+            begins.append(len(parts))
+            parts += self._matches(cut)
+        begins.append(len(parts))
+        different = list(dict.fromkeys(parts))
+        ids = dict(zip(different, self.transducer.encode_all([x.encode("utf-8", "replace") for x in different])))
+        each = [ids[x] for x in parts]
+        cuts = [b"".join(each[a:b]) for a, b in zip(begins, begins[1:])]
+        known = self._known
+        known.update(zip(plain, cuts))
+        known.update(zip(others, cuts[len(plain) + len(firsts) :]))
+        return cuts[len(plain) : len(plain) + len(firsts)]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text as the bytes of 32-bit integers."""
+        cuts = [self._CUT.split(x) if self._OTHER.search(x) else x.split(" ") for x in texts]
+        firsts = [x[0] for x in cuts]
+        for x in cuts:
+            del x[0]
+        if 2 * len(self._known) >= self._words:
+            self._known, self._older = {}, self._known
+        known, older, new = self._known, self._older, []
+        for word in set(chain.from_iterable(cuts)).difference(known):
+            own = older.get(word)
+            if own is None:
+                new.append(word)
+            else:
+                known[word] = own
+        first = self._learn(firsts, new)
+        out = [begin + b"".join(map(known.__getitem__, x)) for begin, x in zip(first, cuts)]
+        for word in new:
+            if len(word) >= _WORD:
+                del known[word]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        cuts = self._CUT.split(text) if self._OTHER.search(text) else text.split(" ")
-        ids, known = list(self._ids(cuts[0])), self._known
-        for i in range(1, len(cuts)):
-            word = cuts[i]
-            own = known.get(word)
-            if own is None:
-                own = self._ids(" " + word)
-                if len(word) < _WORD:
-                    if len(known) >= self._words:
-                        for old in list(islice(known, len(known) // 2 + 1)):
-                            del known[old]
-                    known[word] = own
-            ids += own
-        return ids
+        return np.frombuffer(self.encode_all([text])[0], dtype=np.int32).tolist()
 
 
 # The UTF-8 machine.  States: 0 between characters, else what continuation bytes may follow.
@@ -328,6 +487,7 @@ class Decoder:
         # The texts of tokens that begin and end between characters.
         steps = {token: self._step(b"", token) for token in self._bytes}
         self._whole = {token: text for token, (text, held) in steps.items() if not held and _REPLACEMENT not in text}
+        self._table = pa.array([self._whole.get(i) for i in range(max(self._bytes) + 1)], type=pa.large_string())
 
     def _step(self, held: bytes, token: int) -> tuple[str, bytes]:
         machine = Utf8Stream()
@@ -356,6 +516,35 @@ class Decoder:
         texts = list(map(self._whole.get, ids))
         return "".join(self.stream(ids) if None in texts else texts)
 
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The text of each run of ids between two offsets.
+
+        The machine's steps over tokens that begin and end between characters only put their texts one after another; it goes
+        alone from every other token to the next place between characters.
+        """
+        tokens = self._table.take(pa.array(ids))
+        ends = np.frombuffer(tokens.buffers()[1], dtype=np.int64, count=len(ids) + 1)
+        odd = np.flatnonzero(tokens.is_null().to_numpy(zero_copy_only=False))
+        data = memoryview(tokens.buffers()[2] or b"")
+        texts = []
+        for at, end in zip(offsets.tolist(), offsets.tolist()[1:]):
+            parts = []
+            for first in odd[np.searchsorted(odd, at) : np.searchsorted(odd, end)].tolist():
+                if first < at:
+                    continue
+                parts.append(str(data[ends[at] : ends[first]], "utf-8"))
+                at, held = first, b""
+                while at < end and (held or at == first):
+                    token = int(ids[at])
+                    text, held = self._steps[held].get(token) or self._step(held, token)
+                    parts.append(text)
+                    at += 1
+                if held:
+                    parts.append(_REPLACEMENT)
+            parts.append(str(data[ends[at] : ends[end]], "utf-8"))
+            texts.append("".join(parts))
+        return pa.array(texts, type=pa.string())
+
 
 _CODERS: dict[tuple, tuple[Encoder, Decoder]] = {}
 
@@ -378,16 +567,11 @@ def encode_documents(documents: DataFrame, ranks: Ranks, states: int = STATES, d
         encoder, decoder = worker_coders(ranks, states)
         for whole in batches:
             for batch in pieces(whole, _BATCH):
-                each, texts = [], []
-                for text in batch.column(1).to_pylist():
-                    ids = encoder.encode((text or b"").decode("utf-8", "replace"))
-                    each.append(np.array(ids, dtype=np.int32))
-                    if decoded:
-                        texts.append(decoder.decode(ids))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                flat = np.concatenate(each) if each else np.zeros(0, dtype=np.int32)
+                each = encoder.encode_all([(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(each), dtype=np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(schema.field(1).type)
-                yield record_batch(schema, [batch.column(0), rows, *([texts] if decoded else [])])
+                yield record_batch(schema, [batch.column(0), rows, *([decoder.decode_all(flat, offsets)] if decoded else [])])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     more = ", text string" if decoded else ""
