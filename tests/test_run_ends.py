@@ -91,3 +91,30 @@ def test_line_breaks_in_quotes_of_a_stream(spark, tmp_path, text, expected):
     stream = arrivals.arriving_files(spark, str(tmp_path / "in"), "a string, b int")
     stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o")).awaitTermination()
     assert sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_runs_of_one_bucket_keep_apart(spark, tmp_path):
+    """All runs in one call of Python: some end, some stall, the others stay open with their own times."""
+    inbox = str(tmp_path / "in")
+
+    def go():
+        stream = arrivals.arriving_files(spark, inbox, EVENTS, kind="parquet", files_per_trigger=1)
+        ends = run_ends.run_ends(stream, "10 minutes", buckets=1)
+        query = run_ends.start(ends, str(tmp_path / "out"), str(tmp_path / "c"))
+        query.awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).select("run_id", "outcome", "status", "node", "seq", "events", F.unix_timestamp("last"))
+        return sorted(tuple(r) for r in rows.collect()), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    at = 1_700_000_000
+    drop(spark, inbox, [(f"r{i}", "load", "node_start", None, i % 3, i) for i in range(300)])
+    assert go() == ([], 1)
+    drop(spark, inbox, [(f"r{i}", None, "result" if i < 100 else "node_complete", f"s{i}", 12, 1000 + i) for i in range(200)])
+    ended = [(f"r{i}", "ended", f"s{i}", None, 1000 + i, 2, at + 720) for i in range(100)]
+    # The log is at minute 12 now, so what was last heard of before minute 2 has stalled.
+    stalled = [(f"r{i}", "stalled", None, "load", i, 1, at + i % 3 * 60) for i in range(200, 300) if i % 3 < 2]
+    assert go() == (sorted(ended + stalled, key=str), 1)
+    drop(spark, inbox, [("r150", "x", "error", "late", 12, 5), ("new", "x", "node_start", "on", 40, 1)])
+    rows, _ = go()
+    assert ("r150", "ended", "s150", None, 1150, 3, at + 720) in rows
+    assert ("r299", "stalled", None, "load", 299, 1, at + 120) in rows
+    assert len(rows) == 300 and len({r[0] for r in rows}) == 300
