@@ -29,8 +29,8 @@ from insightspark.session import shared_folder
 
 WINDOW = 1024
 END_ID = 0
-# Bytes of text whose words are encoded together.
-BATCH_BYTES = 24 << 20
+# Bytes of text whose words are encoded together; their words, ids and places take about 15 times that.
+BATCH_BYTES = 4 << 20
 
 
 class Vocabulary(NamedTuple):
@@ -111,19 +111,36 @@ class IdEncoder:
         return table[gathered], np.diff(upto[bounds])
 
 
+_ENCODERS: dict[Vocabulary, IdEncoder] = {}
+
+
+def worker_encoder(vocabulary: Vocabulary) -> IdEncoder:
+    """One encoder per Python worker, for later tasks too."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary] = IdEncoder(*vocabulary)
+    return _ENCODERS[vocabulary]
+
+
+def token_rows(batches: Batches, schema: pa.Schema, encoder: IdEncoder, part: int, end_id: int) -> Batches:
+    """The rows of ``tokenized`` for one part, a little of the texts at a time."""
+    before = 0
+    for whole in batches:
+        for batch in pieces(whole, BATCH_BYTES):
+            ids, counts = encoder.encode(texts_of(batch.column(1)), end_id)
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            packed = pa.Array.from_buffers(
+                pa.binary(), len(counts), [None, pa.py_buffer((4 * upto).astype(np.int32)), pa.py_buffer(ids)]
+            )
+            yield record_batch(schema, [batch.column(0), np.full(len(counts), part), before + upto[:-1], counts, packed])
+            before += int(upto[-1])
+
+
 def tokenized(documents: DataFrame, vocabulary: Vocabulary, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, before (ids before the document in its part), doc_tokens, ids (32-bit, little-endian)."""
+
     def run(batches: Batches, schema: pa.Schema) -> Batches:
-        encoder, before, part = IdEncoder(*vocabulary), 0, TaskContext.get().partitionId()
-        for whole in batches:
-            for batch in pieces(whole, BATCH_BYTES):
-                ids, counts = encoder.encode(texts_of(batch.column(1)), end_id)
-                upto = np.concatenate([[0], np.cumsum(counts)])
-                packed = pa.Array.from_buffers(
-                    pa.binary(), len(counts), [None, pa.py_buffer((4 * upto).astype(np.int32)), pa.py_buffer(ids)]
-                )
-                yield record_batch(schema, [batch.column(0), np.full(len(counts), part), before + upto[:-1], counts, packed])
-                before += int(upto[-1])
+        return token_rows(batches, schema, worker_encoder(vocabulary), TaskContext.get().partitionId(), end_id)
 
     return map_arrow(
         documents.select("doc_id", "text"), "doc_id bigint, part bigint, before bigint, doc_tokens bigint, ids binary", run

@@ -1,9 +1,12 @@
 """Packing against the tokenizer itself."""
 
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -75,3 +78,23 @@ def split_documents(pieces):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), public_vocabulary()).collect() == []
+
+
+def test_a_batch_takes_little_memory():
+    """A task's memory does not follow the size of Spark's batches."""
+    rng = random.Random(3)
+    some = ["".join(rng.choices("aeinrst", k=5)) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(some, k=500)) for _ in range(8000)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array(texts)], names=["doc_id", "text"])
+    assert whole.nbytes > 23e6
+    kinds = {"doc_id": pa.int64(), "part": pa.int64(), "before": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary()}
+    encoder, held = packing.worker_encoder(public_vocabulary()), 0
+    assert packing.worker_encoder(public_vocabulary()) is encoder
+    tracemalloc.start()
+    for batch in packing.token_rows(iter([whole]), pa.schema(kinds), encoder, 2, 0):
+        ids, counts = np.frombuffer(batch["ids"].buffers()[2], "<u4"), batch["doc_tokens"].to_numpy()
+        assert batch["before"][0].as_py() == held and batch["part"][0].as_py() == 2 and len(ids) == counts.sum()
+        held += len(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
