@@ -31,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ _WORD = 40
 # Longer words are read alone, and this many bytes of the others side by side.
 _LONG = 64
 _BLOCK = 1 << 17
-_BATCH = 4 << 20
+_BATCH = 8 << 20
 
 
 class Ranks(NamedTuple):
@@ -88,8 +89,10 @@ class _Edges:
     def __init__(self) -> None:
         self._keys = np.full(1 << 12, -1, dtype=np.int64)
         self._at = np.zeros(len(self._keys), dtype=np.int32)
-        self.targets = np.zeros(0, dtype=np.int32)
-        self.emits = np.zeros(0, dtype=np.int32)
+        # With room for more, so that adding does not copy what is there each time.
+        self._count = 0
+        self.targets = np.zeros(1 << 12, dtype=np.int32)
+        self.emits = np.zeros(1 << 12, dtype=np.int32)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or the free one where its search ends."""
@@ -111,10 +114,14 @@ class _Edges:
 
     def add(self, keys: np.ndarray, targets: list[int], emits: list[int]) -> None:
         """New edges of different keys."""
-        numbers = np.arange(len(self.targets), len(self.targets) + len(keys), dtype=np.int32)
-        self.targets = np.concatenate([self.targets, np.array(targets, dtype=np.int32)])
-        self.emits = np.concatenate([self.emits, np.array(emits, dtype=np.int32)])
-        if 2 * len(self.targets) > len(self._keys):
+        begin, self._count = self._count, self._count + len(keys)
+        if self._count > len(self.targets):
+            room = np.zeros(2 * self._count - begin, dtype=np.int32)
+            self.targets, self.emits = np.concatenate([self.targets[:begin], room]), np.concatenate([self.emits[:begin], room])
+        self.targets[begin : self._count] = targets
+        self.emits[begin : self._count] = emits
+        numbers = np.arange(begin, self._count, dtype=np.int32)
+        if 2 * self._count > len(self._keys):
             full = self._keys >= 0
             keys, numbers = np.concatenate([self._keys[full], keys]), np.concatenate([self._at[full], numbers])
             self._keys = np.full(1 << int(4 * len(keys)).bit_length(), -1, dtype=np.int64)
@@ -128,6 +135,13 @@ class _Edges:
             keys, numbers = keys[~stays], numbers[~stays]
 
 
+def _different(numbers: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, all below ``limit``, and the place of each number among them."""
+    occurs = np.zeros(limit, dtype=bool)
+    occurs[numbers] = True
+    return np.flatnonzero(occurs), (np.cumsum(occurs, dtype=np.int32) - 1)[numbers]
+
+
 class Transducer:
     """Ids of words, byte by byte.
 
@@ -150,6 +164,10 @@ class Transducer:
                 if node == len(self._ends):
                     self._ends.append(-1)
             self._ends[node] = rank
+        # Nodes that a longer token goes through; at the others a way has no next byte.
+        self._inner = bytearray(len(self._ends))
+        for key in self._edges:
+            self._inner[key >> 8] = 1
         self._sides: dict[int, tuple[_Edge, _Edge] | None] = {}
         self.restart()
 
@@ -202,15 +220,21 @@ class Transducer:
         (_, left), (right, _) = self._sides_of(before), after
         certain = left.ascending and right.ascending
         if certain:
-            ranks = self.ranks
-            for a, a_made, a_end in reversed(left.pieces):
-                for b, b_made, b_end in reversed(right.pieces):
-                    rank = ranks.get(a + b)
-                    # Of equal ranks the leftmost merges first.
-                    if rank is not None and rank < a_end and rank <= b_end:
-                        if rank > a_made and rank > b_made:
-                            return False
-                        certain = certain and (a_made > b_end or b_made >= a_end)
+            # Back from the last pieces, over the pairs that lie at the border together.
+            ranks, i, j = self.ranks, len(left.pieces) - 1, len(right.pieces) - 1
+            while i >= 0 and j >= 0:
+                a, a_made, a_end = left.pieces[i]
+                b, b_made, b_end = right.pieces[j]
+                rank = ranks.get(a + b)
+                # Of equal ranks the leftmost merges first.
+                if rank is not None and rank < a_end and rank <= b_end:
+                    if rank > a_made and rank > b_made:
+                        return False
+                    certain = False
+                if a_made > b_made:
+                    i -= 1
+                else:
+                    j -= 1
         # Where a pair's rank is below those of its own pieces, ranks tell no times.
         expected = [self._bytes[before], self._bytes[token]]
         return certain or merge_steps(b"".join(expected), self.ranks)[0] == expected
@@ -218,12 +242,13 @@ class Transducer:
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the edge of a state for a byte: the next state and the ids that are certain now."""
         state, ways, ended = self._states[number], [], None
-        emitted, edges, ends, pairs = state[0], self._edges, self._ends, self._pairs
+        emitted, edges, ends, inner, pairs = state[0], self._edges, self._ends, self._inner, self._pairs
         for i in range(1, len(state), 2):
             node = edges.get(state[i + 1] << 8 | byte)
             if node:
                 ahead = state[i]
-                ways += (ahead, node)
+                if inner[node]:
+                    ways += (ahead, node)
                 token = ends[node]
                 if ended is None and token >= 0:
                     before = ahead[-1] if ahead else emitted
@@ -320,11 +345,11 @@ class Transducer:
                 found = edges.find(keys)
             emitted[places[:alive] + at] = edges.emits[found]
             states[:alive] = edges.targets[found]
-        last, of = np.unique(states, return_inverse=True)
+        last, of = _different(states, len(self._states))
         ends = np.array([self._sequence(self._states[state][-2]) for state in last.tolist()], dtype=np.int32)
         emitted[places + lengths] = ends[of]
         # The sequences that occur, then the ids of all places in order.
-        some, of = np.unique(emitted, return_inverse=True)
+        some, of = _different(emitted, len(self._emits))
         ids = [self._emits[number] for number in some.tolist()]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         begin = np.cumsum(sizes) - sizes
@@ -384,25 +409,70 @@ class Encoder:
 
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as the bytes of 32-bit integers."""
-        cuts = [self._CUT.split(x) if self._OTHER.search(x) else x.split(" ") for x in texts]
-        firsts = [x[0] for x in cuts]
-        for x in cuts:
-            del x[0]
+        # Arrow cuts and counts; texts with other blanks are cut here, with an empty one in their place.
+        odd = {i: self._CUT.split(x) for i, x in enumerate(texts) if self._OTHER.search(x)}
+        try:
+            plain = pa.array(["" if i in odd else x for i, x in enumerate(texts)], pa.large_string())
+        except UnicodeEncodeError:  # lone surrogates
+            odd = {i: odd.get(i) or x.split(" ") for i, x in enumerate(texts)}
+            plain = pa.array([""] * len(texts), pa.large_string())
+        split = pc.split_pattern(plain, " ")
+        coded = split.flatten().dictionary_encode()
+        # One string of all words, which hold no blank, is much faster to hand over than each.
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))
+        words = joined[0].as_py().split(" ") if len(coded.dictionary) else []
+        index, bounds = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+        firsts = [words[i] for i in index[bounds[:-1]].tolist()]
+        if odd:
+            numbers = {word: i for i, word in enumerate(words)}
+            more = []
+            for i, cuts in odd.items():
+                firsts[i] = cuts[0]
+                more.append([numbers.setdefault(x, len(numbers)) for x in cuts[1:]])
+            words = list(numbers)
+            index = np.concatenate([index, np.fromiter(chain.from_iterable(more), dtype=np.int64)])
+            bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(x) for x in more])])
+        # The table: first cuts of all texts, then the words that occur after a blank.
+        at = bounds[: len(texts)]
+        index += len(texts)
+        index[at] = np.arange(len(texts))
+        entries, index = _different(index, len(texts) + len(words))
+        used = [words[i] for i in (entries[len(texts) :] - len(texts)).tolist()]
+        table = self._firsts_and_words(firsts, used)
+        lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[index]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        source = np.repeat(starts[index] - upto[:-1], each)
+        source += np.arange(len(source))
+        flat = np.frombuffer(b"".join(table), dtype=np.int32)[source].tobytes()
+        ends = (4 * upto[bounds]).tolist()
+        out = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        for i, rest in zip(odd, out[len(texts) :]):
+            out[i] += rest
+        return out[: len(texts)]
+
+    def _firsts_and_words(self, firsts: list[str], words: list[str]) -> list[bytes]:
+        """The ids of first cuts, and those of different words after a blank."""
         if 2 * len(self._known) >= self._words:
             self._known, self._older = {}, self._known
         known, older, new = self._known, self._older, []
-        for word in set(chain.from_iterable(cuts)).difference(known):
+        out = list(map(known.get, words))
+        unknown = [i for i, ids in enumerate(out) if ids is None]
+        for i in unknown:
+            word = words[i]
             own = older.get(word)
             if own is None:
                 new.append(word)
             else:
                 known[word] = own
         first = self._learn(firsts, new)
-        out = [begin + b"".join(map(known.__getitem__, x)) for begin, x in zip(first, cuts)]
+        for i in unknown:
+            out[i] = known[words[i]]
         for word in new:
             if len(word) >= _WORD:
                 del known[word]
-        return out
+        return first + out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], dtype=np.int32).tolist()
